@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
 from cardwatch.catalog.base import ORACLE, QUERIES
-from cardwatch.catalog import detection  # noqa: F401  (registers its queries)
+from cardwatch.catalog import attempts, detection  # noqa: F401  (they register their queries)
 
 __all__ = ["ORACLE", "QUERIES"]

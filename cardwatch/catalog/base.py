@@ -280,3 +280,69 @@ SELECT *, CASE WHEN best = 'insufficient_evidence' THEN 'monitor' WHEN margin <
     WHEN best IN ('outage', 'retry_storm', 'healthy_traffic') THEN 'suppressed_by_' || best
     WHEN best_support < 0.7 THEN 'attack_best_but_weakly_supported' ELSE 'attack_clearly_best_supported' END AS reasons
 FROM arb""")
+
+# Canonical events, lateness, resolved attempts and orders, incidents.
+fragment("canon", ("obs",), """
+SELECT scope, event_id, CASE outcome WHEN 'failed' THEN 'payment.failed' WHEN 'captured' THEN 'payment.captured' WHEN 'authorized' THEN 'payment.authorized'
+    ELSE CASE WHEN event_id % 20 = 0 THEN 'refund.created' ELSE 'payment.pending' END END AS event_type,
+  order_id, payment_id, amount_paise, CASE event_id % 3 WHEN 0 THEN 'upi' WHEN 1 THEN 'card' END AS method,
+  CASE WHEN outcome = 'failed' THEN 'E' || (event_id % 5) END AS error_code, error_reason, error_source,
+  CASE WHEN event_id % 2 = 0 THEN 'visa' ELSE 'rupay' END AS card_network,
+  CASE WHEN event_id % 4 <> 0 THEN 'bank' || (event_id % 6) END AS card_issuer, card_id, at_ms, received_ms, source, session, device, network, outcome
+FROM obs""")
+fragment("late", ("canon",), """
+SELECT *, coalesce(at_ms < max(at_ms) OVER (PARTITION BY scope ORDER BY received_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 300000, FALSE) AS late,
+  CASE event_type WHEN 'payment.failed' THEN 1 WHEN 'payment.authorized' THEN 2 WHEN 'payment.captured' THEN 3 WHEN 'refund.created' THEN 4 ELSE -1 END AS rank
+FROM canon""")
+_far = lambda c, extra="": f"first({c} ORDER BY rank DESC, at_ms DESC, event_type DESC, event_id DESC) FILTER (WHERE {c} IS NOT NULL{extra}) AS {c}"
+fragment("att", ("late",), f"""
+SELECT scope, payment_id, {", ".join(_far(c) for c in ("order_id", "amount_paise", "method", "card_network", "card_issuer", "card_id"))},
+  {", ".join(_far(c, " AND rank = 1") for c in ("error_code", "error_reason", "error_source"))},
+  bool_or(rank = 1) AS failed, min(at_ms) AS first_ms, max(at_ms) AS last_ms, count(*) AS event_count, bool_or(late) AS late,
+  CASE greatest(max(rank), 0) WHEN 0 THEN 'created' WHEN 1 THEN 'failed' WHEN 2 THEN 'authorized' WHEN 3 THEN 'captured' ELSE 'refunded' END AS status,
+  CASE WHEN bool_or(source = 'replay') THEN 'replay' ELSE 'live' END AS source
+FROM late GROUP BY scope, payment_id""")
+fragment("ord", ("att",), """
+SELECT scope, order_id, CASE WHEN bool_or(status IN ('captured', 'refunded')) THEN 'paid' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'pending' END AS outcome,
+  bool_or(status IN ('captured', 'refunded')) AND count(*) FILTER (WHERE failed) > 0 AS recovered,
+  count(*) FILTER (WHERE failed) AS failure_count, count(*) AS attempt_count,
+  first(amount_paise ORDER BY first_ms, payment_id) FILTER (WHERE amount_paise IS NOT NULL) AS amount_paise,
+  min(first_ms) AS first_ms, max(last_ms) AS last_ms, CASE WHEN bool_or(source = 'replay') THEN 'replay' ELSE 'live' END AS source
+FROM att GROUP BY scope, order_id""")
+# Attempts with the pseudonyms of their order.
+fragment("att_k", ("att", "obs"), """
+SELECT att.*, k.session, k.device, k.network FROM att
+JOIN (SELECT DISTINCT payment_id, session, device, network FROM obs) k USING (payment_id)""")
+fragment("ord_k", ("ord", "obs"), """
+SELECT ord.*, k.session, k.device, k.network FROM ord
+JOIN (SELECT DISTINCT order_id, session, device, network FROM obs) k USING (order_id)""")
+
+_cyc = lambda values, idx: f"[{', '.join(repr(v) for v in values)}][({idx}) % {len(values)} + 1]"
+from cardwatch.sources import tables as _t  # noqa: E402
+
+fragment("inc", ("obs",), f"""
+SELECT scope, source, md5(source || ':' || entity_kind || ':' || entity_key || ':' || day) AS incident_id, entity_kind, entity_key,
+  {_cyc(_t.STATUSES, 'seed')} AS status,
+  CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity, score,
+  {_cyc(_t.EXPLANATIONS, 'seed // 5')} AS best, {_cyc(_t.FIRED, 'seed // 25')} AS fired, {_cyc(_t.DECISIONS, 'seed // 3')} AS decision,
+  seed % 101 / 100.0::DOUBLE AS support, seed % 101 / 100.0::DOUBLE AS probability,
+  first_ms, first_ms + (seed % 50) * 60000 AS detected_ms, last_ms, last_ms + 1800000 AS expires_ms,
+  failures * 2 AS attempts, failures, CASE WHEN seed % 7 <> 0 THEN cards END AS distinct_cards, 'u' || (seed % 9) AS assignee_id, seed
+FROM (SELECT *, floor(failures * 1000 / (failures + 1.0::DOUBLE)) / 1000.0::DOUBLE AS score FROM (
+  SELECT scope, source, entity_kind, entity_key, at_ms // 86400000 AS day, count(*) AS failures, count(DISTINCT card_id) AS cards,
+    min(event_id) AS seed, min(at_ms) AS first_ms, max(at_ms) AS last_ms
+  FROM (SELECT *, 'session' AS entity_kind, session AS entity_key FROM obs UNION ALL SELECT *, 'device', device FROM obs UNION ALL SELECT *, 'network', network FROM obs)
+  WHERE outcome = 'failed' GROUP BY ALL))""")
+
+fragment("lines", (), """
+SELECT 'shop' AS scope, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice * 100 + 0.5)::BIGINT, l_returnflag) AS event_id,
+  'o' || l_orderkey AS order_id, 'p' || l_orderkey || '-' || l_linenumber AS payment_id,
+  CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'authorized' ELSE 'captured' END AS outcome,
+  floor(l_extendedprice * 100 + 0.5)::BIGINT AS amount_paise, 'c' || (l_partkey % 97) AS card_id,
+  (epoch_us(l_shipdate) // 1000) + l_linenumber * 3600000 AS at_ms, CASE WHEN l_orderkey % 10 = 0 THEN 'replay' ELSE 'live' END AS source
+FROM lineitem""")
+fragment("checkouts", (), """
+SELECT 'shop' AS scope, 'o' || o_orderkey AS order_id, 's' || o_custkey AS session, 'd' || (o_custkey % 211) AS device, 'n' || c_nationkey AS network,
+  floor(o_totalprice * 100 + 0.5)::BIGINT AS amount_paise, CASE WHEN o_orderkey % 10 = 0 THEN 'replay' ELSE 'live' END AS source,
+  epoch_us(o_orderdate) // 1000 AS created_ms
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")

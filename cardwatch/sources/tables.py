@@ -127,3 +127,63 @@ def checkout_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 10 == 0, "replay").otherwise("live").alias("source"),
         epoch_ms("o_orderdate").alias("created_ms"),
     )
+
+
+# Fixed cycles that give the derived incidents their stored verdict columns.
+STATUSES = ("open", "under_review", "contained", "resolved", "expired")
+EXPLANATIONS = ("attack", "outage", "retry_storm", "healthy_traffic", "insufficient_evidence")
+FIRED = ("card_spread,velocity", "approval_collapse", "small_amount_probing", "card_probing,reason_mix", "")
+DECISIONS = ("contain", "review", "monitor", "none")
+
+
+def _cycle(values, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored incidents: one per (entity, day) with declined payments in the event stream."""
+    obs = observations(spark, sf_dir).filter(F.col("outcome") == "failed")
+    views = F.array(*[F.struct(F.lit(k).alias("entity_kind"), F.col(k).alias("entity_key")) for k in ("session", "device", "network")])
+    rows = obs.withColumn("day", F.expr("at_ms div 86400000")).select(
+        "scope", "source", "event_id", "at_ms", "card_id", "day", F.inline(views)
+    )
+    per_card = rows.groupBy("scope", "source", "entity_kind", "entity_key", "day", "card_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("seed"), F.min("at_ms").alias("a"), F.max("at_ms").alias("b")
+    )
+    g = per_card.groupBy("scope", "source", "entity_kind", "entity_key", "day").agg(
+        F.sum("n").alias("failures"), F.count("card_id").alias("cards"), F.min("seed").alias("seed"),
+        F.min("a").alias("first_ms"), F.max("b").alias("last_ms"),
+    )
+    seed, n = F.col("seed"), F.col("failures")
+    score = F.floor(n * 1000 / (n + F.lit(1.0))) / F.lit(1000.0)
+    step = lambda k: F.floor(seed / k).cast("bigint")
+    return g.select(
+        "scope",
+        "source",
+        F.md5(F.concat_ws(":", "source", "entity_kind", "entity_key", "day")).alias("incident_id"),
+        "entity_kind",
+        "entity_key",
+        _cycle(STATUSES, seed).alias("status"),
+        F.when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low").alias("severity"),
+        score.alias("score"),
+        _cycle(EXPLANATIONS, step(5)).alias("best"),
+        _cycle(FIRED, step(25)).alias("fired"),
+        _cycle(DECISIONS, step(3)).alias("decision"),
+        (F.col("seed") % 101 / F.lit(100.0)).alias("support"),
+        ((F.col("seed") % 101) / F.lit(100.0)).alias("probability"),
+        "first_ms",
+        (F.col("first_ms") + (seed % 50) * 60_000).alias("detected_ms"),
+        "last_ms",
+        (F.col("last_ms") + 1_800_000).alias("expires_ms"),
+        (F.col("failures") * 2).alias("attempts"),
+        "failures",
+        F.when(seed % 7 != 0, F.col("cards")).alias("distinct_cards"),
+        F.concat(F.lit("u"), seed % 9).alias("assignee_id"),
+        seed.alias("seed"),
+    )
+
+
+def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console users, from the nation table (one per row)."""
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("u"), F.col("n_nationkey")).alias("actor_id"), F.col("n_name").alias("actor_name"))
