@@ -246,9 +246,8 @@ def _(spark, sf_dir):
 
 
 @query("mix_label", with_("lines", "checkouts", tail="""
-SELECT order_id, is_abuse, count(*) AS events_n FROM (
-  SELECT l.order_id, c.session IN (SELECT session FROM checkouts JOIN lines USING (order_id) WHERE outcome = 'failed' AND error_probe) AS is_abuse
-  FROM (SELECT *, FALSE AS error_probe FROM lines) l JOIN checkouts c USING (order_id)) GROUP BY ALL""".replace("AND error_probe", "AND lines.amount_paise > 9000000")))
+SELECT order_id, c.session IN (SELECT session FROM checkouts JOIN lines USING (order_id) WHERE outcome = 'failed' AND lines.amount_paise > 9000000) AS is_abuse, count(*) AS events_n
+FROM lines l JOIN checkouts c USING (order_id) GROUP BY ALL"""))
 def _(spark, sf_dir):
     parts = L.join_observations(T.lineitem_events(spark, sf_dir), T.checkout_sessions(spark, sf_dir)).filter(F.col("session").isNotNull())
     attackers = parts.filter((F.col("outcome") == "failed") & (F.col("amount_paise") > 9_000_000)).select("session")

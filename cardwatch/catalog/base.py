@@ -73,7 +73,7 @@ def with_(*names: str, tail: str) -> str:
     for name in names:
         visit(name)
     parts = ",\n".join(f"{n} AS ({FRAGMENTS[n][1]})" for n in ordered)
-    return f"WITH {parts}\n{tail}"
+    return f"WITH RECURSIVE {parts}\n{tail}"
 
 
 def r6(expr: str) -> str:
