@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from cardwatch.session import configure
 
@@ -187,3 +187,80 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Console users, from the nation table (one per row)."""
     n = table(spark, sf_dir, "nation")
     return n.select(F.concat(F.lit("u"), F.col("n_nationkey")).alias("actor_id"), F.col("n_name").alias("actor_name"))
+
+
+def containment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of one containment per incident decided contain or review."""
+    inc = incidents(spark, sf_dir).filter(F.col("decision").isin("contain", "review"))
+    seed, at = F.col("seed"), F.col("detected_ms")
+    none, no_int = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def move(step: int, kind: str, after_s: int, actor: Column = none, minutes: Column = no_int, required: Column = no_int) -> Column:
+        return F.struct(
+            F.lit(step).alias("step"), F.lit(kind).alias("kind"), (at + after_s * 1000).alias("at_ms"), actor.alias("actor_id"),
+            minutes.alias("minutes"), required.alias("approvals_required"),
+        )
+
+    first, second = F.concat(F.lit("u"), seed % 9), F.concat(F.lit("u"), F.floor(seed / 9).cast("bigint") % 9)
+    moves = F.array_compact(
+        F.array(
+            move(1, "proposed", 0, required=(seed % 2 + 1).cast("int")),
+            F.when(seed % 5 == 3, move(2, "rejected", 30, first)),
+            move(3, "approved", 60, first),
+            move(4, "approved", 120, second),
+            F.when(seed % 5 == 0, move(5, "extended", 300, first, F.lit(30))),
+            F.when(seed % 5 == 1, move(6, "extended", 300, first, F.lit(100))),
+            F.when(seed % 5 == 2, move(7, "released", 600, second)),
+        )
+    )
+    return inc.select(
+        "scope", "incident_id", F.md5(F.concat(F.lit("c:"), F.col("incident_id"))).alias("containment_id"),
+        "entity_kind", "entity_key", "decision", F.inline(moves),
+    )
+
+
+def enforcement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pauses and resumptions of enforcement, from sign-up events."""
+    obs = observations(spark, sf_dir).filter(F.col("outcome") == "authorized")
+    return obs.select("scope", "event_id", "at_ms", F.when(F.col("event_id") % 3 == 0, "paused").otherwise("resumed").alias("kind"))
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-linked audit chains, one per payment, some of them tampered with.
+
+    A payment has a handful of events, so each chain is hashed by folding one short array.
+    """
+    from cardwatch.operators.audit import CONTENT, GENESIS, content_hash
+
+    obs = observations(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    entry = F.struct(
+        "at_ms", "event_id", F.col("session").alias("actor_id"), F.concat(F.lit("payment."), F.col("outcome")).alias("kind"),
+        F.lit("payment").alias("subject_type"), F.col("payment_id").alias("subject_id"),
+        F.to_json(F.struct(F.col("amount_paise").alias("amount"), F.col("card_id").alias("card"))).alias("payload"),
+        F.lit("1").alias("policy_version"), none.alias("policy_hash"), none.alias("feature_hash"), none.alias("model_version"),
+    )
+    chains = obs.groupBy(F.col("payment_id").alias("chain_id")).agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"), F.min("event_id").alias("seed")
+    )
+
+    def link(hashes: Column, e: Column) -> Column:
+        previous = F.when(F.size(hashes) == 0, F.lit(GENESIS)).otherwise(F.element_at(hashes, -1))
+        return F.array_append(hashes, content_hash(previous, [e[c] for c in CONTENT]))
+
+    linked = chains.withColumn("hashes", F.aggregate("entries", F.array().cast("array<string>"), link))
+    rows = linked.select("chain_id", "seed", F.col("hashes"), F.posexplode("entries").alias("i", "e")).select(
+        "chain_id", "seed", (F.col("i") + 1).cast("bigint").alias("seq"), "e.*",
+        F.when(F.col("i") == 0, GENESIS).otherwise(F.element_at("hashes", F.greatest(F.col("i"), F.lit(1)))).alias("prev_hash"),
+        F.element_at("hashes", F.col("i") + 1).alias("hash"),
+    )
+    # Tampering by cycle: 1 mutate, 2 delete, 3 mutate and re-hash (second row); 4 swap rows two
+    # and three; 5 re-anchor the first row.
+    how, second, first = F.col("seed") % 7, F.col("seq") == 2, F.col("seq") == 1
+    rows = rows.filter(~((how == 2) & second))
+    rows = rows.withColumn("payload", F.when(how.isin(1, 3) & second, F.lit('{"amount":1}')).otherwise(F.col("payload")))
+    rows = rows.withColumn("prev_hash", F.when((how == 5) & first, F.lit("f" * 64)).otherwise(F.col("prev_hash")))
+    rows = rows.withColumn("hash", F.when(((how == 3) & second) | ((how == 5) & first), content_hash(F.col("prev_hash"))).otherwise(F.col("hash")))
+    shown = F.when((how == 4) & (F.col("seq") == 2), 3).when((how == 4) & (F.col("seq") == 3), 2).otherwise(F.col("seq"))
+    position = F.row_number().over(W.partitionBy("chain_id").orderBy(shown)).cast("bigint")
+    return rows.withColumn("position", position)
