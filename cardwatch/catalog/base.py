@@ -191,7 +191,7 @@ SELECT scope, sum(attempts)::BIGINT AS shop_attempts, sum(failures)::BIGINT AS s
   {div0("max(failures)", "sum(failures)")} AS shop_top_session_failure_share,
   count(*) FILTER (WHERE attempts >= 2 AND captures = 0 AND cards >= 2 AND NOT (failures > 0 AND gateway_failures * 2 > failures)) AS shop_card_testing_sessions,
   {div0("sum(captures) FILTER (WHERE failures > 0)", "coalesce(sum(attempts) FILTER (WHERE failures > 0), 0)")} AS shop_failing_session_approval_rate,
-  (SELECT count(DISTINCT card_id) FROM pay_w) AS shop_distinct_cards
+  (SELECT count(DISTINCT card_id) FROM pay_w p WHERE p.scope = sess.scope) AS shop_distinct_cards
 FROM sess GROUP BY scope""")
 
 # Rule flags: 1 fired, 0 quiet, -1 abstained.

@@ -8,7 +8,9 @@ holds a large share of all rows is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -207,11 +209,14 @@ def cadence(entities: DataFrame, as_of_ms: int, window: FeatureWindow) -> DataFr
     )
 
 
-def exact_median(rows: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
-    """Exact median of an integer column per key, without gathering a key's values.
+def exact_ranks(
+    rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Exact order statistics of an integer column per key, without gathering a key's values.
 
+    ``ranks`` maps an output name to the wanted rank (1-based) as a function of the row count.
     Values are counted, then counted again in bands of 65 536; a running total over the bands
-    finds the bands that hold the middle ranks, and only those bands are ordered in full.
+    finds the bands that hold a wanted rank, and only those bands are ordered in full.
     """
     keys = list(keys)
     counts = (
@@ -228,20 +233,28 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str, alias: str) -
         "band",
         (F.sum("n").over(running) - F.col("n")).alias("below"),
         F.sum("n").over(running).alias("upto"),
-        F.floor((total + 1) / 2).alias("low_rank"),
-        (F.floor(total / 2) + 1).alias("high_rank"),
+        total.alias("total"),
     )
-    middle = placed.filter((F.col("upto") >= F.col("low_rank")) & (F.col("below") < F.col("high_rank"))).drop("upto")
+    wanted = [rank(F.col("total")) for rank in ranks.values()]
+    holds = lambda rank, below, upto: (upto >= rank) & (below < rank)
+    any_rank = functools.reduce(operator.or_, [holds(r, F.col("below"), F.col("upto")) for r in wanted])
     inside = W.partitionBy(*keys, "band").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.join(middle, [*keys, "band"]).withColumn("upto", F.col("below") + F.sum("n").over(inside))
-    holds = lambda rank: (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("n") < F.col(rank))
+    ranked = counts.join(placed.filter(any_rank).drop("upto"), [*keys, "band"]).withColumn(
+        "upto", F.col("below") + F.sum("n").over(inside)
+    )
+    below = F.col("upto") - F.col("n")
     return ranked.groupBy(*keys).agg(
-        (
-            (F.max(F.when(holds("low_rank"), F.col("v"))) + F.max(F.when(holds("high_rank"), F.col("v")))) / 2.0
-        ).alias(alias)
+        *[F.max(F.when(holds(r, below, F.col("upto")), F.col("v"))).alias(name) for name, r in zip(ranks, wanted)]
     )
 
 
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
+    """Exact median of an integer column per key (mean of the two middle values when even)."""
+    middle = {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor(n / 2) + 1}
+    found = exact_ranks(rows, keys, value, middle)
+    return found.select(*keys, ((F.col("_low") + F.col("_high")) / 2.0).alias(alias))
+
+
 def features(
     attempts: DataFrame,
     *,

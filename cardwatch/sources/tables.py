@@ -264,3 +264,74 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when((how == 4) & (F.col("seq") == 2), 3).when((how == 4) & (F.col("seq") == 3), 2).otherwise(F.col("seq"))
     position = F.row_number().over(W.partitionBy("chain_id").orderBy(shown)).cast("bigint")
     return rows.withColumn("position", position)
+
+
+WEBHOOK_SECRET = "whsec-test"
+
+
+def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw webhook deliveries built from the event stream: JSON bodies of several entity types.
+
+    Some bodies are about orders, refunds or unknown entities, some are cut off, some carry no
+    provider time, and some signatures are wrong or missing.
+    """
+    from cardwatch.functions.crypto import hmac_sha256
+
+    c = canonical_events(spark, sf_dir).withColumn("outcome", F.regexp_replace("event_type", r"^payment\.", ""))
+    i = F.col("event_id")
+    none = F.lit(None).cast("string")
+    payment = F.struct(
+        F.col("payment_id").alias("id"), F.col("amount_paise").alias("amount"), F.lit("INR").alias("currency"), F.col("outcome").alias("status"),
+        "order_id", "method", "error_code", "error_reason", "error_source",
+        F.when(i % 2 == 0, F.col("card_id")).otherwise(none).alias("card_id"),
+        F.struct(F.col("card_id").alias("id"), F.col("card_network").alias("network"), F.lit("").alias("type"), F.col("card_issuer").alias("issuer"),
+                 F.lit("4242").alias("last4"), (i % 3 == 0).alias("international")).alias("card"),
+        F.concat(F.lit("user"), i, F.lit("@mail.example")).alias("email"), F.lit("+919999900000").alias("contact"),
+    )
+    order = F.struct(F.col("order_id").alias("id"), F.col("amount_paise").alias("amount"), F.lit("paid").alias("status"))
+    refund = F.struct(F.concat(F.lit("r"), i).alias("id"), "payment_id", F.col("amount_paise").alias("amount"))
+    other = F.struct(F.concat(F.lit("x"), i).alias("id"), F.col("amount_paise").alias("amount"))
+    seconds = F.when(i % 31 == 0, F.lit(0).cast("bigint")).otherwise(F.expr("at_ms div 1000"))
+
+    def body(name: str, entity: Column) -> Column:
+        return F.to_json(F.struct(F.lit("event").alias("entity"), F.col("event_type").alias("event"), seconds.alias("created_at"),
+                                  F.struct(F.struct(entity.alias("entity")).alias(name)).alias("payload")))
+
+    raw = (
+        F.when(i % 29 == 0, F.substring(body("payment", payment), 1, 150))
+        .when(i % 23 == 0, body("settlement", other))
+        .when(i % 19 == 0, body("refund", refund))
+        .when(i % 17 == 0, body("order", order))
+        .otherwise(body("payment", payment))
+    )
+    rows = c.withColumn("raw_body", raw)
+    return rows.select(
+        "scope", "event_id", F.when(i % 10 != 0, F.concat(F.lit("evt_"), i)).alias("header_id"), "raw_body",
+        F.when(i % 41 != 0, F.when(i % 37 == 0, F.lit("bad")).otherwise(hmac_sha256(F.col("raw_body"), WEBHOOK_SECRET))).alias("signature"),
+        "source", "at_ms", "received_ms",
+        F.when(i % 25 == 0, "pending").when(i % 97 == 0, "dead").otherwise("processed").alias("status"),
+        F.when(i % 13 == 0, 2).otherwise(1).cast("bigint").alias("delivery_count"),
+        F.when((i % 25 != 0) & (i % 97 != 0), F.col("received_ms") + (i % 50) * 10 - 20).alias("processed_ms"),
+        F.when(F.col("source") == "replay", F.when(i % 4 != 0, F.concat(F.lit("f"), i % 3))).alias("family"),
+    )
+
+
+UA_SAMPLES = (
+    "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537.36 Edg/120", "Mozilla/5.0 (X11) Chrome/119 Safari/537.36", "Mozilla/5.0 (iPhone) Safari/604.1",
+    "Googlebot/2.1", "curl/8.0", "HeadlessChrome/119", "Mozilla/5.0 (Android 13) Chrome/119", "Mozilla/5.0 Firefox/121", "Mozilla/5.0 (Macintosh) Safari/605", "", "Opera/9",
+)
+
+
+def raw_checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkout requests before pseudonymisation: address, user agent, client ids."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k = F.col("o_custkey")
+    v4 = F.concat_ws(".", F.lit("10"), k % 250, k % 200, k % 100)
+    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex(k % 4096)), F.lit("::1"))
+    return o.select(
+        F.concat(F.lit("o"), F.col("o_orderkey")).alias("order_id"),
+        F.when(k % 9 == 0, v6).when(k % 101 == 1, F.lit("localhost")).otherwise(v4).alias("ip"),
+        F.concat(F.lit(" S"), k, F.lit(" ")).alias("client_session"),
+        _cycle(UA_SAMPLES, k).alias("user_agent"),
+        epoch_ms("o_orderdate").alias("created_ms"),
+    )
