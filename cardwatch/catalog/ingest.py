@@ -37,23 +37,23 @@ _CAN = ("event_id", "source", "received_ms", "event_type", "entity_type", "order
 
 @query("canonicalize", with_("canonical", tail=f"SELECT {', '.join(_CAN)} FROM canonical"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox(spark, sf_dir)).select(*_CAN)
+    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).select(*_CAN)
 
 
 @query("primary_entity", with_("canonical", tail="SELECT entity_type, count(*) AS events_n FROM canonical GROUP BY entity_type"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox(spark, sf_dir)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("events_n"))
+    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("events_n"))
 
 
 @query("event_time", with_("canonical", tail="SELECT event_id, at_ms FROM canonical"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox(spark, sf_dir)).select("event_id", "at_ms")
+    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).select("event_id", "at_ms")
 
 
 @query("drop_pii", with_("canonical", tail="SELECT count(*) AS events_n, 0::BIGINT AS with_email, 0::BIGINT AS with_phone FROM canonical"))
 def _(spark, sf_dir):
     """No canonical row may hold anything that looks like the personal fields of its body."""
-    rows = Wh.canonicalize(T.inbox(spark, sf_dir))
+    rows = Wh.canonicalize(T.inbox_table(spark, sf_dir))
     everything = F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])
     has = lambda found: F.sum((F.size(found) > 0).cast("bigint"))
     return rows.agg(
@@ -63,12 +63,12 @@ def _(spark, sf_dir):
 
 @query("outcome_of", with_("canonical", tail="SELECT event_id, CASE WHEN status IN ('captured', 'failed', 'authorized') THEN status ELSE 'other' END AS outcome FROM canonical"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox(spark, sf_dir)).select("event_id", Wh.outcome_of(F.col("status")).alias("outcome"))
+    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).select("event_id", Wh.outcome_of(F.col("status")).alias("outcome"))
 
 
 @query("st_dead_letter", with_("wh", tail="SELECT event_id FROM wh WHERE shape = 'broken'"))
 def _(spark, sf_dir):
-    return Wh.dead_letters(T.inbox(spark, sf_dir)).select("event_id")
+    return Wh.dead_letters(T.inbox_table(spark, sf_dir)).select("event_id")
 
 
 @query("src_observations_json", with_("canonical", "obs", tail="""
@@ -76,7 +76,7 @@ SELECT c.event_id, c.payment_id, CASE WHEN c.status IN ('captured', 'failed', 'a
 FROM canonical c JOIN obs o USING (event_id) WHERE c.entity_type = 'payment'"""))
 def _(spark, sf_dir):
     placed = T.observations(spark, sf_dir).select("order_id", "session", "device", "network").distinct()
-    obs = Wh.to_observations(Wh.canonicalize(T.inbox(spark, sf_dir)), placed)
+    obs = Wh.to_observations(Wh.canonicalize(T.inbox_table(spark, sf_dir)), placed)
     return obs.select("event_id", "payment_id", "outcome", "amount_paise", "card_id", "session", "device", "network")
 
 
@@ -126,14 +126,14 @@ def _(spark, sf_dir):
 
 @query("dedup_key", with_("wh", tail="SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'evt_' || event_id ELSE 'hashed' END AS delivery_key FROM wh"))
 def _(spark, sf_dir):
-    keyed = Wh.dedup_key(T.inbox(spark, sf_dir))
+    keyed = Wh.dedup_key(T.inbox_table(spark, sf_dir))
     hashed = F.col("delivery_key").rlike("^sha256:[0-9a-f]{64}$")
     return keyed.select("event_id", F.when(hashed, "hashed").otherwise(F.col("delivery_key")).alias("delivery_key"))
 
 
 @query("dedup_deliveries", with_("wh", tail="SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS delivery_count, received_ms, received_ms + CASE WHEN event_id % 13 = 0 THEN 1000 ELSE 0 END AS last_delivered_ms FROM wh"))
 def _(spark, sf_dir):
-    rows = T.inbox(spark, sf_dir)
+    rows = T.inbox_table(spark, sf_dir)
     again = rows.filter("delivery_count > 1").withColumn("received_ms", F.col("received_ms") + 1000)
     return Wh.dedup_deliveries(rows.drop("delivery_count").unionByName(again.drop("delivery_count"))).select(
         "event_id", "delivery_count", "received_ms", "last_delivered_ms"
@@ -142,7 +142,7 @@ def _(spark, sf_dir):
 
 @query("verify_signature", with_("wh", tail="SELECT event_id, event_id % 41 <> 0 AND event_id % 37 <> 0 AS verified FROM wh"))
 def _(spark, sf_dir):
-    return Wh.verify_signature(T.inbox(spark, sf_dir), T.WEBHOOK_SECRET).select("event_id", "verified")
+    return Wh.verify_signature(T.inbox_table(spark, sf_dir), T.WEBHOOK_SECRET).select("event_id", "verified")
 
 
 @query("seal_payloads", with_("wh", tail="SELECT event_id, TRUE AS opens, TRUE AS wrong_key_fails, TRUE AS differs FROM wh"))

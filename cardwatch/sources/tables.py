@@ -316,6 +316,14 @@ def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inbox_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The raw table as it would be stored: bodies written once, then read like any column."""
+    from cardwatch.session import stage
+
+    rows = inbox(spark, sf_dir)
+    return stage(rows.select(*columns) if columns else rows, "inbox")
+
+
 UA_SAMPLES = (
     "Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537.36 Edg/120", "Mozilla/5.0 (X11) Chrome/119 Safari/537.36", "Mozilla/5.0 (iPhone) Safari/604.1",
     "Googlebot/2.1", "curl/8.0", "HeadlessChrome/119", "Mozilla/5.0 (Android 13) Chrome/119", "Mozilla/5.0 Firefox/121", "Mozilla/5.0 (Macintosh) Safari/605", "", "Opera/9",

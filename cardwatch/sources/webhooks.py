@@ -58,14 +58,24 @@ def event_time(seconds: Column, received_ms: Column) -> Column:
 def primary_entity(payload: Column) -> Column:
     """First non-empty entity: payment, order, refund, dispute, then any other in order."""
     filled = F.filter(F.map_entries(payload), lambda e: F.coalesce(F.size(e["value"]["entity"]), F.lit(0)) > 0)
-    first = lambda name: F.get(F.filter(filled, lambda e: e["key"] == name), F.lit(0))
-    return F.coalesce(*[first(name) for name in ENTITY_ORDER], F.get(filled, F.lit(0)))
+
+    def pick(entries: Column) -> Column:
+        first = lambda name: F.get(F.filter(entries, lambda e: e["key"] == name), F.lit(0))
+        return F.coalesce(*[first(name) for name in ENTITY_ORDER], F.get(entries, F.lit(0)))
+
+    # One-element transform: the filled entries are computed once and looked at several times.
+    return F.get(F.transform(F.array(filled), pick), F.lit(0))
 
 
 def parse_envelope(inbox: DataFrame) -> DataFrame:
-    """Add the parsed envelope; a body that is not an envelope leaves it NULL."""
+    """Add the parsed envelope; a body that is not an envelope leaves it NULL.
+
+    The body is parsed in a generator, so filters on the result are not rewritten into
+    further parses of the same text.
+    """
     body = F.from_json("raw_body", schemas.ENVELOPE)
-    return inbox.withColumn("envelope", F.when(body["event"].isNotNull(), body))
+    checked = F.transform(F.array(body), lambda e: F.struct(F.when(e["event"].isNotNull(), e).alias("envelope")))
+    return inbox.select("*", F.inline(checked))
 
 
 def canonicalize(inbox: DataFrame) -> DataFrame:
@@ -74,18 +84,26 @@ def canonicalize(inbox: DataFrame) -> DataFrame:
     Columns are selected by name, so nothing outside the list can pass. Empty strings and
     numbers that are not finite become NULL.
     """
-    rows = parse_envelope(inbox).filter(F.col("envelope").isNotNull())
-    rows = rows.withColumn("_p", primary_entity(F.col("envelope.payload")))
-    entity = F.col("_p.value.entity")
-    text = lambda name: F.nullif(F.try_element_at(entity, F.lit(name)), F.lit(""))
-    rows = rows.withColumn("_card", F.from_json(text("card"), schemas.CARD)).withColumn("entity_type", F.col("_p.key"))
+    kept = [c for c in ("scope", "event_id", "delivery_key", "header_id", "source", "received_ms") if c in inbox.columns]
+    rows = parse_envelope(inbox.select(*kept, "raw_body")).filter(F.col("envelope").isNotNull())
+    parts = F.array(
+        F.struct(
+            F.col("envelope.event").alias("event_type"),
+            F.col("envelope.created_at").alias("_created_at"),
+            primary_entity(F.col("envelope.payload")).alias("_p"),
+        )
+    )
+    rows = rows.select(*kept, F.inline(parts)).select(
+        *kept, "event_type", "_created_at", F.col("_p.key").alias("entity_type"), F.col("_p.value.entity").alias("_entity")
+    )
+    text = lambda name: F.nullif(F.try_element_at("_entity", F.lit(name)), F.lit(""))
+    rows = rows.withColumn("_card", F.from_json(text("card"), schemas.CARD))
     card_text = lambda name: F.nullif(F.col(f"_card.{name}"), F.lit(""))
     kind, own_id = F.col("entity_type"), text("id")
-    seconds = F.coalesce(F.col("envelope.created_at"), text("created_at").try_cast("double"))
-    kept = [c for c in ("scope", "event_id", "delivery_key", "header_id", "source", "received_ms") if c in rows.columns]
+    seconds = F.coalesce(F.col("_created_at"), text("created_at").try_cast("double"))
     return rows.select(
         *kept,
-        F.col("envelope.event").alias("event_type"),
+        "event_type",
         "entity_type",
         F.coalesce(text("order_id"), F.when(kind == "order", own_id)).alias("order_id"),
         F.when(kind == "payment", own_id).otherwise(text("payment_id")).alias("payment_id"),
