@@ -53,12 +53,12 @@ FEATURES = (
     "log_attempts",
     "failure_rate",
     "approval_rate",
-    "infrastructure_share",
+    "infra_share",
     "cards_per_attempt",
     "small_amount_share",
     "burstiness",
     "recovery_rate",
-    "top_session_share",
+    "top_session_failure_share",
     "log_failing_sessions",
 )
 
