@@ -194,20 +194,20 @@ _DAY = 86_400_000
 SELECT payment_id, at_ms, count(*) OVER w AS attempts_in_window, (count(*) FILTER (WHERE outcome = 'failed') OVER w) AS failures_in_window
 FROM pay WINDOW w AS (PARTITION BY source, device ORDER BY at_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)"""))
 def _(spark, sf_dir):
-    attempts = per_payment(T.observations(spark, sf_dir))
+    attempts = stage(per_payment(T.observations(spark, sf_dir)), "attempts")
     return Vel.device_velocity(attempts, span_ms=_DAY).select("payment_id", "at_ms", "attempts_in_window", "failures_in_window")
 
 
 @query("device_seen_before", with_("pay", tail="SELECT payment_id, min(at_ms) OVER (PARTITION BY source, device) < at_ms - 86400000 AS device_seen_before FROM pay"))
 def _(spark, sf_dir):
-    attempts = per_payment(T.observations(spark, sf_dir))
+    attempts = stage(per_payment(T.observations(spark, sf_dir)), "attempts")
     return Vel.device_seen_before(attempts, span_ms=_DAY).select("payment_id", "device_seen_before")
 
 
 @query("network_sharing", with_("pay", tail="""
 SELECT payment_id, at_ms, (SELECT count(DISTINCT b.device) FROM pay b WHERE b.source = a.source AND b.network = a.network AND b.at_ms BETWEEN a.at_ms - 86400000 AND a.at_ms) AS network_devices FROM pay a"""))
 def _(spark, sf_dir):
-    attempts = per_payment(T.observations(spark, sf_dir))
+    attempts = stage(per_payment(T.observations(spark, sf_dir)), "attempts")
     return Vel.network_sharing(attempts, span_ms=_DAY).select("payment_id", "at_ms", "network_devices")
 
 
@@ -215,7 +215,7 @@ def _(spark, sf_dir):
 SELECT payment_id, at_ms, (SELECT count(DISTINCT b.payment_id) FROM obs b WHERE b.source = a.source AND b.card_id = a.card_id AND b.at_ms BETWEEN a.at_ms - 86400000 AND a.at_ms) AS card_payments FROM pay a"""))
 def _(spark, sf_dir):
     events = T.observations(spark, sf_dir)
-    return Vel.card_reuse(events, per_payment(events), span_ms=_DAY).select("payment_id", "at_ms", "card_payments")
+    return Vel.card_reuse(events, stage(per_payment(events), "attempts"), span_ms=_DAY).select("payment_id", "at_ms", "card_payments")
 
 
 @query("recent_from_device", with_("att_k", tail="""SELECT device, source, payment_id, status, first_ms, position FROM (

@@ -218,18 +218,20 @@ def error_taxonomy(scored: DataFrame, column: str = "small_amount_share") -> Dat
 def temperature(scored: DataFrame, *, low: float = 0.25, high: float = 10.0, steps: int = 40, passes: int = 3) -> float:
     """Temperature that minimises the loss of ``logit / T``: a grid, refined around its best point.
 
-    Each pass is one aggregation with all candidates as columns of the same scan.
+    Every row meets every candidate inside its own task and only per-candidate sums are
+    exchanged.
     """
+    best = low
     for _ in range(passes):
-        grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
-
-        def loss(t: float) -> Column:
-            p = 1 / (1 + F.exp(-F.col("logit") / t))
-            p = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
-            return F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)))
-
-        losses = scored.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-        best = min(range(steps), key=lambda i: losses[i] if losses[i] is not None else float("inf"))
         step = (high - low) / (steps - 1)
-        low, high = max(0.25, grid[best] - step), min(10.0, grid[best] + step)
-    return grid[best]
+        grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(low) + i * F.lit(step))
+        p = 1 / (1 + F.exp(-F.col("logit") / F.col("t")))
+        p = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+        loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
+        losses = scored.select("y", "logit", F.explode(grid).alias("t")).groupBy("t").agg(F.avg(loss).alias("loss"))
+        found = losses.agg(F.min_by("t", "loss").alias("t")).first()["t"]
+        if found is None:
+            return 1.0
+        best = float(found)
+        low, high = max(0.25, best - step), min(10.0, best + step)
+    return best

@@ -18,7 +18,7 @@ def session(cpus: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("cardwatch")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
