@@ -187,6 +187,22 @@ def _(spark, sf_dir):
     return d.select("incident_id", "ceiling", P.alignment(F.col("ceiling")).alias("alignment"))
 
 
+_CEILING = "CASE WHEN decision = 'contain' AND NOT (action = 'contain' AND refusals = '') THEN 'review' WHEN decision IN ('contain', 'review') THEN decision ELSE 'monitor' END"
+
+
+@query("ceiling_action", with_("pol", tail=f"SELECT incident_id, {_CEILING} AS ceiling FROM pol"))
+def _(spark, sf_dir):
+    return P.policy_decide(_policy_rows(spark, sf_dir)).select("incident_id", P.ceiling_action().alias("ceiling"))
+
+
+@query("alignment", with_("pol", tail=f"""
+SELECT incident_id, CASE WHEN {_CEILING} <> CASE WHEN decision IN ('contain', 'review') THEN decision ELSE 'monitor' END OR seed % 4 = 0 THEN 'diverges' ELSE 'aligned' END AS alignment FROM pol"""))
+def _(spark, sf_dir):
+    moved = F.when(F.col("seed") % 4 == 0, "escalated").otherwise("corroborated")
+    d = P.policy_decide(_policy_rows(spark, sf_dir)).withColumn("model_influence", moved)
+    return d.select("incident_id", P.alignment(P.ceiling_action()).alias("alignment"))
+
+
 _reasons = "concat_ws(',', list_aggregate(list_slice(list_filter([{}], lambda x: x IS NOT NULL), 1, {}), 'string_agg', ','))"
 _when = lambda pairs: ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in pairs)
 _why = [("distinct_cards", "distinct_cards > 1"), ("attempt_volume", "attempts > 0"), ("failure_concentration", "failures > 0"),

@@ -76,9 +76,12 @@ def _act(name, columns, rates=()):
 _act("attempt_rate", (), ("attempt_rate",))
 _act("failure_rate", (), ("failure_rate",))
 _act("attempts", ("attempts", "failures", "captures"))
+_act("failures", ("failures",))
 _act("approval_rate", (), ("approval_rate",))
 _act("infrastructure_failure_share", (), ("infra_failure_share",))
 _act("small_amount_share", (), ("small_amount_share",))
+_act("first_seen", ("first_seen_ms",))
+_act("last_seen", ("last_seen_ms",))
 _act("first_last_seen", ("first_seen_ms", "last_seen_ms", "provenance"))
 
 
@@ -100,6 +103,7 @@ _var("distinct_networks", ("distinct_networks",))
 _var("distinct_cards_long_span", ("distinct_cards_long_span",))
 _var("max_orders_per_card", ("max_orders_per_card",))
 _var("recovery_rate", ("recovered_orders",), ("recovery_rate",))
+_var("recovered_orders", ("recovered_orders",))
 _var("reason_concentration", (), ("reason_concentration",))
 
 
@@ -168,6 +172,18 @@ def _(spark, sf_dir):
     return context.select("scope", *_TRAFFIC, *[q6(c).alias(c) for c in _TRAFFIC_RATES])
 
 
+def _context_part(name):
+    @query(name, with_("traf", tail=f"SELECT scope, {r6('shop_' + name)} AS {name} FROM traf"))
+    def _(spark, sf_dir):
+        attempts, as_of = _attempts(spark, sf_dir)
+        context = traffic_context(stage(attempts, "attempts"), as_of_ms=as_of, window=WINDOW)
+        return context.select("scope", q6(name).alias(name))
+
+
+_context_part("top_session_failure_share")
+_context_part("failing_session_approval_rate")
+
+
 @query("session_agg", with_("sess", tail="SELECT * FROM sess"))
 def _(spark, sf_dir):
     attempts, as_of = _attempts(spark, sf_dir)

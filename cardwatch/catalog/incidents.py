@@ -376,6 +376,22 @@ def _(spark, sf_dir):
     )
 
 
+@query("incident_ref", with_("inc", tail="SELECT incident_id, 'INC-' || upper(substr(incident_id, 1, 4)) AS ref FROM inc"))
+def _(spark, sf_dir):
+    return T.incidents(spark, sf_dir).select("incident_id", V.incident_ref(F.col("incident_id")).alias("ref"))
+
+
+@query("fingerprint", with_("inc", tail="SELECT incident_id, substr(incident_id, 1, 8) AS fingerprint FROM inc"))
+def _(spark, sf_dir):
+    return T.incidents(spark, sf_dir).select("incident_id", V.fingerprint(F.concat(F.lit("v12:"), F.col("incident_id"))).alias("fingerprint"))
+
+
+@query("card_token", with_("obs", tail="SELECT event_id, right('tok_' || card_id || '_' || event_id, 8) AS card_token FROM obs"))
+def _(spark, sf_dir):
+    token = F.concat(F.lit("tok_"), F.col("card_id"), F.lit("_"), F.col("event_id"))
+    return T.observations(spark, sf_dir).select("event_id", V.card_token(token).alias("card_token"))
+
+
 @query("incident_queue", with_("inc", tail="SELECT incident_id, severity, detected_ms FROM inc ORDER BY CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, detected_ms DESC, incident_id LIMIT 200"))
 def _(spark, sf_dir):
     return I.incident_queue(T.incidents(spark, sf_dir)).select("incident_id", "severity", "detected_ms")

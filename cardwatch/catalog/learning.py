@@ -271,9 +271,10 @@ query("ml_forest")(_fit("forest"))
 
 @query("ml_temperature")
 def _(spark, sf_dir):
-    model = M.train(_training(spark, sf_dir), "logistic")
-    return _scored(spark, sf_dir).limit(1).select(
-        F.lit(model.temperature).alias("temperature"), F.lit(model.threshold).alias("threshold"), F.lit(model.review_threshold).alias("review_threshold")
+    rows = _training(spark, sf_dir)
+    model = M.train(rows, "logistic")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows_n")).select(
+        "split", "rows_n", F.lit(model.temperature).alias("temperature"), F.lit(model.threshold).alias("threshold"), F.lit(model.review_threshold).alias("review_threshold")
     )
 
 

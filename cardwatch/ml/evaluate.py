@@ -14,6 +14,7 @@ from cardwatch.config import CostModel
 from cardwatch.functions.numeric import count_true, ratio
 from cardwatch.functions.timeline import running_total
 from cardwatch.operators.features import exact_ranks
+from cardwatch.session import stage
 
 _TICKS = 1_000_000_000
 
@@ -101,13 +102,11 @@ def operating_point(scored: DataFrame, keys: Sequence[str] = ("model",), *, revi
         count_true(blocked & (F.col("y") == 0)).alias("wrong"), F.max("threshold").alias("threshold"),
     )
     sums = sums.withColumn("take", F.least(F.floor(F.col("rows") * F.lit(review_cap)), F.col("rows") - F.col("blocked")))
-    below = scored.filter(~blocked).withColumn("tick", F.floor(F.col("risk") * _TICKS).cast("bigint"))
-    # Rank from the top within the rows below the block threshold.
-    top = below.join(sums.select(*keys, "take"), list(keys))
-    ranked = running_total(
-        top.groupBy(*keys, (F.lit(_TICKS) - F.col("tick")).alias("down")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("risk").alias("r")).drop("r"),
-        keys, "down", ["n"],
-    )
+    # A few numbers per key: written, so the joins below see how small they are.
+    sums = stage(sums, "operating")
+    down = (F.lit(_TICKS) - F.floor(F.col("risk") * _TICKS)).cast("bigint").alias("down")
+    counts = scored.filter(~blocked).groupBy(*keys, down).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total(counts, keys, "down", ["n"])
     edges = ranked.join(sums.select(*keys, "take"), list(keys)).filter((F.col("take") > 0) & (F.col("n") >= F.col("take")))
     edge = edges.groupBy(*keys).agg(((F.lit(_TICKS) - F.min("down")) / _TICKS).alias("edge"))
     return sums.join(edge, list(keys), "left").select(
@@ -157,7 +156,8 @@ def reliability(scored: DataFrame, *, bins: int = 10) -> DataFrame:
     """Predicted against observed rate in quantile bins (edges are exact order statistics)."""
     ticked = scored.withColumn("tick", F.floor(F.col("risk") * _TICKS).cast("bigint")).withColumn("all", F.lit(1))
     ranks = {f"q{i}": (lambda n, i=i: F.greatest(F.ceil(n * F.lit(i / bins)), F.lit(1))) for i in range(1, bins)}
-    edges = exact_ranks(ticked, ["all"], "tick", ranks).select("all", F.array(*ranks).alias("edges"))
+    # One row of edges: written, so that it is broadcast instead of shuffling the rows to it.
+    edges = stage(exact_ranks(ticked, ["all"], "tick", ranks).select("all", F.array(*ranks).alias("edges")), "edges")
     placed = ticked.join(edges, "all").withColumn("bin", F.size(F.filter("edges", lambda e: F.col("tick") > e)))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("predicted"), F.avg(F.col("y").cast("double")).alias("observed"))
 
@@ -197,6 +197,7 @@ def bootstrap(scored: DataFrame, row_id: Column, *, rounds: int = 1000, seed: in
 def single_feature_auc(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """ROC AUC of every feature on its own, strongest separation first."""
     low_high = rows.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).withColumn("all", F.lit(1))
+    low_high = stage(low_high, "ranges")
     scaled = rows.withColumn("all", F.lit(1)).join(low_high, "all")
     unit = lambda f: F.coalesce(F.try_divide(F.col(f) - F.col(f"lo_{f}"), F.col(f"hi_{f}") - F.col(f"lo_{f}")), F.lit(0.0))
     long = scaled.select("y", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), unit(f).alias("risk")) for f in features])))
@@ -207,7 +208,7 @@ def error_taxonomy(scored: DataFrame, column: str = "small_amount_share") -> Dat
     """Errors by tercile of a column."""
     ticked = scored.withColumn("tick", F.floor(F.col(column) * _TICKS).cast("bigint")).withColumn("all", F.lit(1))
     third = lambda k: (lambda n: F.greatest(F.ceil(n * F.lit(k / 3)), F.lit(1)))
-    edges = exact_ranks(ticked, ["all"], "tick", {"one": third(1), "two": third(2)})
+    edges = stage(exact_ranks(ticked, ["all"], "tick", {"one": third(1), "two": third(2)}), "edges")
     band = F.when(F.col("tick") < F.col("one"), "low").when(F.col("tick") < F.col("two"), "mid").otherwise("high")
     flagged, abuse = F.col("risk") >= F.col("threshold"), F.col("y") == 1
     return ticked.join(edges, "all").groupBy(band.alias("amount_band")).agg(

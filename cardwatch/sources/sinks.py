@@ -18,9 +18,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, lower: int
 
 
 def write_snapshot(df: DataFrame, path: str, *, day_of: str) -> None:
-    """Parquet by source and day; rows of one partition are first brought together in few files."""
+    """Parquet by source and day. Rebalancing joins small pieces of a day and splits very large days."""
     dated = df.withColumn("day", F.to_date(F.timestamp_millis(F.col(day_of))))
-    dated.repartition("source", "day", F.pmod(F.xxhash64(day_of), F.lit(8))).write.mode("overwrite").partitionBy("source", "day").parquet(path)
+    dated.hint("rebalance", "source", "day").write.mode("overwrite").partitionBy("source", "day").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

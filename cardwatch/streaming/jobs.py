@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cardwatch.config import MINUTE_MS, ChangeOptions, FeatureWindow
+from cardwatch.config import DAY_MS, MINUTE_MS, ChangeOptions, FeatureWindow
 from cardwatch.operators.change import detect_change
 from cardwatch.operators.containment import blocked_attempts
 from cardwatch.operators.features import ENTITY, stack_kinds
@@ -112,8 +112,14 @@ def unresolved(checkouts: DataFrame, events: DataFrame, *, bound: str = "5 minut
     return placed.join(paid, near, "left_outer").filter(F.col("paid_order").isNull()).select("order_id", "created_ms")
 
 
-def evaluate(observations: DataFrame, path: str, *, window: FeatureWindow, columns: tuple[str, ...]) -> None:
-    """One detection pass per micro-batch, over the bounded lookback of the stored events."""
+def evaluate(
+    observations: DataFrame, path: str, *, window: FeatureWindow, columns: tuple[str, ...], payment_life_ms: int = DAY_MS
+) -> None:
+    """One detection pass per micro-batch, over the bounded lookback of the stored events.
+
+    The lookback is the longest feature horizon plus the time a payment's events may span, so
+    no payment inside the horizon misses an earlier event.
+    """
     spark = observations.sparkSession
     events_path = folder(spark, "events")
 
@@ -123,7 +129,8 @@ def evaluate(observations: DataFrame, path: str, *, window: FeatureWindow, colum
         newest = stored.agg(F.max("at_ms").alias("m")).first()["m"]
         if newest is None:
             return
-        found = detection_pass(stored, as_of_ms=newest + 1_000, window=window)
+        recent = stored.filter(F.col("at_ms") >= newest - window.lookback_ms - payment_life_ms)
+        found = detection_pass(recent, as_of_ms=newest + 1_000, window=window)
         found.decided.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     each_batch(observations, "evaluate", step)
