@@ -9,6 +9,11 @@ from cardwatch.session import configure
 SCOPE = "shop"
 
 
+def scope_of(key: str) -> Column:
+    """The merchant a row belongs to: one here, but a column like any other to the optimiser."""
+    return F.when(F.col(key).isNotNull(), SCOPE).alias("scope")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,7 +29,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     at = epoch_ms("ts")
     return e.select(
-        F.lit(SCOPE).alias("scope"),
+        scope_of("user_id"),
         "event_id",
         at.alias("at_ms"),
         F.concat(F.lit("o"), F.col("user_id"), F.lit("_"), F.expr("unix_millis(cast(ts AS timestamp)) div 259200000")).alias("order_id"),
@@ -94,7 +99,7 @@ def lineitem_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as canonical events; repeats of (order, line) are webhooks of one payment."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.lit(SCOPE).alias("scope"),
+        scope_of("l_orderkey"),
         F.concat_ws(
             "-", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
             F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint"), F.col("l_returnflag"),
@@ -118,7 +123,7 @@ def checkout_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = o.join(c, o["o_custkey"] == c["c_custkey"], "left")
     return joined.select(
-        F.lit(SCOPE).alias("scope"),
+        scope_of("o_orderkey"),
         F.concat(F.lit("o"), F.col("o_orderkey")).alias("order_id"),
         F.concat(F.lit("s"), F.col("o_custkey")).alias("session"),
         F.concat(F.lit("d"), F.col("o_custkey") % 211).alias("device"),
