@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardwatch.catalog.base import FRAGMENTS, fragment, query, with_
+from cardwatch.catalog.base import fragment, query, with_
 from cardwatch.functions import views as V
 from cardwatch.operators import links as L, velocity as Vel
 from cardwatch.operators.attempts import flag_late, per_payment, resolve_attempts, resolve_orders

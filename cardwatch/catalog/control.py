@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardwatch.catalog.base import ABSTAINED_SQL, csv, event_pass, fragment, query, r6, with_
+from cardwatch.catalog.base import csv, event_pass, fragment, query, with_
 from cardwatch.config import DAY_MS, Policy
 from cardwatch.operators import audit as Au, containment as Co, policy as P
 from cardwatch.operators.attempts import per_payment
 from cardwatch.operators.features import ENTITY
-from cardwatch.operators.hypotheses import combine_model
 from cardwatch.operators.rules import severity
 from cardwatch.session import stage
 from cardwatch.sources import tables as T

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.catalog.base import (
-    ABSTAINED_SQL, FIRED_SQL, HL, W, WINDOW, csv, div0, event_pass, fragment, q6, query, r6, with_,
+    ABSTAINED_SQL, FIRED_SQL, WINDOW, csv, event_pass, fragment, q6, query, r6, with_,
 )
 from cardwatch.operators import hypotheses as H
 from cardwatch.operators.attempts import per_payment
@@ -50,8 +50,7 @@ def _(spark, sf_dir):
 @query("features_one", with_("feat", tail=f"SELECT {_feat_cols} FROM feat WHERE entity_kind = 'network' AND entity_key = 'n3'"))
 def _(spark, sf_dir):
     as_of = newest_ms(spark, sf_dir)
-    # An attempt's network is its first event's, so the entity filter goes below the collapse
-    # only because the key is constant within a payment in this table's key design.
+    # An attempt's network is its first event's, so the entity filter comes after the collapse.
     attempts = per_payment(observations(spark, sf_dir), as_of_ms=as_of).filter(F.col("network") == "n3")
     vectors = features(
         stage(attempts, "attempts"), as_of_ms=as_of, window=WINDOW, kinds=("network",), entity_key="n3", median=True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.catalog.base import (
-    HL, IDLE_MS, W, WINDOW, csv, div0, event_pass, fragment, q6, query, r3, r6, with_,
+    HL, IDLE_MS, csv, div0, event_pass, fragment, q6, query, r3, r6, with_,
 )
 from cardwatch.config import DAY_MS, ChangeOptions, ShopSpikeLimits
 from cardwatch.functions import views as V

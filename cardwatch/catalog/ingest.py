@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardwatch import schemas
 from cardwatch.catalog import control, reports  # noqa: F401  (their SQL fragments are used here)
-from cardwatch.catalog.base import fragment, query, r6, with_
+from cardwatch.catalog.base import fragment, query, with_
 from cardwatch.functions import crypto as X, text as Tx
 from cardwatch.config import DAY_MS
 from cardwatch.session import shared_folder, stage

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardwatch.catalog.base import W as WMS, WINDOW, csv, event_pass, fragment, q6, query, r6, with_
-from cardwatch.catalog.attempts import _event_orders, _rows
+from cardwatch.catalog.base import WINDOW, csv, event_pass, fragment, q6, query, r6, with_
+from cardwatch.catalog.attempts import _event_orders
 from cardwatch.catalog.incidents import _moves, titled
 from cardwatch.config import DAY_MS, HOUR_MS
 from cardwatch.functions.views import card_token

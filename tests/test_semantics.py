@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from cardwatch.config import ChangeOptions, FeatureWindow, Policy
 from cardwatch.functions import crypto, text
 from cardwatch.functions.numeric import half_up
-from cardwatch.functions.timeline import as_of, running_total, trailing_distinct, trailing_sum
+from cardwatch.functions.timeline import as_of, trailing_distinct, trailing_sum
 from cardwatch.ml import evaluate as E
 from cardwatch.ml.dataset import grouped_split, group_overlap
-from cardwatch.operators import audit, change, incidents, policy, rules
+from cardwatch.operators import audit, change, incidents, policy
 from cardwatch.operators.attempts import per_payment, resolve_attempts, resolve_orders
 from cardwatch.operators.features import exact_median, features
 from cardwatch.plans.detect import detection_pass
