@@ -19,6 +19,11 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
 
 
+def _bodies(spark, sf_dir):
+    """The columns of the raw table that parsing reads."""
+    return T.inbox_table(spark, sf_dir, "scope", "event_id", "source", "received_ms", "raw_body")
+
+
 # --- deliveries and canonical events -----------------------------------------------------------
 
 fragment("wh", ("late",), """
@@ -37,23 +42,23 @@ _CAN = ("event_id", "source", "received_ms", "event_type", "entity_type", "order
 
 @query("canonicalize", with_("canonical", tail=f"SELECT {', '.join(_CAN)} FROM canonical"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).select(*_CAN)
+    return Wh.canonicalize(_bodies(spark, sf_dir)).select(*_CAN)
 
 
 @query("primary_entity", with_("canonical", tail="SELECT entity_type, count(*) AS events_n FROM canonical GROUP BY entity_type"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("events_n"))
+    return Wh.canonicalize(_bodies(spark, sf_dir)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("events_n"))
 
 
 @query("event_time", with_("canonical", tail="SELECT event_id, at_ms FROM canonical"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).select("event_id", "at_ms")
+    return Wh.canonicalize(_bodies(spark, sf_dir)).select("event_id", "at_ms")
 
 
 @query("drop_pii", with_("canonical", tail="SELECT count(*) AS events_n, 0::BIGINT AS with_email, 0::BIGINT AS with_phone FROM canonical"))
 def _(spark, sf_dir):
     """No canonical row may hold anything that looks like the personal fields of its body."""
-    rows = Wh.canonicalize(T.inbox_table(spark, sf_dir))
+    rows = Wh.canonicalize(_bodies(spark, sf_dir))
     everything = F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])
     has = lambda found: F.sum((F.size(found) > 0).cast("bigint"))
     return rows.agg(
@@ -63,12 +68,12 @@ def _(spark, sf_dir):
 
 @query("outcome_of", with_("canonical", tail="SELECT event_id, CASE WHEN status IN ('captured', 'failed', 'authorized') THEN status ELSE 'other' END AS outcome FROM canonical"))
 def _(spark, sf_dir):
-    return Wh.canonicalize(T.inbox_table(spark, sf_dir)).select("event_id", Wh.outcome_of(F.col("status")).alias("outcome"))
+    return Wh.canonicalize(_bodies(spark, sf_dir)).select("event_id", Wh.outcome_of(F.col("status")).alias("outcome"))
 
 
 @query("st_dead_letter", with_("wh", tail="SELECT event_id FROM wh WHERE shape = 'broken'"))
 def _(spark, sf_dir):
-    return Wh.dead_letters(T.inbox_table(spark, sf_dir)).select("event_id")
+    return Wh.dead_letters(_bodies(spark, sf_dir)).select("event_id")
 
 
 @query("src_observations_json", with_("canonical", "obs", tail="""
@@ -76,7 +81,7 @@ SELECT c.event_id, c.payment_id, CASE WHEN c.status IN ('captured', 'failed', 'a
 FROM canonical c JOIN obs o USING (event_id) WHERE c.entity_type = 'payment'"""))
 def _(spark, sf_dir):
     placed = T.observations(spark, sf_dir).select("order_id", "session", "device", "network").distinct()
-    obs = Wh.to_observations(Wh.canonicalize(T.inbox_table(spark, sf_dir)), placed)
+    obs = Wh.to_observations(Wh.canonicalize(_bodies(spark, sf_dir)), placed)
     return obs.select("event_id", "payment_id", "outcome", "amount_paise", "card_id", "session", "device", "network")
 
 
