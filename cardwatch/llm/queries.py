@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import mixing, sharding, urls
+from cardwatch.llm import exact, mixing, sharding, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_shard": sharding.op5_shard,
     "op7_url_filter": urls.op7_url_filter,
+    "op9_exact_dedup": exact.op9_exact_dedup,
 }
 
 ORACLE = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op5_shard": sharding.OP5_SQL,
     "op7_url_filter": urls.OP7_SQL,
+    "op9_exact_dedup": exact.OP9_SQL,
 }
