@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import exact, mixing, sharding, urls
+from cardwatch.llm import exact, mixing, neardup, sharding, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_shard": sharding.op5_shard,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_minhash": neardup.op8_minhash,
     "op9_exact_dedup": exact.op9_exact_dedup,
 }
 
