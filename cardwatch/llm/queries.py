@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import exact, mixing, neardup, sharding, urls
+from cardwatch.llm import exact, mixing, neardup, sharding, toxicity, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
     "op7_url_filter": urls.op7_url_filter,
     "op8_minhash": neardup.op8_minhash,
