@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import exact, mixing, neardup, sharding, toxicity, urls
+from cardwatch.llm import decontaminate, exact, mixing, neardup, sharding, toxicity, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_url_filter": urls.op7_url_filter,
     "op8_minhash": neardup.op8_minhash,
     "op9_exact_dedup": exact.op9_exact_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
@@ -18,4 +19,5 @@ ORACLE = {
     "op5_shard": sharding.OP5_SQL,
     "op7_url_filter": urls.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
