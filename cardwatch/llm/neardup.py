@@ -8,8 +8,9 @@
 
 A band shared by many nodes is not expanded into pairs. Its nodes are first compared with the smallest of
 them, then, where the band still joins several components, with one drawn by hash, and only nodes of
-different components that share a band after that are compared with each other. A pair inside one component needs no
-comparison: it cannot change the result. Very full bands are split by a second band first.
+different components that share a band after that are compared with each other: as rows where a band has few nodes, block by block inside
+tasks where it has many. A pair inside one component needs no comparison: it cannot change the result. Very full bands are split
+by a second band first.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; repeated rows and ids
 are rows of their own; ``component_id`` is the smallest id in the component, null only if it holds no other;
@@ -24,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,7 +38,9 @@ MINIMA, ROWS, BITS = 128, 4, 2
 BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
 THRESHOLD = 75  # per cent
 LEAST_ESTIMATE = 0.52
+FEW = 64  # nodes of a band that are compared as pairs of rows
 FULL_BAND = 2_000
+BLOCK = 256
 
 _MULTIPLIERS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << BITS) - 1)
@@ -132,18 +136,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = stage(in_band.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash-shared")
     members = stage(in_band.join(shared.select("key", "first"), "key"), "minhash-members")
 
-    links, found, tried = None, None, None
-    for pairs_of in (_with_first, _with_drawn, _across):
-        pairs = pairs_of(members, nodes, found)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(_promising(pairs, nodes), "minhash-pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        confirmed = stage(_confirm(pairs, docs, nodes), "minhash-links")
-        links = confirmed if links is None else links.unionByName(confirmed)
-        # components found so far are stars: their links stand for all that led to them
-        known = links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirmed)
-        found = stage(components(known), "minhash-components")
+    found = None
+    for pairs_of in (_with_first, _with_drawn):
+        pairs = stage(_promising(pairs_of(members, found), nodes), "minhash-pairs")
+        found = _merge(found, stage(_confirm(pairs, docs, nodes), "minhash-links"))
+    few, many = _across(members, nodes, found)
+    pairs = stage(_promising(few, nodes), "minhash-pairs")
+    links = _confirm(pairs, docs, nodes).unionByName(_in_blocks(many, docs, nodes))
+    found = _merge(found, stage(links, "minhash-links"))
 
     comp = nodes.join(found, "node", "left").select("digest", "low_id", "copies", F.coalesce("component", "node").alias("component"))
     comp = stage(comp, "minhash-sets")
@@ -159,18 +159,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_first(members: DataFrame, nodes: DataFrame, found) -> DataFrame:
+def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links so far (stars stand for all that led to them) and new ones."""
+    if found is not None:
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return stage(components(links), "minhash-components")
+
+
+def _with_first(members: DataFrame, found: None) -> DataFrame:
     return members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of bands that join several components, with their component."""
+    """key, node, component, n: members of bands that join several components."""
     placed = stage(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "minhash-placed")
-    mixed = stage(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"), "minhash-mixed")
-    return placed.join(mixed, "key")
+    return _several(placed)
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    per_key = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    return placed.join(stage(per_key.filter("low <> high").select("key", "n"), "minhash-several"), "key")
 
 
-def _with_drawn(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+def _with_drawn(members: DataFrame, found: DataFrame) -> DataFrame:
     inside = stage(_open(members, found), "minhash-open")
     draw = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node"), F.col("component"))
     drawn = stage(inside.groupBy("key").agg(F.min(draw).alias("d")).select("key", F.col("d.node").alias("one"), F.col("d.component").alias("its")), "minhash-drawn")
@@ -178,20 +189,67 @@ def _with_drawn(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataF
     return pairs.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
 
 
-def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    inside = stage(_open(members, found).join(nodes.select("node", "bands", "bits"), "node"), "minhash-across")
+def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes of different components in bands of few nodes, and the members of bands of many."""
+    inside = stage(_open(members, found), "minhash-open")
     # a very full band is split: links nearly always share a second band too
     finer = (
         inside.filter(F.col("n") > FULL_BAND)
-        .withColumn("other", F.explode("bands"))
+        .join(nodes.select("node", "bands"), "node")
+        .select("key", "node", "component", F.explode("bands").alias("other"))
         .filter("other <> key")
-        .withColumn("key", F.xxhash64("key", "other"))
+        .select(F.xxhash64("key", "other").alias("key"), "node", "component")
     )
-    inside = inside.filter(F.col("n") <= FULL_BAND).select("key", "node", "component", "bits").unionByName(finer.select("key", "node", "component", "bits"))
-    left, right = inside.alias("l"), inside.alias("r")
+    inside = stage(inside.filter(F.col("n") <= FULL_BAND).unionByName(_several(stage(finer, "minhash-finer"))), "minhash-across")
+    few = inside.filter(F.col("n") <= FEW).join(nodes.select("node", "bits"), "node")
+    left, right = few.alias("l"), few.alias("r")
     close = (F.col("l.component") < F.col("r.component")) & (estimate(F.col("l.bits"), F.col("r.bits")) >= LEAST_ESTIMATE)
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & close)
-    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    return (
+        pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(),
+        inside.filter(F.col("n") > FEW),
+    )
+
+
+def _in_blocks(many: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between different components inside bands of many nodes, on full sets.
+
+    A band is cut into blocks by hash and every two blocks meet in a task, which counts common shingles and keeps
+    one link for each two components it joins; no pair leaves the task but those.
+    """
+    arrays = _arrays(many.select("node").distinct(), docs, nodes)
+    cut = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
+    dealt = cut.withColumn("at", meet).select("key", "at.i", "at.j", "own", "node", "component")
+    return dealt.join(arrays, "node").groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
+    _, label = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    sets = pdf["shingles"].to_list()
+    size = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    inside = np.zeros(int(ids.max()) + 1, dtype=bool)
+    right = np.flatnonzero(own == j)
+    ids_right = np.concatenate([ids[first[x] : first[x] + size[x]] for x in right]) if len(right) else ids[:0]
+    starts = np.concatenate([[0], np.cumsum(size[right])[:-1]]).astype(int) if len(right) else np.zeros(0, int)
+    links = []
+    for x in np.flatnonzero(own == i):
+        if not (label[right] != label[x]).any():
+            continue
+        mine = ids[first[x] : first[x] + size[x]]
+        inside[mine] = True
+        both = np.add.reduceat(inside[ids_right].astype(np.int64), starts)
+        inside[mine] = False
+        near = 100 * both >= THRESHOLD * (size[x] + size[right] - both)
+        for y in right[near]:
+            if label[y] != label[x]:
+                links.append((min(node[x], node[y]), max(node[x], node[y])))
+                label[label == label[y]] = label[x]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -203,14 +261,18 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that are similar on their full sets."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stage(ends.join(nodes.select("node", "digest", "low_id"), "node"), "minhash-wanted")
+def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles of the wanted nodes."""
+    wanted = stage(wanted.join(nodes.select("node", "digest", "low_id"), "node"), "minhash-wanted")
     # the texts are found by id; where an id repeats, the digest tells which row is meant
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("low_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     arrays = shingle_arrays(texts).join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"])
-    arrays = stage(arrays.select("node", "shingles"), "minhash-arrays")
+    return stage(arrays.select("node", "shingles"), "minhash-arrays")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that are similar on their full sets."""
+    arrays = _arrays(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), docs, nodes)
     side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= THRESHOLD * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
