@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import decontaminate, exact, mixing, neardup, sharding, toxicity, urls
+from cardwatch.llm import decontaminate, exact, mixing, neardup, sharding, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
+    "op6_token_files": tokenfiles.op6_token_files,
     "op7_url_filter": urls.op7_url_filter,
     "op8_minhash": neardup.op8_minhash,
     "op9_exact_dedup": exact.op9_exact_dedup,
