@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import decontaminate, exact, mixing, neardup, sharding, tokenfiles, toxicity, urls
+from cardwatch.llm import decontaminate, exact, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_token_counts": unigram.op2_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
     "op6_token_files": tokenfiles.op6_token_files,
