@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.components import components
+from cardwatch.llm.linking import merge, several, still_open, with_drawn, with_first
 from cardwatch.llm.shingles import mix, shingle_sets
 from cardwatch.llm.text import table
 from cardwatch.session import stage
@@ -137,13 +137,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(in_band.join(shared.select("key", "first"), "key"), "minhash-members")
 
     found = None
-    for pairs_of in (_with_first, _with_drawn):
+    for pairs_of in (with_first, with_drawn):
         pairs = stage(_promising(pairs_of(members, found), nodes), "minhash-pairs")
-        found = _merge(found, stage(_confirm(pairs, docs, nodes), "minhash-links"))
+        found = merge(found, stage(_confirm(pairs, docs, nodes), "minhash-links"))
     few, many = _across(members, nodes, found)
     pairs = stage(_promising(few, nodes), "minhash-pairs")
     links = _confirm(pairs, docs, nodes).unionByName(_in_blocks(many, docs, nodes))
-    found = _merge(found, stage(links, "minhash-links"))
+    found = merge(found, stage(links, "minhash-links"))
 
     comp = nodes.join(found, "node", "left").select("digest", "low_id", "copies", F.coalesce("component", "node").alias("component"))
     comp = stage(comp, "minhash-sets")
@@ -159,39 +159,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of the links so far (stars stand for all that led to them) and new ones."""
-    if found is not None:
-        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-    return stage(components(links), "minhash-components")
-
-
-def _with_first(members: DataFrame, found: None) -> DataFrame:
-    return members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node, component, n: members of bands that join several components."""
-    placed = stage(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "minhash-placed")
-    return _several(placed)
-
-
-def _several(placed: DataFrame) -> DataFrame:
-    per_key = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    return placed.join(stage(per_key.filter("low <> high").select("key", "n"), "minhash-several"), "key")
-
-
-def _with_drawn(members: DataFrame, found: DataFrame) -> DataFrame:
-    inside = stage(_open(members, found), "minhash-open")
-    draw = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node"), F.col("component"))
-    drawn = stage(inside.groupBy("key").agg(F.min(draw).alias("d")).select("key", F.col("d.node").alias("one"), F.col("d.component").alias("its")), "minhash-drawn")
-    pairs = inside.join(drawn, "key").filter("component <> its")
-    return pairs.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
-
-
 def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of nodes of different components in bands of few nodes, and the members of bands of many."""
-    inside = stage(_open(members, found), "minhash-open")
+    inside = stage(still_open(members, found), "minhash-open")
     # a very full band is split: links nearly always share a second band too
     finer = (
         inside.filter(F.col("n") > FULL_BAND)
@@ -200,7 +170,7 @@ def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[Dat
         .filter("other <> key")
         .select(F.xxhash64("key", "other").alias("key"), "node", "component")
     )
-    inside = stage(inside.filter(F.col("n") <= FULL_BAND).unionByName(_several(stage(finer, "minhash-finer"))), "minhash-across")
+    inside = stage(inside.filter(F.col("n") <= FULL_BAND).unionByName(several(stage(finer, "minhash-finer"))), "minhash-across")
     few = inside.filter(F.col("n") <= FEW).join(nodes.select("node", "bits"), "node")
     left, right = few.alias("l"), few.alias("r")
     close = (F.col("l.component") < F.col("r.component")) & (estimate(F.col("l.bits"), F.col("r.bits")) >= LEAST_ESTIMATE)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import decontaminate, exact, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
+from cardwatch.llm import decontaminate, exact, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_token_counts": unigram.op2_token_counts,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
     "op6_token_files": tokenfiles.op6_token_files,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op3_line_dedup": lines.OP3_SQL,
     "op5_shard": sharding.OP5_SQL,
     "op7_url_filter": urls.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
