@@ -73,49 +73,57 @@ def fair_mix(
     seed: int = 0,
 ) -> DataFrame:
     """docs (doc_id, source, size, ...) with source_size, target, vft (finish times of its passes that
-    the mixture holds) and taken. The input is read more than once: pass a written table. Columns beyond
-    the first three travel in a struct, so their names cannot clash with those used here."""
-    docs = docs.select("doc_id", "source", "size", F.struct(*[c for c in docs.columns if c not in MADE]).alias("_doc"))
-    total = docs.agg(F.sum("size")).first()[0] or 0
+    the mixture holds) and taken.
+
+    Offsets and the cut are found on ids and sizes alone; after that the documents are moved once. Columns
+    beyond the first three travel in a struct, so their names cannot clash with those used here.
+    """
+    sizes = stage(docs.select("doc_id", "source", "size"), "mix-sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
     pieces = max(1, min(MAX_PIECES, ceil(total / PIECE_WORDS)))
-    width = ceil(2**60 / pieces)
-    placed = docs.withColumn("_key", shuffle_key(F.col("doc_id"), seed)).withColumn("_piece", F.floor(F.col("_key") / width).cast("int"))
+    placed = lambda df: df.withColumn("_key", shuffle_key(F.col("doc_id"), seed)).withColumn(
+        "_piece", F.floor(F.col("_key") / ceil(2**60 / pieces)).cast("int")
+    )
 
     # offsets of the slices of each source's queue, with what is known of the source
-    sums = placed.groupBy("source", "_piece").agg(F.sum("size").alias("_sum"))
+    sums = placed(sizes).groupBy("source", "_piece").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    targets = source_targets(docs, weights, share, repeats).withColumnRenamed("source", "_source")
+    targets = source_targets(sizes, weights, share, repeats).withColumnRenamed("source", "_source")
     offsets = stage(
         sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .select(F.col("source").alias("_source"), F.col("_piece").alias("_at"), "_before", "source_size", "target"),
         "mix-offsets",
     )
-    inside = Window.partitionBy("source", "_piece").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = (
-        placed.withColumn("_run", F.sum("size").over(inside))
-        .join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_at")))
-        .withColumn("_run", F.col("_run") + F.col("_before"))
-        .drop("_source", "_at", "_before", "_piece")
-    )
-    # a document's finish time in each pass over its source
-    finish = F.transform(
-        F.sequence(F.lit(0), F.lit(repeats - 1)), lambda p: (F.col("_run") + p * F.col("source_size")) / F.col("target")
-    )
-    queued = stage(queued.withColumn("_vft", F.when((F.col("size") > 0) & (F.col("target") > 0), finish).otherwise(F.array().cast("array<double>"))), "mix-queues")
+    cut = _cut(stage(_queue(placed(sizes), offsets, repeats), "mix-queues"), pieces)
 
-    cut = _cut(queued, pieces)
-    order = lambda t: F.struct(t.alias("t"), F.col("_key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
+    docs = docs.select("doc_id", "source", "size", F.struct(*[c for c in docs.columns if c not in MADE]).alias("_doc"))
     if cut is None:
         kept = F.array().cast("array<double>")
     else:
         end = F.struct(F.lit(cut["t"]).alias("t"), F.lit(cut["k"]).alias("k"), F.lit(cut["d"]).alias("d"), F.lit(cut["s"]).alias("s"))
-        kept = F.filter("_vft", lambda t: order(t) <= end)
-    return queued.withColumn("vft", kept).select(
+        item = lambda t: F.struct(t.alias("t"), F.col("_key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
+        kept = F.filter("_vft", lambda t: item(t) <= end)
+    return _queue(placed(docs), offsets, repeats).withColumn("vft", kept).select(
         "_doc.*", "source_size", "target", "vft", (F.size("vft") * F.col("size")).cast("long").alias("taken")
     )
 
 
+def _queue(placed: DataFrame, offsets: DataFrame, repeats: int) -> DataFrame:
+    """placed with source_size, target and _vft, the finish time in each pass over the source."""
+    inside = Window.partitionBy("source", "_piece").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    queued = (
+        placed.withColumn("_run", F.sum("size").over(inside))
+        .join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_at")))
+        .withColumn("_run", F.col("_run") + F.col("_before"))
+    )
+    finish = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda p: (F.col("_run") + p * F.col("source_size")) / F.col("target"))
+    none = F.array().cast("array<double>")
+    return queued.withColumn("_vft", F.when((F.col("size") > 0) & (F.col("target") > 0), finish).otherwise(none)).drop(
+        "_source", "_at", "_before", "_piece", "_run"
+    )
+
+
 def _cut(queued: DataFrame, pieces: int):
     """The last item of the global order that fits the budget (one row), or None if there is none.
 

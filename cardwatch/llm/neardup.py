@@ -70,7 +70,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), bands, bits per row; bands and bits are null for an empty set."""
+    """doc_id, text_hash, n_shingles, digest (of the set), bands, bits per row; bands and bits are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +83,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bits.append(None if least is None else packed(least))
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             made = [pa.array(x, type=t) for x, t in zip((n, digest, bands, bits), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_shingles", "digest", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>, bits array<long>"
-    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, schema)
 
 
 def shingle_arrays(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, component_size for every row of docs (doc_id, text, ...)."""
+    """doc_id, text_hash, n_shingles, component_id, kept, component_size for every row of docs (doc_id, text, ...)."""
     signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
     # one node per distinct set; its key is the smallest row that has it
     nodes = stage(
@@ -149,9 +149,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = stage(comp, "minhash-sets")
     whole = stage(comp.groupBy("component").agg(F.min("low_id").alias("component_id"), F.sum("copies").alias("component_size")), "minhash-whole")
     by_set = stage(comp.join(whole, "component").select("digest", "component_id", "component_size"), "minhash-by-set")
-    joined = signed.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
+    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(by_set, "digest", "left")
     return joined.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id") == F.col("doc_id")), F.lit(True)).alias("kept"),
@@ -249,4 +250,4 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
