@@ -74,8 +74,7 @@ _NOW = 1_009_843_200_000
 
 @query("unresolved_checkouts", with_("lines", "checkouts", tail=f"""
 SELECT order_id, created_ms, ({_NOW} - created_ms) // 60000 AS age_minutes FROM checkouts
-WHERE created_ms < {_NOW} - 300000 AND order_id NOT IN (SELECT order_id FROM lines)
-ORDER BY created_ms DESC, order_id LIMIT 50"""))
+WHERE created_ms < {_NOW} - 300000 AND order_id NOT IN (SELECT order_id FROM lines)"""))
 def _(spark, sf_dir):
     return L.unresolved_checkouts(
         T.checkout_sessions(spark, sf_dir), T.lineitem_events(spark, sf_dir), now_ms=_NOW
@@ -160,9 +159,8 @@ def _(spark, sf_dir):
 
 
 fragment("typ", ("canon",), """
-SELECT source, count(*) AS captures, CASE WHEN count(*) >= 10 THEN floor(median(amount_paise) + 0.5)::BIGINT END AS typical_paise FROM (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY at_ms DESC, event_id) AS n FROM canon WHERE outcome = 'captured')
-WHERE n <= 500 GROUP BY source""")
+SELECT source, count(*) AS captures, CASE WHEN count(*) >= 10 THEN floor(median(amount_paise) + 0.5)::BIGINT END AS typical_paise FROM canon
+WHERE outcome = 'captured' GROUP BY source""")
 
 
 def _typical(spark, sf_dir):

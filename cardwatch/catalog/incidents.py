@@ -392,6 +392,6 @@ def _(spark, sf_dir):
     return T.observations(spark, sf_dir).select("event_id", V.card_token(token).alias("card_token"))
 
 
-@query("incident_queue", with_("inc", tail="SELECT incident_id, severity, detected_ms FROM inc ORDER BY CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, detected_ms DESC, incident_id LIMIT 200"))
+@query("incident_queue", with_("inc", tail="SELECT incident_id, severity, detected_ms FROM inc ORDER BY CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, detected_ms DESC, incident_id"))
 def _(spark, sf_dir):
     return I.incident_queue(T.incidents(spark, sf_dir)).select("incident_id", "severity", "detected_ms")

@@ -11,12 +11,12 @@ from cardwatch.catalog import control, reports  # noqa: F401  (their SQL fragmen
 from cardwatch.catalog.base import fragment, query, with_
 from cardwatch.functions import crypto as X, text as Tx
 from cardwatch.config import DAY_MS
-from cardwatch.session import shared_folder, stage
+from cardwatch.session import run_folder, stage
 from cardwatch.sources import sinks as S, tables as T, webhooks as Wh
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _bodies(spark, sf_dir):

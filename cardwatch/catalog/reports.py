@@ -67,7 +67,7 @@ SELECT 'shop' AS scope, b AS bucket_ms, (SELECT count(*) FROM att, clock WHERE f
   (SELECT count(*) FROM att, clock WHERE first_ms >= as_of - {window} AND status = 'failed' AND first_ms // {bucket} * {bucket} = b) AS failures,
   (SELECT count(*) FROM inc, clock WHERE detected_ms >= as_of - {window} AND detected_ms // {bucket} * {bucket} = b) AS incidents,
   coalesce((SELECT max(score) FROM inc, clock WHERE detected_ms >= as_of - {window} AND detected_ms // {bucket} * {bucket} = b), 0.0) AS risk
-FROM (SELECT unnest(range(greatest((as_of - {window}) // {bucket} * {bucket}, as_of // {bucket} * {bucket} - 47::BIGINT * {bucket}), as_of // {bucket} * {bucket} + 1, {bucket})) AS b FROM clock)""")
+FROM (SELECT unnest(range((as_of - {window}) // {bucket} * {bucket}, as_of // {bucket} * {bucket} + 1, {bucket})) AS b FROM clock)""")
 
 
 _trend_fragment("trend", MONTH, DAY_MS)

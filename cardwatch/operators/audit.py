@@ -23,23 +23,25 @@ def verify_chain(log: DataFrame, chain: Sequence[str] = ("chain_id",)) -> DataFr
 
     Every row is compared with the one before it by a join on position - 1, so a single chain
     of any length is checked by many tasks; only one candidate per partition and chain is left
-    for the final minimum.
+    for the final minimum. A missing hash, sequence number or position is a divergence like a wrong one.
     """
     chain = list(chain)
-    before = log.select(*chain, (F.col("position") + 1).alias("position"), F.col("seq").alias("prev_seq"), F.col("hash").alias("prev_row_hash"))
+    before = log.select(*chain, (F.col("position") + 1).alias("position"), F.col("seq").alias("prev_seq"), F.col("hash").alias("prev_row_hash"), F.lit(True).alias("_follows"))
     present = log.select(*chain, (F.col("seq") - 1).alias("prev_seq")).distinct().withColumn("displaced", F.lit(True))
     rows = log.join(before, [*chain, "position"], "left").join(present, [*chain, "prev_seq"], "left")
     later = F.col("prev_seq").isNotNull()
+    expected = F.when(F.col("_follows"), F.col("prev_row_hash")).otherwise(F.lit(GENESIS))
     jumped = later & (F.col("seq") != F.col("prev_seq") + 1)
     reason = (
-        F.when(later & (F.col("seq") <= F.col("prev_seq")), "out-of-order")
+        F.when(F.col("seq").isNull() | F.col("position").isNull(), "missing-order")
+        .when(later & (F.col("seq") <= F.col("prev_seq")), "out-of-order")
         .when(jumped & F.coalesce(F.col("displaced"), F.lit(False)), "out-of-order")
         .when(jumped, "sequence-gap")
-        .when(F.col("prev_hash") != F.coalesce(F.col("prev_row_hash"), F.lit(GENESIS)), "broken-link")
-        .when(content_hash(F.col("prev_hash")) != F.col("hash"), "hash-mismatch")
+        .when(~F.col("prev_hash").eqNullSafe(expected), "broken-link")
+        .when(~content_hash(F.col("prev_hash")).eqNullSafe(F.col("hash")), "hash-mismatch")
     )
     checked = rows.withColumn("reason", reason)
-    bad = F.when(F.col("reason").isNotNull(), F.col("position"))
+    bad = F.when(F.col("reason").isNotNull(), F.coalesce(F.col("position"), F.lit(-1)))
     return checked.groupBy(*chain).agg(
         F.count(F.lit(1)).alias("entries"),
         F.max_by("hash", "position").alias("head"),

@@ -305,7 +305,7 @@ def distinct_estimates(vectors: DataFrame) -> DataFrame:
     return vectors.select(*out)
 
 
-def rank_candidates(vectors: DataFrame, *, limit: int = 40) -> DataFrame:
+def rank_candidates(vectors: DataFrame, *, limit: int) -> DataFrame:
     """The ``limit`` busiest entities per kind: failures, then distinct cards, then attempts."""
     order = W.partitionBy("scope", "entity_kind").orderBy(
         F.desc("failures"), F.desc("rank_cards"), F.desc("attempts"), "entity_key"

@@ -118,7 +118,10 @@ def upsert_incidents(stored: DataFrame, found: DataFrame, *, key: str = "inciden
     """Next snapshot of the incident table: new values win, except what may never be rewritten."""
     keep_stored = ("status", "first_ms", "detected_ms")
     columns = [c for c in stored.columns if c != key]
-    a, b = stored.alias("a"), found.select(*stored.columns).alias("b")
+    # several finds of one key are one: the one with the newest activity
+    newest = F.max_by(F.struct(*columns), F.struct("last_ms", *[c for c in columns if c != "last_ms"])).alias("row")
+    single = found.select(*stored.columns).groupBy(key).agg(newest).select(key, "row.*")
+    a, b = stored.alias("a"), single.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     in_both = F.col(f"a.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()
     pick = lambda c: (
@@ -169,7 +172,9 @@ def shop_spike(decided: DataFrame, traffic: DataFrame, *, as_of_ms: int, limits:
     cohort = c("card_testing_sessions") >= limits.min_testing_sessions
     testing = (c("attempts") >= limits.min_attempts) & (c("infra_failure_share") <= limits.infra_max) & (collapsed | cohort)
     score = half_up(clamp01(1 - c("failing_session_approval_rate")))
-    return traffic.join(judged, "scope").select(
+    # a shop whose attempts have no entity key is judged by its traffic alone
+    judged = traffic.join(judged, "scope", "left").fillna(0, ["entities", "rule_incidents", "benign"])
+    return judged.select(
         "scope",
         F.lit("network").alias("entity_kind"),
         F.lit(SHOP_WIDE).alias("entity_key"),
@@ -217,6 +222,7 @@ def label_from_verdict(verdict: Column, to_status: Column) -> Column:
     )
 
 
-def incident_queue(incidents: DataFrame, *, limit: int = 200) -> DataFrame:
-    """Most severe first (by rank, not by name), then newest."""
-    return incidents.orderBy(F.desc(severity_rank(F.col("severity"))), F.desc("detected_ms"), "incident_id").limit(limit)
+def incident_queue(incidents: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Most severe first (by rank, not by name), then newest; all of them, or a page of ``limit``."""
+    ordered = incidents.orderBy(F.desc(severity_rank(F.col("severity"))), F.desc("detected_ms"), "incident_id")
+    return ordered if limit is None else ordered.limit(limit)

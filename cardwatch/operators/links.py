@@ -21,7 +21,7 @@ def entity_orders(events: DataFrame, checkouts: DataFrame, kind: str | None, key
     return placed.join(seen, "order_id", "left_semi").select("order_id").distinct()
 
 
-def unresolved_checkouts(checkouts: DataFrame, events: DataFrame, *, now_ms: int, lateness_ms: int = 300_000, limit: int | None = 50) -> DataFrame:
+def unresolved_checkouts(checkouts: DataFrame, events: DataFrame, *, now_ms: int, lateness_ms: int = 300_000, limit: int | None = None) -> DataFrame:
     """Checkouts old enough to have heard back, that never did; newest first."""
     waiting = checkouts.filter(F.col("created_ms") < now_ms - lateness_ms).join(
         events.select("order_id"), "order_id", "left_anti"

@@ -56,7 +56,9 @@ def overview_kpis(attempts: DataFrame, incidents: DataFrame, *, now_ms: int, win
         F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), worst + 1).alias("risk_level"),
     )
     change = F.try_divide((F.col("attempts") - F.col("prior_attempts")).cast("double"), F.col("prior_attempts"))
-    return volumes.join(state, "scope", "left").select(
+    # a scope with incidents and no recent attempts counts too, and the other way round
+    counts = ["attempts", "prior_attempts", "captured", "failed", "active_incidents", "under_review", "contained", "resolved", "total_incidents"]
+    return volumes.join(state, "scope", "full_outer").fillna(0, counts).select(
         "*", change.alias("attempts_delta"), F.greatest(F.col("attempts") - F.col("failed"), F.lit(0)).alias("safe")
     )
 
@@ -66,8 +68,11 @@ def top_reasons(incidents: DataFrame, *, limit: int = 5) -> DataFrame:
     return incidents.groupBy("title").agg(F.count(F.lit(1)).alias("incidents")).orderBy(F.desc("incidents"), "title").limit(limit)
 
 
-def risk_trend(attempts: DataFrame, incidents: DataFrame, *, now_ms: int, window_ms: int, keep: int = 48) -> DataFrame:
-    """Dense buckets (hourly up to a day, else daily): attempts, failures, incidents, worst score."""
+def risk_trend(attempts: DataFrame, incidents: DataFrame, *, now_ms: int, window_ms: int, keep: int | None = None) -> DataFrame:
+    """Dense buckets (hourly up to a day, else daily): attempts, failures, incidents, worst score.
+
+    All buckets of the window, or the ``keep`` newest; every scope that has attempts or incidents in it.
+    """
     bucket = HOUR_MS if window_ms <= DAY_MS else DAY_MS
     start = now_ms - window_ms
     first, last = start // bucket * bucket, now_ms // bucket * bucket
@@ -78,8 +83,8 @@ def risk_trend(attempts: DataFrame, incidents: DataFrame, *, now_ms: int, window
     raised = incidents.filter(F.col("detected_ms") >= start).groupBy("scope", floor_to("detected_ms")).agg(
         F.count(F.lit(1)).alias("incidents"), F.max("score").alias("risk")
     )
-    from_ms = max(first, last - (keep - 1) * bucket)
-    spine = tried.select("scope").distinct().withColumn(
+    from_ms = first if keep is None else max(first, last - (keep - 1) * bucket)
+    spine = tried.select("scope").unionByName(raised.select("scope")).distinct().withColumn(
         "bucket_ms", F.explode(F.sequence(F.lit(from_ms), F.lit(last), F.lit(bucket)))
     )
     zero = F.lit(0).cast("bigint")

@@ -89,16 +89,14 @@ def recent_orders(events: DataFrame, *, limit: int, source: str | None = None) -
     return latest.orderBy(F.desc("latest_ms"), "order_id").limit(limit)
 
 
-def typical_amount(captures: DataFrame, *, sample: int = 500, minimum: int = 10) -> DataFrame:
-    """Median of the newest captures of each source; NULL while there are too few."""
+def typical_amount(captures: DataFrame, *, sample: int | None = None, minimum: int = 10) -> DataFrame:
+    """Median of the captures of each source (of the ``sample`` newest ones, if given); NULL while there are too few."""
     from pyspark.sql import Window as W
 
-    newest = W.partitionBy("source").orderBy(F.desc("at_ms"), "event_id")
-    recent = (
-        captures.filter(F.col("amount_paise").isNotNull())
-        .withColumn("n", F.row_number().over(newest))
-        .filter(F.col("n") <= sample)
-    )
+    recent = captures.filter(F.col("amount_paise").isNotNull())
+    if sample is not None:
+        newest = W.partitionBy("source").orderBy(F.desc("at_ms"), "event_id")
+        recent = recent.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= sample)
     medians = exact_median(recent.select("source", "amount_paise"), ["source"], "amount_paise", "median")
     counts = recent.groupBy("source").agg(F.count(F.lit(1)).alias("captures"))
     typical = F.when(F.col("captures") >= minimum, F.floor(F.col("median") + 0.5).cast("bigint"))

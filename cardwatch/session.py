@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +16,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, else one beside the warehouse's tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cardwatch-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+_OWNED: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    folder = f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _OWNED.add(folder)
     return folder
 
 
@@ -34,6 +45,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     size, so a join against it is broadcast only when it is below the session's threshold.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -119,9 +119,40 @@ def canonicalize(inbox: DataFrame) -> DataFrame:
 
 
 def dead_letters(inbox: DataFrame) -> DataFrame:
-    """Deliveries whose body cannot be read, with a short reason."""
+    """Deliveries whose body cannot be read, with a fixed reason code; no text of the body leaves the raw table."""
     broken = parse_envelope(inbox).filter(F.col("envelope").isNull())
-    return broken.drop("envelope").withColumn("last_error", F.concat(F.lit("unreadable envelope: "), F.substring("raw_body", 1, 80)))
+    reason = F.when(F.try_parse_json("raw_body").isNull(), "not_json").otherwise("no_event")
+    return broken.withColumn("last_error", reason).drop("envelope", "raw_body")
+
+
+def next_attempts(pending: DataFrame, dead: DataFrame, *, now_ms: int, limit: int = 5) -> DataFrame:
+    """State of the deliveries that could not be read, after one more round.
+
+    ``pending`` holds one row per delivery that failed in this round (delivery_key, last_error), ``dead`` the state before it
+    (delivery_key, attempts, status, last_error, last_ms). A delivery is retried until ``limit`` rounds have failed, then it is dead and
+    stays so until it is requeued.
+    """
+    failed = pending.groupBy("delivery_key").agg(F.max("last_error").alias("error"))
+    both = dead.join(failed, "delivery_key", "full_outer")
+    retried = F.col("error").isNotNull() & (F.coalesce(F.col("status"), F.lit("retry")) == "retry")
+    attempts = F.coalesce(F.col("attempts"), F.lit(0)) + retried.cast("int")
+    return both.select(
+        "delivery_key",
+        attempts.alias("attempts"),
+        F.when(attempts >= limit, "dead").otherwise(F.coalesce("status", F.lit("retry"))).alias("status"),
+        F.coalesce("error", "last_error").alias("last_error"),
+        F.when(retried, F.lit(now_ms).cast("bigint")).otherwise(F.col("last_ms")).alias("last_ms"),
+    )
+
+
+def requeue(dead: DataFrame, keys: DataFrame) -> DataFrame:
+    """Dead deliveries a person wants tried again start from no attempts."""
+    again = keys.select("delivery_key").distinct().withColumn("_again", F.lit(True))
+    marked = dead.join(again, "delivery_key", "left")
+    back = F.coalesce(F.col("_again"), F.lit(False)) & (F.col("status") == "dead")
+    return marked.withColumn("attempts", F.when(back, 0).otherwise(F.col("attempts"))).withColumn(
+        "status", F.when(back, "retry").otherwise(F.col("status"))
+    ).drop("_again")
 
 
 def outcome_of(status: Column) -> Column:
