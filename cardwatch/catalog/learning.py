@@ -230,7 +230,7 @@ def _(spark, sf_dir):
 
 @query("ml_bootstrap")
 def _(spark, sf_dir):
-    return E.bootstrap(_at(spark, sf_dir), F.col("row_id"), rounds=200)
+    return E.bootstrap(_at(spark, sf_dir), F.col("row_id"))
 
 
 # --- fitted models (no SQL twin) ---------------------------------------------------------------------
@@ -252,13 +252,13 @@ def _training(spark, sf_dir):
     return stage(D.grouped_split(labelled).select("row_id", "group", "y", "split", *FEATS), "training")
 
 
-_ROUNDS = 20
+_ROUNDS = {"logistic": 0, "boosted": 200, "forest": 300}
 
 
 def _fit(name):
     def run(spark, sf_dir):
         rows = _training(spark, sf_dir)
-        model = M.train(rows, name, rounds=_ROUNDS)
+        model = M.train(rows, name, rounds=_ROUNDS[name])
         return M._test_metrics(model, rows, name)
 
     return run
@@ -289,7 +289,7 @@ def _(spark, sf_dir):
 @query("ml_score_trees")
 def _(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    model = M.train(rows, "boosted", rounds=_ROUNDS)
+    model = M.train(rows, "boosted")
     parts = M.ablated(model, rows, M.medians(rows), ["row_id"])
     top = parts.groupBy("row_id").agg(F.collect_list(F.struct("feature", "contribution")).alias("c"))
     return M.score(model, rows).join(top, "row_id").select(
@@ -307,15 +307,15 @@ def _(spark, sf_dir):
 @query("ml_importance")
 def _(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    model = M.train(rows, "logistic")
+    model = M.train(rows, "boosted")
     return M.importance(M.ablated(model, rows.filter("split = 'test'"), M.medians(rows), ["row_id"]))
 
 
 @query("ml_canary")
 def _(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    model = M.train(rows, "logistic")
-    return M.canary(rows, float(M._test_metrics(model, rows, "logistic").first()["pr_auc"]))
+    model = M.train(rows, "boosted")
+    return M.canary(rows, float(M._test_metrics(model, rows, "boosted").first()["pr_auc"]))
 
 
 @query("ml_leakage")
@@ -326,19 +326,19 @@ def _(spark, sf_dir):
 
 @query("ml_ladder")
 def _(spark, sf_dir):
-    return M.ladder(_training(spark, sf_dir), rounds={"boosted": _ROUNDS, "forest": _ROUNDS})
+    return M.ladder(_training(spark, sf_dir))
 
 
 @query("ml_ablation")
 def _(spark, sf_dir):
-    return M.ablation(_training(spark, sf_dir), "logistic")
+    return M.ablation(_training(spark, sf_dir))
 
 
 @query("ml_learning_curve")
 def _(spark, sf_dir):
-    return M.learning_curve(_training(spark, sf_dir), "logistic")
+    return M.learning_curve(_training(spark, sf_dir))
 
 
 @query("ml_stability")
 def _(spark, sf_dir):
-    return M.stability(_training(spark, sf_dir), seeds=(1, 2), names=("forest", "logistic"), rounds=_ROUNDS)
+    return M.stability(_training(spark, sf_dir))

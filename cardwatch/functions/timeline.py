@@ -7,9 +7,11 @@ minutes is carried by one row per (key, minute).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from cardwatch.session import stage
 
 MINUTE = "_minute"
 
@@ -31,6 +33,34 @@ def running_total(deltas: DataFrame, keys: Sequence[str], time: str, measures: S
     )
 
 
+def cumulated(rows: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], *, pieces: int = 256) -> DataFrame:
+    """Sum of each measure per distinct value of the key, and over all values up to it (``cum_`` columns).
+
+    Works on any ordered column, exactly: approximate quantiles only decide where the values are cut into pieces,
+    which are ordered apart and carried over. Equal values are counted first, so one value may hold any number of rows.
+    """
+    keys = list(keys)
+    counted = stage(rows.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures]), "cumulated")
+    cuts = stage(counted.groupBy(*keys).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10_000).alias("_cuts")), "cuts")
+    placed = counted.join(cuts, keys).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_piece").agg(*[F.sum(m).alias(m) for m in measures])
+    earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*keys, "_piece", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_base_{m}") for m in measures])
+    inside = W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return placed.join(base, [*keys, "_piece"]).select(
+        *keys, value, *measures, *[(F.col(f"_base_{m}") + F.sum(m).over(inside)).alias(f"cum_{m}") for m in measures]
+    )
+
+
+def order_statistics(rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per key the value at each rank (a function of the number of rows), without ordering the rows."""
+    keys = list(keys)
+    ordered = stage(cumulated(rows.filter(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("bigint")), keys, value, ["_n"]), "ordered")
+    totals = stage(ordered.groupBy(*keys).agg(F.sum("_n").alias("_all")), "totals")
+    reached = lambda rank: F.min(F.when(F.col("cum__n") >= rank(F.col("_all")), F.col(value)))
+    return ordered.join(totals, keys).groupBy(*keys).agg(*[reached(rank).alias(name) for name, rank in ranks.items()])
+
+
 def trailing_sum(rows: DataFrame, keys: Sequence[str], time: str, span_ms: int, measures: Sequence[str]) -> DataFrame:
     """Sum of each measure over [t - span, t], for every time t at which the key has a row."""
     keys = list(keys)

@@ -1,7 +1,7 @@
 """Evaluation of scored rows (``y`` 0/1, ``risk`` in [0, 1]) as aggregates.
 
-Ranking metrics work on score ticks of 1e-9: rows are first counted per (key, tick), so what
-is ordered afterwards are distinct scores in bounded pieces, never the rows.
+Ranking metrics count the rows of each distinct score first; what is ordered afterwards are distinct
+scores in bounded pieces, never the rows. Scores are compared as they are.
 """
 
 from __future__ import annotations
@@ -12,22 +12,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.config import CostModel
 from cardwatch.functions.numeric import count_true, ratio
-from cardwatch.functions.timeline import running_total
-from cardwatch.operators.features import exact_ranks
+from cardwatch.functions.timeline import cumulated, order_statistics
 from cardwatch.session import stage
 
-_TICKS = 1_000_000_000
-
 
 def _curve(scored: DataFrame, keys: Sequence[str], score: str = "risk", weight: Column | None = None) -> DataFrame:
-    """Per key and descending score tick: positives, rows, and both cumulated from the top."""
+    """Per key and distinct score, from the top: positives, rows, and both cumulated."""
     w = F.lit(1.0) if weight is None else weight
-    descending = (F.lit(_TICKS) - F.floor(F.col(score) * _TICKS)).cast("bigint")
-    ticks = scored.withColumn("tick", descending).groupBy(*keys, "tick").agg(
-        F.sum(F.when(F.col("y") == 1, w).otherwise(0.0)).alias("pos"), F.sum(w).alias("n")
-    )
-    cumulated = running_total(ticks, keys, "tick", ["pos", "n"]).withColumnsRenamed({"pos": "cum_pos", "n": "cum_n"})
-    return ticks.join(cumulated, [*keys, "tick"])
+    down = scored.select(*keys, (-F.col(score)).alias("down"), F.when(F.col("y") == 1, w).otherwise(0.0).alias("pos"), w.alias("n"))
+    return cumulated(down, keys, "down", ["pos", "n"])
 
 
 def ranking(scored: DataFrame, keys: Sequence[str] = ("model",), *, score: str = "risk", weight: Column | None = None) -> DataFrame:
@@ -104,11 +97,10 @@ def operating_point(scored: DataFrame, keys: Sequence[str] = ("model",), *, revi
     sums = sums.withColumn("take", F.least(F.floor(F.col("rows") * F.lit(review_cap)), F.col("rows") - F.col("blocked")))
     # A few numbers per key: written, so the joins below see how small they are.
     sums = stage(sums, "operating")
-    down = (F.lit(_TICKS) - F.floor(F.col("risk") * _TICKS)).cast("bigint").alias("down")
-    counts = scored.filter(~blocked).groupBy(*keys, down).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_total(counts, keys, "down", ["n"])
-    edges = ranked.join(sums.select(*keys, "take"), list(keys)).filter((F.col("take") > 0) & (F.col("n") >= F.col("take")))
-    edge = edges.groupBy(*keys).agg(((F.lit(_TICKS) - F.min("down")) / _TICKS).alias("edge"))
+    down = scored.filter(~blocked).select(*keys, (-F.col("risk")).alias("down"), F.lit(1).cast("bigint").alias("n"))
+    ranked = cumulated(down, keys, "down", ["n"])
+    edges = ranked.join(sums.select(*keys, "take"), list(keys)).filter((F.col("take") > 0) & (F.col("cum_n") >= F.col("take")))
+    edge = edges.groupBy(*keys).agg((-F.min("down")).alias("edge"))
     return sums.join(edge, list(keys), "left").select(
         *keys,
         ratio(F.col("wrong"), F.col("negatives")).alias("false_decline_rate"),
@@ -154,16 +146,19 @@ def per_origin(scored: DataFrame) -> DataFrame:
 
 def reliability(scored: DataFrame, *, bins: int = 10) -> DataFrame:
     """Predicted against observed rate in quantile bins (edges are exact order statistics)."""
-    ticked = scored.withColumn("tick", F.floor(F.col("risk") * _TICKS).cast("bigint")).withColumn("all", F.lit(1))
+    marked = scored.withColumn("all", F.lit(1))
     ranks = {f"q{i}": (lambda n, i=i: F.greatest(F.ceil(n * F.lit(i / bins)), F.lit(1))) for i in range(1, bins)}
     # One row of edges: written, so that it is broadcast instead of shuffling the rows to it.
-    edges = stage(exact_ranks(ticked, ["all"], "tick", ranks).select("all", F.array(*ranks).alias("edges")), "edges")
-    placed = ticked.join(edges, "all").withColumn("bin", F.size(F.filter("edges", lambda e: F.col("tick") > e)))
+    edges = stage(order_statistics(marked, ["all"], "risk", ranks).select("all", F.array(*ranks).alias("edges")), "edges")
+    placed = marked.join(edges, "all").withColumn("bin", F.size(F.filter("edges", lambda e: F.col("risk") > e)))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("predicted"), F.avg(F.col("y").cast("double")).alias("observed"))
 
 
 def poisson_weight(row_id: Column, round_id: Column, seed: int) -> Column:
-    """Poisson(1) draw from a hash of row and round: the same when a task is run again."""
+    """Poisson(1) draw from a hash of row and round: the same when a task is run again.
+
+    The hash has 30 bits; the largest draw they can tell from a smaller one is 11.
+    """
     u = F.pmod(F.xxhash64(row_id, round_id, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     weight, cumulative, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 12):
@@ -196,22 +191,19 @@ def bootstrap(scored: DataFrame, row_id: Column, *, rounds: int = 1000, seed: in
 
 def single_feature_auc(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """ROC AUC of every feature on its own, strongest separation first."""
-    low_high = rows.agg(*[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).withColumn("all", F.lit(1))
-    low_high = stage(low_high, "ranges")
-    scaled = rows.withColumn("all", F.lit(1)).join(low_high, "all")
-    unit = lambda f: F.coalesce(F.try_divide(F.col(f) - F.col(f"lo_{f}"), F.col(f"hi_{f}") - F.col(f"lo_{f}")), F.lit(0.0))
-    long = scaled.select("y", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), unit(f).alias("risk")) for f in features])))
+    value = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("risk")
+    long = rows.select("y", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), value(f)) for f in features])))
     return ranking(long, ["feature"]).select("feature", F.col("roc_auc").alias("auc"), F.abs(F.col("roc_auc") - 0.5).alias("separation"), "pr_auc")
 
 
 def error_taxonomy(scored: DataFrame, column: str = "small_amount_share") -> DataFrame:
     """Errors by tercile of a column."""
-    ticked = scored.withColumn("tick", F.floor(F.col(column) * _TICKS).cast("bigint")).withColumn("all", F.lit(1))
+    marked = scored.withColumn("all", F.lit(1))
     third = lambda k: (lambda n: F.greatest(F.ceil(n * F.lit(k / 3)), F.lit(1)))
-    edges = stage(exact_ranks(ticked, ["all"], "tick", {"one": third(1), "two": third(2)}), "edges")
-    band = F.when(F.col("tick") < F.col("one"), "low").when(F.col("tick") < F.col("two"), "mid").otherwise("high")
+    edges = stage(order_statistics(marked, ["all"], column, {"one": third(1), "two": third(2)}), "edges")
+    band = F.when(F.col(column) < F.col("one"), "low").when(F.col(column) < F.col("two"), "mid").otherwise("high")
     flagged, abuse = F.col("risk") >= F.col("threshold"), F.col("y") == 1
-    return ticked.join(edges, "all").groupBy(band.alias("amount_band")).agg(
+    return marked.join(edges, "all").groupBy(band.alias("amount_band")).agg(
         F.count(F.lit(1)).alias("n"), count_true(flagged & ~abuse).alias("false_positive"), count_true(~flagged & abuse).alias("false_negative")
     )
 

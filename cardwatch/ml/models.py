@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cardwatch.config import CostModel
 from cardwatch.ml import evaluate as E
 from cardwatch.ml.dataset import ENTITY_FEATURES, SEED, TRAFFIC_FEATURES, grouped_split, hash_fraction
-from cardwatch.operators.features import exact_ranks
+from cardwatch.functions.timeline import order_statistics
 from cardwatch.schemas import FEATURES
 from cardwatch.session import stage
 
@@ -100,10 +100,10 @@ def score(model: Fitted, rows: DataFrame) -> DataFrame:
 
 def medians(rows: DataFrame, features: Sequence[str] = FEATURES) -> dict[str, float]:
     """Median of every feature on the train side: ten numbers."""
-    ticks = F.array(*[F.struct(F.lit(f).alias("feature"), F.floor(F.col(f) * 1e9).cast("bigint").alias("tick")) for f in features])
-    long = rows.filter(F.col("split") == "train").select(F.inline(ticks))
-    found = exact_ranks(long, ["feature"], "tick", {"m": lambda n: F.floor((n + 1) / 2)})
-    return {r["feature"]: r["m"] / 1e9 for r in found.collect()}
+    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    long = rows.filter(F.col("split") == "train").select(F.inline(values))
+    found = order_statistics(long, ["feature"], "value", {"m": lambda n: F.floor((n + 1) / 2)})
+    return {r["feature"]: r["m"] for r in found.collect()}
 
 
 def linear_contributions(model: Fitted) -> Column:
@@ -203,10 +203,9 @@ def canary(rows: DataFrame, model_pr_auc: float, *, margin: float = 0.15, featur
     alone = E.single_feature_auc(rows.filter(F.col("split") == "test"), features)
     strongest = alone.agg(F.max_by(F.struct("feature", "auc"), F.struct("separation", "feature")).alias("s")).first()["s"]
     sign = 1.0 if strongest["auc"] >= 0.5 else -1.0
-    test = rows.filter(F.col("split") == "test").select("y", (F.col(strongest["feature"]) * sign).alias("raw"))
-    span = test.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
-    unit = (F.col("raw") - span["lo"]) / ((span["hi"] - span["lo"]) or 1.0)
-    rule = E.ranking(test.select("y", unit.alias("risk"), F.lit(strongest["feature"]).alias("feature")), ["feature"])
+    test = rows.filter(F.col("split") == "test")
+    alone = test.select("y", (F.col(strongest["feature"]) * sign).alias("risk"), F.lit(strongest["feature"]).alias("feature"))
+    rule = E.ranking(alone, ["feature"])
     lift = F.lit(model_pr_auc) - F.col("pr_auc")
     return rule.select(
         "feature", F.lit(strongest["auc"]).alias("auc"), F.col("pr_auc").alias("rule_pr_auc"), F.lit(model_pr_auc).alias("model_pr_auc"),
