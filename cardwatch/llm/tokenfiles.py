@@ -38,7 +38,7 @@ from cardwatch.session import shared_folder, stage
 
 END_ID = 2
 FILE_BYTES = 256 << 20  # of text
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000  # pieces of text, about 200 bytes each
 ROWS = 500
 
 #: Fixed values of the zstandard seekable format and of skippable frames.
@@ -60,6 +60,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
     def _pieces(self, text: str) -> list[str]:
         if "<|" not in text:  # special tokens are matched as written
@@ -80,18 +82,34 @@ class Encoder:
                 parts[piece] = (core, piece[len(core) :])
             else:
                 parts[piece] = (piece,)
-        todo = list({x for own in parts.values() for x in own} - self.known.keys())
+        todo = {x for own in parts.values() for x in own if x not in self.known}
+        plain = [x for x in todo if x.isalpha()]
+        for a in range(0, len(plain), 5000):
+            self._learn_words(plain[a : a + 5000])
+        todo = [x for x in todo if x not in self.known]
         for a in range(0, len(todo), 5000):
             found = self.tokenizer.encode_batch_fast(todo[a : a + 5000], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(todo[a : a + 5000], found, strict=True))
         self.known.update((piece, self.known[own[0]] + self.known[own[1]]) for piece, own in parts.items() if len(own) > 1)
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters only are one token group each, closed by a token that ends a word, so many are encoded as one text."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * ids.itemsize
+        if len(ends) == len(words):  # else they are encoded one by one
+            data, start = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                self.known[word] = data[start:end]
+                start = end
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [self._pieces(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self._learn(set().union(*pieces) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        found = [list(map(self.known.get, p)) for p in pieces]
+        self._learn({w for p, f in zip(pieces, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
+        known = self.known
+        return [b"".join([known[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(pieces, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
