@@ -175,7 +175,7 @@ def largest(texts: list[str | None], model: Model) -> np.ndarray:
         bags = [spans(t) if t else set() for t in texts[a : a + 500]]
         if len(_SCORED) > KEPT_WORDS:
             _SCORED.clear()
-        new = list(set().union(*bags) - _SCORED.keys())
+        new = [w for w in set().union(*bags) if w not in _SCORED]
         _SCORED.update(zip(new, span_scores(new, _SCORED_BY[1], model.bias).tolist(), strict=True))
         score = _SCORED.__getitem__
         found[a : a + len(bags)] = [max(map(score, b)) if b else NO_SIGN for b in bags]
