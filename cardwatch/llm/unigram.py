@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                 texts = [_words(t) if t else [] for t in batch.column("text").slice(a, ROWS).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
-                known.update(pieces.counts(list(set().union(*texts) - known.keys())))
+                known.update(pieces.counts([w for w in set().union(*texts) if w not in known]))
                 n_words += map(len, texts)
                 n_tokens += [sum(map(known.__getitem__, t)) for t in texts]
             made = [pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())]
