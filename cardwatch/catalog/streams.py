@@ -1,25 +1,38 @@
-"""Queries: streams run to completion over time slices of the tables; SQL twins are the batch answers."""
+"""Queries: streams run to completion over slices of the tables in shuffled order; SQL twins are the batch answers."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cardwatch.catalog import control, incidents as inc_q, ingest, reports  # noqa: F401  (their SQL fragments are used here)
-from cardwatch.catalog.base import IDLE_MS, WINDOW, query, with_
-from cardwatch.config import ChangeOptions
-from cardwatch.operators.attempts import per_payment
+from cardwatch.catalog.base import IDLE_MS, WINDOW, q6, query, r3, r6, with_
 from cardwatch.operators.containment import containment_state, expire_due
 from cardwatch.operators.features import ENTITY
-from cardwatch.session import stage
+from cardwatch.session import run_folder, stage
 from cardwatch.sources import tables as T
-from cardwatch.streaming import jobs as J, runtime as Rt
+from cardwatch.streaming import jobs as J
+from cardwatch.streaming.runtime import newest_per
 
 KEY = "scope, entity_kind, entity_key"
 
 
-def _stream(df, name, order_by, slices=3):
-    path = Rt.replay_slices(df, name, order_by=order_by, slices=slices)
-    return Rt.read_slices(df.sparkSession, path, df.schema)
+def _arrive(df, name, start, slices=3, again=False):
+    """Deliver a table in slices drawn by hash, so rows come late and out of order, and start the job anew for each slice.
+
+    With ``again`` each slice also brings the one before it a second time.
+    """
+    spark = df.sparkSession
+    source, rows = f"{run_folder(spark)}/{name}-source-{uuid.uuid4().hex}", stage(df, name)
+    for i in range(slices):
+        drawn = F.pmod(F.xxhash64(*rows.columns), F.lit(slices))
+        rows.filter((drawn == i) | (drawn == i - 1) if again else drawn == i).write.mode("append").parquet(source)
+        start(spark.readStream.schema(rows.schema).parquet(source))
+
+
+def _state(spark, name):
+    return f"{run_folder(spark)}/{name}-state-{uuid.uuid4().hex}"
 
 
 def _deliveries(spark, sf_dir):
@@ -31,112 +44,119 @@ def _deliveries(spark, sf_dir):
 
 @query("st_dedup", with_("wh", tail="SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS delivery_count FROM wh"))
 def _(spark, sf_dir):
-    stream = _stream(_deliveries(spark, sf_dir), "inbox", "received_ms")
-    once = Rt.append_parquet(J.dedup(stream).select("event_id", "delivery_key"), "dedup")
-    counts_path = Rt.folder(spark, "counts")
-    J.delivery_counts(stream, counts_path)
-    counts = spark.read.parquet(counts_path).groupBy("delivery_key").agg(F.sum("n").alias("delivery_count"))
-    return once.join(counts, "delivery_key").select("event_id", "delivery_count")
+    first, counts = _state(spark, "dedup"), _state(spark, "counts")
+
+    def start(stream):
+        J.dedup(stream, first)
+        J.delivery_counts(stream, counts)
+
+    _arrive(_deliveries(spark, sf_dir), "deliveries", start)
+    seen = spark.read.parquet(f"{counts}/counts").groupBy("delivery_key").agg(F.sum("n").alias("delivery_count"))
+    return spark.read.parquet(f"{first}/first").select("event_id", "delivery_key").join(seen, "delivery_key").select("event_id", "delivery_count")
 
 
 @query("st_drain", with_("canonical", "wh", tail="SELECT event_id, entity_type, payment_id, at_ms FROM canonical UNION ALL SELECT event_id, 'dead', NULL, NULL FROM wh WHERE shape = 'broken'"))
 def _(spark, sf_dir):
-    good, dead = Rt.folder(spark, "canonical"), Rt.folder(spark, "dead")
-    J.drain(_stream(T.inbox_table(spark, sf_dir), "inbox", "received_ms"), good, dead)
+    state = _state(spark, "drain")
+    _arrive(T.inbox_table(spark, sf_dir), "deliveries", lambda stream: J.drain(stream, state), again=True)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    return spark.read.parquet(good).select("event_id", "entity_type", "payment_id", "at_ms").unionByName(
-        spark.read.parquet(dead).select("event_id", F.lit("dead").alias("entity_type"), none("payment_id", "string"), none("at_ms", "bigint"))
+    return spark.read.parquet(f"{state}/canonical").select("event_id", "entity_type", "payment_id", "at_ms").unionByName(
+        spark.read.parquet(f"{state}/dead").select("event_id", F.lit("dead").alias("entity_type"), none("payment_id", "string"), none("at_ms", "bigint"))
     )
 
 
-@query("st_late_flag", with_("canon", tail="""
-SELECT event_id, coalesce(at_ms < (SELECT max(b.at_ms) FROM sl b WHERE b.slice < a.slice) - 300000, FALSE) AS late FROM sl a""").replace(
-    "\nSELECT event_id, coalesce", ", sl AS (SELECT event_id, at_ms, (received_ms - lo) // ((hi - lo) // 3 + 1) AS slice FROM canon, (SELECT min(received_ms) AS lo, max(received_ms) AS hi FROM canon))\nSELECT event_id, coalesce"))
+_SLICES = "sl AS (SELECT event_id, at_ms, (received_ms - lo) // ((hi - lo) // 3 + 1) AS slice FROM canon, (SELECT min(received_ms) AS lo, max(received_ms) AS hi FROM canon))"
+
+
+@query("st_late_flag", with_("canon", tail=f", {_SLICES} SELECT event_id, coalesce(at_ms < (SELECT max(b.at_ms) FROM sl b WHERE b.slice < a.slice) - 300000, FALSE) AS late FROM sl a").replace("\n, sl AS", ", sl AS"))
 def _(spark, sf_dir):
-    path = Rt.folder(spark, "late")
-    J.late_flags(_stream(T.canonical_events(spark, sf_dir), "canonical", "received_ms"), path)
-    return spark.read.parquet(path).select("event_id", "late")
+    """Arrival in three consecutive stretches of time: lateness depends on what came before."""
+    state, source = _state(spark, "late"), _state(spark, "late-source")
+    rows = stage(T.canonical_events(spark, sf_dir), "canonical")
+    low, high = rows.agg(F.min("received_ms"), F.max("received_ms")).first()
+    step = (high - low) // 3 + 1
+    for i in range(3):
+        rows.filter(F.expr(f"(received_ms - {low}) div {step}") == i).write.mode("append").parquet(source)
+        J.late_flags(spark.readStream.schema(rows.schema).parquet(source), state)
+    return spark.read.parquet(f"{state}/flagged").select("event_id", "late")
 
 
 _TILE = ("attempts", "failures", "captures", "gateway_failures", "infra_failures", "small_amounts", "amount_sum_paise", "amounts")
 
 
-@query("st_tiles", with_("tile", tail=f"SELECT {KEY}, minute_ms, {', '.join(_TILE)} FROM tile WHERE minute_ms + 60000 <= (SELECT max(at_ms) FROM pay) - 600000"))
+def _payments(spark, sf_dir):
+    """Payments collapsed by the stream, from shuffled slices."""
+    state, observations = _state(spark, "payments"), T.observations(spark, sf_dir)
+    _arrive(observations, "observations", lambda stream: J.payments(stream, state))
+    return J.payments_now(spark, state, observations.schema)
+
+
+@query("st_payments", with_("pay", tail="SELECT scope, payment_id, at_ms, outcome, order_id, amount_paise, card_id, session, device, network, error_reason, error_source FROM pay"))
 def _(spark, sf_dir):
-    """Tiles whose minute the watermark has passed (append mode)."""
-    stream = _stream(per_payment(T.observations(spark, sf_dir)), "attempts", "at_ms")
-    newest = T.observations(spark, sf_dir)
-    out = Rt.append_parquet(J.tiles(stream), "tiles")
-    closed = per_payment(newest).agg(F.max("at_ms").alias("m")).first()["m"] - 600_000
-    return out.filter(F.col("minute_ms") + 60_000 <= closed).select(*ENTITY, "minute_ms", *_TILE)
+    return _payments(spark, sf_dir).select("scope", "payment_id", "at_ms", "outcome", "order_id", "amount_paise", "card_id", "session", "device", "network", "error_reason", "error_source")
+
+
+@query("st_tiles", with_("tile", tail=f"SELECT {KEY}, minute_ms, {', '.join(_TILE)} FROM tile"))
+def _(spark, sf_dir):
+    return J.tiles(_payments(spark, sf_dir)).select(*ENTITY, "minute_ms", *_TILE)
 
 
 @query("st_sliding", with_("ent", tail=f"""
 SELECT {KEY}, end_ms, count(*) AS attempts, count(*) FILTER (WHERE outcome = 'failed') AS failures, count(*) FILTER (WHERE outcome = 'captured') AS captures
-FROM (SELECT *, unnest([at_ms // 21600000 * 21600000 + 21600000, at_ms // 21600000 * 21600000 + 43200000]) AS end_ms FROM ent)
-WHERE end_ms <= (SELECT max(at_ms) FROM pay) - 600000 GROUP BY ALL"""))
+FROM (SELECT *, unnest([at_ms // 21600000 * 21600000 + 21600000, at_ms // 21600000 * 21600000 + 43200000]) AS end_ms FROM ent) GROUP BY ALL"""))
 def _(spark, sf_dir):
-    attempts = stage(per_payment(T.observations(spark, sf_dir)), "attempts")
-    out = Rt.append_parquet(J.sliding(_stream(attempts, "attempts", "at_ms"), span="12 hours", step="6 hours"), "sliding")
-    closed = attempts.agg(F.max("at_ms").alias("m")).first()["m"] - 600_000
-    return out.filter(F.col("end_ms") <= closed)
+    return J.sliding(J.tiles(_payments(spark, sf_dir)), span_ms=12 * 3_600_000, step_ms=6 * 3_600_000)
 
 
-@query("st_ingest_rate", with_("obs", tail="""
-SELECT * FROM (SELECT scope, received_ms // 300000 * 300000 AS from_ms, count(*) AS events FROM obs GROUP BY 1, 2) WHERE from_ms + 300000 <= (SELECT max(received_ms) FROM obs) - 600000"""))
+@query("st_ingest_rate", with_("obs", tail="SELECT scope, received_ms // 300000 * 300000 AS from_ms, count(*) AS events FROM obs GROUP BY 1, 2"))
 def _(spark, sf_dir):
-    obs = stage(T.observations(spark, sf_dir), "observations")
-    out = Rt.append_parquet(J.ingest_rate(_stream(obs, "inbox", "received_ms")), "rate")
-    closed = obs.agg(F.max("received_ms").alias("m")).first()["m"] - 600_000
-    return out.filter(F.col("from_ms") + 300_000 <= closed)
+    state = _state(spark, "rate")
+    _arrive(T.observations(spark, sf_dir), "observations", lambda stream: J.ingest_rate(stream, state))
+    return J.ingest_rates(spark, state)
 
 
 @query("st_unresolved", """
 WITH placed AS (SELECT 'o' || event_id AS order_id, epoch_us(ts) // 1000 AS created_ms FROM events WHERE event_type = 'click'),
 paid AS (SELECT epoch_us(ts) // 1000 AS at_ms, 'o' || (event_id - 1) AS order_id FROM events WHERE event_type <> 'click')
 SELECT order_id, created_ms FROM placed WHERE NOT EXISTS (SELECT 1 FROM paid WHERE paid.order_id = placed.order_id AND at_ms >= created_ms AND at_ms <= created_ms + 300000)
-AND created_ms < (SELECT max(created_ms) FROM placed) - 1200000""")
+AND created_ms < (SELECT max(epoch_us(ts) // 1000) FROM events) - 300000""")
 def _(spark, sf_dir):
     """A click opens a checkout; the next event pays it when it follows within five minutes."""
     e = T.table(spark, sf_dir, "events").select("event_id", "event_type", T.epoch_ms("ts").alias("at_ms"))
     placed = e.filter("event_type = 'click'").select(F.concat(F.lit("o"), F.col("event_id")).alias("order_id"), F.col("at_ms").alias("created_ms"))
     paid = e.filter("event_type <> 'click'").select(F.concat(F.lit("o"), F.col("event_id") - 1).alias("order_id"), "at_ms")
-    out = Rt.append_parquet(J.unresolved(_stream(placed, "placed", "created_ms"), _stream(paid, "paid", "at_ms")), "unresolved")
-    settled = placed.agg(F.max("created_ms").alias("m")).first()["m"] - 1_200_000
-    return out.filter(F.col("created_ms") < settled)
+    a, b = _state(spark, "placed"), _state(spark, "paid")
+    _arrive(placed, "placed", lambda stream: J.facts(stream, a, ("order_id", "created_ms")))
+    _arrive(paid, "paid", lambda stream: J.facts(stream, b, ("order_id", "at_ms")))
+    return J.unresolved(spark, a, b, now_ms=e.agg(F.max("at_ms")).first()[0])
 
 
 @query("st_evaluate", with_("dec", tail=f"SELECT {KEY}, score, best, decision FROM dec"))
 def _(spark, sf_dir):
-    """The pass of the last micro-batch equals the batch pass over all events."""
-    path = Rt.folder(spark, "decisions")
-    stream = _stream(T.observations(spark, sf_dir), "observations", "at_ms", slices=2)
-    J.evaluate(stream, path, window=WINDOW, columns=(*ENTITY, "score", "best", "decision"))
-    passes = spark.read.parquet(path)
-    last = passes.agg(F.max("batch").alias("m"))
-    return passes.join(last, passes["batch"] == last["m"]).select(*ENTITY, "score", "best", "decision")
+    """The pass of the last batch equals the batch pass over all events."""
+    state = _state(spark, "evaluate")
+    _arrive(T.observations(spark, sf_dir), "observations", lambda stream: J.evaluate(stream, state, window=WINDOW, columns=(*ENTITY, "score", "best", "decision")), slices=2)
+    passes = spark.read.parquet(f"{state}/decisions")
+    last = passes.agg(F.max("batch").alias("m")).first()["m"]
+    return passes.filter(F.col("batch") == last).select(*ENTITY, "score", "best", "decision")
 
 
-@query("st_change", with_("series", tail="SELECT network, count(*) FILTER (WHERE bucket < 100) AS buckets FROM series GROUP BY network"))
+@query("st_change", with_("walk", "lims", tail=f"""
+SELECT l.network, {r6('cl')} AS cusum_limit, e.i IS NOT NULL AS cusum_fired, e.i AS cusum_at, coalesce({r3('e.s')}, 0.0) AS cusum_statistic, coalesce(e.i - e.since + 1, 0) AS cusum_buckets
+FROM lims l LEFT JOIN (SELECT w.network, w.i, w.s, w.since, row_number() OVER (PARTITION BY w.network ORDER BY w.i) AS k FROM walk w JOIN lims USING (network) WHERE w.i >= 30 AND w.s > cl) e ON e.network = l.network AND k = 1"""))
 def _(spark, sf_dir):
-    """Alarms over closed buckets, re-read as buckets close."""
-    path = Rt.folder(spark, "alarms")
-    J.change(_stream(T.observations(spark, sf_dir), "observations", "at_ms"), path, bucket="6 hours", delay="10 minutes",
-             options=ChangeOptions(), start_ms=inc_q._START, bucket_ms=inc_q._BUCKET)
-    alarms = spark.read.parquet(path)
-    newest = alarms.groupBy("network").agg(F.max_by("buckets", "batch").alias("buckets"))
-    return newest.select("network", F.least("buckets", F.lit(100)).cast("bigint").alias("buckets"))
+    """Alarms over the series that the batches have added up."""
+    state = _state(spark, "change")
+    _arrive(T.observations(spark, sf_dir), "observations", lambda stream: J.change(stream, state, options=inc_q._SHARP, start_ms=inc_q._START, bucket_ms=inc_q._BUCKET))
+    alarms = newest_per(spark.read.parquet(f"{state}/alarms"), ["network"])
+    return alarms.select("network", q6("cusum_limit").alias("cusum_limit"), "cusum_fired", "cusum_at", "cusum_statistic", "cusum_buckets")
 
 
-@query("st_incidents", with_("clustered", tail=f"SELECT {KEY}, incident_key, score, first_ms, detected_ms, last_ms, observations, attempts FROM clustered"))
+@query("st_incidents", with_("clustered", tail=f"SELECT {KEY}, incident_key, status, score, first_ms, detected_ms, last_ms, observations, attempts FROM clustered"))
 def _(spark, sf_dir):
-    evaluations = inc_q._evaluations(spark, sf_dir)
-    stream = _stream(evaluations, "evaluations", "at_ms")
-    out = Rt.append_parquet(J.incidents(stream, idle_ms=IDLE_MS), "incidents")
-    last = out.groupBy(*ENTITY, "incident_key", "detected_ms").agg(
-        F.max_by(F.struct("score", "first_ms", "last_ms", "observations", "attempts"), F.struct("observations", "last_ms")).alias("r")
-    )
-    return last.select(*ENTITY, "incident_key", "detected_ms", "r.*")
+    state = _state(spark, "incidents")
+    _arrive(inc_q._evaluations(spark, sf_dir), "evaluations", lambda stream: J.incidents(stream, state, idle_ms=IDLE_MS))
+    return J.incidents_now(spark, state).select(*ENTITY, "incident_key", "status", "score", "first_ms", "detected_ms", "last_ms", "observations", "attempts")
 
 
 @query("st_containment_expiry", with_("cont", "clock", tail="""
@@ -153,8 +173,8 @@ SELECT payment_id, p.at_ms FROM (SELECT DISTINCT p.payment_id, p.at_ms FROM pay
   AND ((c.entity_kind = 'session' AND c.entity_key = p.session) OR (c.entity_kind = 'device' AND c.entity_key = p.device) OR (c.entity_kind = 'network' AND c.entity_key = p.network))) p
 ASOF LEFT JOIN enf e ON p.at_ms >= e.at_ms WHERE coalesce(e.kind, 'resumed') <> 'paused'"""))
 def _(spark, sf_dir):
-    path = Rt.folder(spark, "blocked")
+    state = _state(spark, "block")
     contain = stage(control._containments(spark, sf_dir).filter("decision = 'contain'"), "containments")
     pauses = stage(T.enforcement_log(spark, sf_dir), "enforcement")
-    J.block(_stream(per_payment(T.observations(spark, sf_dir)), "attempts", "at_ms"), contain, pauses, path)
-    return spark.read.parquet(path).select("payment_id", "at_ms")
+    _arrive(T.observations(spark, sf_dir), "observations", lambda stream: J.block(stream, contain, pauses, state))
+    return J.blocked_now(spark, state).select("payment_id", "at_ms")

@@ -67,6 +67,34 @@ def per_payment(observations: DataFrame, *, as_of_ms: int | None = None) -> Data
     return collapsed.unionByName(loose).withColumn("outcome", F.element_at(names, F.col("outcome_rank") + 1))
 
 
+def payment_partials(observations: DataFrame) -> DataFrame:
+    """What a set of events says about their payments, in a form that merges: one row per payment, and one per loose event."""
+    carried = [c for c in _CARRIED if c in observations.columns]
+    moment = [F.col("at_ms"), F.col("event_id")]
+    known = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(*moment, F.col(c).alias("value")))).alias(c)
+    loose = F.when(F.coalesce(F.col("payment_id"), F.lit("")) == "", F.col("event_id")).alias("loose_id")
+    return observations.groupBy("scope", "payment_id", loose).agg(
+        F.min(F.struct(*moment, *carried)).alias("head"),
+        F.max(_lookup(F.col("outcome"), OUTCOME_RANK, 0)).alias("outcome_rank"),
+        known("error_reason"),
+        known("error_source"),
+        F.count(F.lit(1)).alias("n_events"),
+    )
+
+
+def merge_payments(partials: DataFrame) -> DataFrame:
+    """Payments from partial rows, as ``per_payment`` over all their events at once."""
+    merged = partials.groupBy("scope", "payment_id", "loose_id").agg(
+        *[F.min(c).alias(c) for c in ("head", "error_reason", "error_source")], F.max("outcome_rank").alias("outcome_rank"), F.sum("n_events").alias("n_events")
+    )
+    carried = [c for c in merged.schema["head"].dataType.names if c != "event_id"]
+    names = F.array(*[F.lit(n) for n in OUTCOME_RANK])
+    return merged.select(
+        "scope", "payment_id", "outcome_rank", *[F.col(f"head.{c}").alias(c) for c in carried],
+        F.col("error_reason.value").alias("error_reason"), F.col("error_source.value").alias("error_source"), "n_events",
+    ).withColumn("outcome", F.element_at(names, F.col("outcome_rank") + 1))
+
+
 def resolve_attempts(events: DataFrame) -> DataFrame:
     """State of each payment, whatever the order or number of deliveries.
 

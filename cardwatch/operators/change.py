@@ -25,6 +25,14 @@ def bucket_series(events: DataFrame, *, from_ms: int, to_ms: int, bucket_ms: int
     return spine.join(counts, [*keys, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
+def series_from_counts(counts: DataFrame, *, keys: Sequence[str] = ("scope",)) -> DataFrame:
+    """Counts per key and bucket (from 0) with the empty buckets of every key, up to the newest bucket of any."""
+    keys = list(keys)
+    last = counts.agg(F.coalesce(F.max("bucket"), F.lit(-1)).alias("m")).first()["m"]
+    spine = counts.select(*keys).distinct().withColumn("bucket", F.explode(F.expr(f"if({last} < 0, array(), sequence(0L, {max(last, 0)}L))").cast("array<bigint>")))
+    return spine.join(counts, [*keys, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
 def _baseline(options: ChangeOptions) -> tuple[Column, Column]:
     warm = F.slice("series", 1, options.warm_up_buckets)
     size = F.size(warm)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.config import KINDS, FeatureWindow, Thresholds
 from cardwatch.operators.attempts import per_payment
@@ -28,6 +28,19 @@ class Pass:
     decided: DataFrame
 
 
+def recent_observations(observations: DataFrame, *, as_of_ms: int, lookback_ms: int) -> DataFrame:
+    """All events of the payments that have one inside the lookback, and events without a payment inside it.
+
+    A payment without an event since the bound began before it, so no window of the pass holds it. The history before the
+    bound is only looked up for those payments; the bound is a filter on the event time that reaches the scan.
+    """
+    inside = observations.filter((F.col("at_ms") > as_of_ms - lookback_ms - 1) & (F.col("at_ms") <= as_of_ms))
+    older = observations.filter(F.col("at_ms") <= as_of_ms - lookback_ms - 1)
+    keys = ["scope", "payment_id"]
+    named = inside.filter(F.coalesce(F.col("payment_id"), F.lit("")) != "").select(*keys).distinct()
+    return inside.unionByName(older.join(named, keys, "left_semi"))
+
+
 def detection_pass(
     observations: DataFrame,
     *,
@@ -39,7 +52,8 @@ def detection_pass(
     sketches: bool = False,
 ) -> Pass:
     """Judge every entity of every kind at one moment, against one picture of the shop."""
-    attempts = stage(per_payment(observations, as_of_ms=as_of_ms), "attempts")
+    recent = recent_observations(observations, as_of_ms=as_of_ms, lookback_ms=window.lookback_ms)
+    attempts = stage(per_payment(recent, as_of_ms=as_of_ms), "attempts")
     traffic = stage(traffic_context(attempts, as_of_ms=as_of_ms, window=window), "traffic")
     vectors = features(
         attempts, as_of_ms=as_of_ms, window=window, kinds=kinds, confirm_exact=confirm_exact, sketches=sketches

@@ -1,221 +1,207 @@
 """Streaming twins of the batch jobs.
 
-Late rows are flagged before any stateful operator and are never thrown away: watermarks here
-only bound state, and each job's watermark is wider than the lateness bound it reports.
+Each job takes the caller's state folder and trigger. What it keeps are mergeable rows per batch (first deliveries, partial payments,
+counts, evaluations); its reader merges them into what the batch job would give for the same rows, in whatever order and however late
+they came.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from cardwatch.config import DAY_MS, MINUTE_MS, ChangeOptions, FeatureWindow
-from cardwatch.operators.change import detect_change
+from cardwatch.config import MINUTE_MS, ChangeOptions, FeatureWindow
+from cardwatch.operators.attempts import merge_payments, payment_partials
+from cardwatch.operators.change import detect_change, series_from_counts
 from cardwatch.operators.containment import blocked_attempts
 from cardwatch.operators.features import ENTITY, stack_kinds
+from cardwatch.operators.incidents import cluster_incidents
 from cardwatch.operators.tiles import tile_measures
 from cardwatch.plans.detect import detection_pass
+from cardwatch.session import stage
 from cardwatch.sources.webhooks import canonicalize, dead_letters, dedup_key
-from cardwatch.streaming.runtime import each_batch, folder
-
+from cardwatch.streaming.runtime import newest_per, put, run, table
 
-def timed(df: DataFrame, millis: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.timestamp_millis(F.col(millis)))
 
+# --- deliveries -----------------------------------------------------------------------------------
 
-def dedup(inbox: DataFrame, *, within: str = "10 minutes") -> DataFrame:
-    """First delivery of each event; redeliveries within the bound are dropped."""
-    keyed = timed(dedup_key(inbox), "received_ms", "received_at").withWatermark("received_at", within)
-    return keyed.dropDuplicatesWithinWatermark(["delivery_key"])
 
+def dedup(inbox: DataFrame, state: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """First delivery of each event. Keys are kept for ever in the state store, so a repeat is known however late it comes."""
+    fresh = dedup_key(inbox).dropDuplicates(["delivery_key"])
+    return run(fresh, state, lambda batch, i: put(batch, f"{state}/first", i), trigger=trigger)
 
-def delivery_counts(inbox: DataFrame, path: str) -> None:
-    """Deliveries per event: each batch appends its own counts, readers add them up.
 
-    A retried batch overwrites its own folder, so a restart does not count twice.
-    """
+def delivery_counts(inbox: DataFrame, state: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Deliveries per event: each batch puts its own counts, readers add them up."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        counts = dedup_key(batch).groupBy("delivery_key").agg(F.count(F.lit(1)).alias("n"), F.max("received_ms").alias("last_ms"))
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        put(dedup_key(batch).groupBy("delivery_key").agg(F.count(F.lit(1)).alias("n"), F.max("received_ms").alias("last_ms")), f"{state}/counts", batch_id)
 
-    each_batch(inbox, "deliveries", step)
+    return run(inbox, state, step, trigger=trigger)
 
 
-def drain(inbox: DataFrame, canonical_path: str, dead_path: str) -> None:
-    """Each micro-batch to canonical events and dead letters; a retried batch rewrites itself."""
+def drain(inbox: DataFrame, state: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Canonical events and dead letters, once per delivery."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        canonicalize(batch).write.mode("overwrite").parquet(f"{canonical_path}/batch={batch_id}")
-        dead_letters(batch).write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+        put(canonicalize(batch), f"{state}/canonical", batch_id)
+        put(dead_letters(batch), f"{state}/dead", batch_id)
 
-    each_batch(inbox, "drain", step)
+    return run(dedup_key(inbox).dropDuplicates(["delivery_key"]), state, step, trigger=trigger)
 
 
-def late_flags(events: DataFrame, path: str, *, lateness_ms: int = 5 * MINUTE_MS) -> None:
+def late_flags(events: DataFrame, state: str, *, lateness_ms: int = 5 * MINUTE_MS, trigger: dict | None = None) -> StreamingQuery:
     """Flag late rows against the newest event time of earlier batches; every row is kept.
 
-    The newest time per scope is a small table written per batch next to its rows.
+    The newest time per scope is a small table put per batch next to its rows.
     """
     spark = events.sparkSession
-    newest_path = folder(spark, "newest")
+    newest = T.StructType([events.schema["scope"], T.StructField("seen_ms", T.LongType())])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            seen = batch.select("scope").distinct().withColumn("seen_ms", F.lit(None).cast("bigint"))
-        else:
-            seen = spark.read.parquet(f"{newest_path}/{batch_id - 1}")
-        marked = batch.join(seen, "scope", "left").withColumn(
+        seen = table(spark, f"{state}/newest", newest, before=batch_id).groupBy("scope").agg(F.max("seen_ms").alias("seen_ms"))
+        marked = batch.join(stage(seen, "newest"), "scope", "left").withColumn(
             "late", F.coalesce(F.col("at_ms") < F.col("seen_ms") - lateness_ms, F.lit(False))
         )
-        marked.drop("seen_ms").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        now = batch.groupBy("scope").agg(F.max("at_ms").alias("seen_ms")).unionByName(seen)
-        now.groupBy("scope").agg(F.max("seen_ms").alias("seen_ms")).write.mode("overwrite").parquet(f"{newest_path}/{batch_id}")
+        put(marked.drop("seen_ms"), f"{state}/flagged", batch_id)
+        put(batch.groupBy("scope").agg(F.max("at_ms").alias("seen_ms")), f"{state}/newest", batch_id)
 
-    each_batch(events, "late", step)
+    return run(events, state, step, trigger=trigger)
 
 
-def tiles(attempts: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
-    """One-minute tiles of every entity from the stream of attempts."""
-    entities = timed(stack_kinds(attempts), "at_ms", "attempt_at").withWatermark("attempt_at", delay)
-    minute = F.window("attempt_at", "1 minute")
-    return entities.groupBy(*ENTITY, minute).agg(*tile_measures()).select(
-        *ENTITY, F.unix_millis(F.col("window.start")).alias("minute_ms"), "attempts", "failures", "captures",
-        "gateway_failures", "infra_failures", "small_amounts", "amount_sum_paise", "amounts",
-    )
+def ingest_rate(inbox: DataFrame, state: str, *, window_ms: int = 5 * MINUTE_MS, trigger: dict | None = None) -> StreamingQuery:
+    """Deliveries per window: counts per batch, added up by ``ingest_rates``."""
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        window = F.expr(f"received_ms div {window_ms} * {window_ms}").alias("from_ms")
+        put(batch.groupBy("scope", window).agg(F.count(F.lit(1)).alias("events")), f"{state}/rates", batch_id)
+
+    return run(inbox, state, step, trigger=trigger)
+
+
+def ingest_rates(spark: SparkSession, state: str) -> DataFrame:
+    schema = T._parse_datatype_string("scope string, from_ms bigint, events bigint")
+    return table(spark, f"{state}/rates", schema).groupBy("scope", "from_ms").agg(F.sum("events").alias("events"))
+
+
+# --- payments and what is read from them ------------------------------------------------------------
+
+
+def payments(observations: DataFrame, state: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """The payments table: partial payments of each batch, merged by ``payments_now``."""
+    return run(observations, state, lambda batch, i: put(payment_partials(batch), f"{state}/payments", i), trigger=trigger)
+
+
+def payments_now(spark: SparkSession, state: str, observations: T.StructType) -> DataFrame:
+    """One row per payment over everything that has arrived."""
+    empty = spark.createDataFrame([], observations)
+    return merge_payments(table(spark, f"{state}/payments", payment_partials(empty).schema))
 
-def sliding(attempts: DataFrame, *, span: str, step: str, delay: str = "10 minutes") -> DataFrame:
-    """Trailing counts that advance by ``step`` (tiles merged by range are the cheaper form for long spans)."""
-    entities = timed(stack_kinds(attempts), "at_ms", "attempt_at").withWatermark("attempt_at", delay)
-    return entities.groupBy(*ENTITY, F.window("attempt_at", span, step)).agg(*tile_measures()[:3]).select(
-        *ENTITY, F.unix_millis(F.col("window.end")).alias("end_ms"), "attempts", "failures", "captures"
-    )
 
+def tiles(attempts: DataFrame) -> DataFrame:
+    """One-minute tiles of every entity."""
+    minute = F.expr(f"at_ms div {MINUTE_MS} * {MINUTE_MS}").alias("minute_ms")
+    return stack_kinds(attempts).groupBy(*ENTITY, minute).agg(*tile_measures())
 
-def ingest_rate(inbox: DataFrame, *, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Deliveries per window and per minute."""
-    timed_rows = timed(inbox, "received_ms", "received_at").withWatermark("received_at", delay)
-    return timed_rows.groupBy("scope", F.window("received_at", window)).agg(F.count(F.lit(1)).alias("events")).select(
-        "scope", F.unix_millis(F.col("window.start")).alias("from_ms"), "events"
+
+def sliding(tile_rows: DataFrame, *, span_ms: int, step_ms: int) -> DataFrame:
+    """Trailing counts that advance by ``step_ms``, merged from tiles (a span is a whole number of steps, a step of minutes)."""
+    per_step = tile_rows.groupBy(*ENTITY, F.expr(f"minute_ms div {step_ms}").alias("step")).agg(*[F.sum(c).alias(c) for c in ("attempts", "failures", "captures")])
+    ends = F.explode(F.sequence(F.lit(1), F.lit(span_ms // step_ms))).alias("ahead")
+    return per_step.select("*", ends).groupBy(*ENTITY, ((F.col("step") + F.col("ahead")) * step_ms).alias("end_ms")).agg(
+        *[F.sum(c).alias(c) for c in ("attempts", "failures", "captures")]
     )
 
 
-def unresolved(checkouts: DataFrame, events: DataFrame, *, bound: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Checkouts without any payment event within the bound (stream-stream left outer join)."""
-    placed = timed(checkouts, "created_ms", "created_at").withWatermark("created_at", delay)
-    paid = timed(events, "at_ms", "event_at").withWatermark("event_at", delay).select(F.col("order_id").alias("paid_order"), "event_at")
-    near = F.expr(f"order_id = paid_order AND event_at >= created_at AND event_at <= created_at + interval {bound}")
-    return placed.join(paid, near, "left_outer").filter(F.col("paid_order").isNull()).select("order_id", "created_ms")
+def facts(rows: DataFrame, state: str, columns: tuple[str, ...], *, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the columns of a stream that a report joins later."""
+    return run(rows, state, lambda batch, i: put(batch.select(*columns), f"{state}/facts", i), trigger=trigger)
+
 
+def unresolved(spark: SparkSession, placed_state: str, paid_state: str, *, now_ms: int, bound_ms: int = 5 * MINUTE_MS) -> DataFrame:
+    """Checkouts without a payment event within the bound, among those old enough to have heard back."""
+    placed = table(spark, f"{placed_state}/facts", T._parse_datatype_string("order_id string, created_ms bigint")).drop("batch")
+    paid = table(spark, f"{paid_state}/facts", T._parse_datatype_string("order_id string, at_ms bigint")).drop("batch")
+    near = (F.col("a.order_id") == F.col("b.order_id")) & F.col("b.at_ms").between(F.col("a.created_ms"), F.col("a.created_ms") + bound_ms)
+    return placed.filter(F.col("created_ms") < now_ms - bound_ms).alias("a").join(paid.alias("b"), near, "left_anti")
 
-def evaluate(
-    observations: DataFrame, path: str, *, window: FeatureWindow, columns: tuple[str, ...], payment_life_ms: int = DAY_MS
-) -> None:
-    """One detection pass per micro-batch, over the bounded lookback of the stored events.
 
-    The lookback is the longest feature horizon plus the time a payment's events may span, so
-    no payment inside the horizon misses an earlier event.
+def evaluate(observations: DataFrame, state: str, *, window: FeatureWindow, columns: tuple[str, ...], trigger: dict | None = None) -> StreamingQuery:
+    """One detection pass per batch over the stored events.
+
+    The pass prunes the history to payments seen inside the lookback. Events are stored by day, so it reads the days of the lookback
+    whole and of older days the rows of those payments.
     """
     spark = observations.sparkSession
-    events_path = folder(spark, "events")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        stored = spark.read.parquet(events_path).drop("batch")
+        put(batch, f"{state}/events", batch_id)
+        stored = table(spark, f"{state}/events", batch.schema).drop("batch")
         newest = stored.agg(F.max("at_ms").alias("m")).first()["m"]
-        if newest is None:
-            return
-        recent = stored.filter(F.col("at_ms") >= newest - window.lookback_ms - payment_life_ms)
-        found = detection_pass(recent, as_of_ms=newest + 1_000, window=window)
-        found.decided.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if newest is not None:
+            found = detection_pass(stored, as_of_ms=newest + 1_000, window=window)
+            put(found.decided.select(*columns), f"{state}/decisions", batch_id)
 
-    each_batch(observations, "evaluate", step)
+    return run(observations, state, step, trigger=trigger)
 
 
-def change(events: DataFrame, path: str, *, bucket: str, delay: str, options: ChangeOptions, start_ms: int, bucket_ms: int) -> None:
-    """Change detection on closed buckets: each batch adds its buckets and re-reads the short series."""
+def change(events: DataFrame, state: str, *, options: ChangeOptions, start_ms: int, bucket_ms: int, key: str = "network", trigger: dict | None = None) -> StreamingQuery:
+    """Change detection: each batch adds its counts per bucket and judges the series anew."""
     spark = events.sparkSession
-    buckets_path = folder(spark, "buckets")
-    counted = (
-        timed(events, "at_ms", "event_at").withWatermark("event_at", delay)
-        .groupBy("network", F.window("event_at", bucket)).agg(F.count(F.lit(1)).alias("n"))
-        .select("network", F.expr(f"(unix_millis(window.start) - {start_ms}) div {bucket_ms}").alias("bucket"), "n")
-    )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{buckets_path}/batch={batch_id}")
-        seen = spark.read.parquet(buckets_path).select("network", "bucket", "n")
-        last = seen.agg(F.max("bucket").alias("m")).first()["m"]
-        if last is None:
-            return
-        spine = seen.select("network").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
-        dense = spine.join(seen, ["network", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-        detect_change(dense, options, keys=("network",)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.filter(F.col("at_ms") >= start_ms)
+        counts = rows.groupBy(key, F.expr(f"(at_ms - {start_ms}) div {bucket_ms}").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        put(counts, f"{state}/counts", batch_id)
+        seen = table(spark, f"{state}/counts", counts.schema).groupBy(key, "bucket").agg(F.sum("n").alias("n"))
+        series = series_from_counts(stage(seen, "counts"), keys=(key,))
+        put(detect_change(series, options, keys=(key,)), f"{state}/alarms", batch_id)
 
-    each_batch(counted, "change", step)
+    return run(events, state, step, trigger=trigger)
 
 
-def block(attempts: DataFrame, containments: DataFrame, enforcement: DataFrame, path: str) -> None:
-    """Refuse attempts of contained entities, batch by batch, against the containment snapshot."""
+def block(observations: DataFrame, containments: DataFrame, enforcement: DataFrame, state: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Refuse attempts of contained entities: the payments a batch touches are judged as they stand now."""
+    spark = observations.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        blocked_attempts(batch, containments, enforcement).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        partials = payment_partials(batch)
+        put(partials, f"{state}/payments", batch_id)
+        keys = ["scope", "payment_id"]
+        touched = stage(partials.select(*keys).distinct(), "touched")
+        known = table(spark, f"{state}/payments", partials.schema).join(touched, keys, "left_semi")
+        now = stage(merge_payments(known), "touched-payments")
+        refused = blocked_attempts(now, containments, enforcement).select(*keys, F.lit(True).alias("blocked"))
+        judged = now.select(*keys, "at_ms").join(refused, keys, "left")
+        put(judged.withColumn("blocked", F.coalesce("blocked", F.lit(False))), f"{state}/judged", batch_id)
+
+    return run(observations, state, step, trigger=trigger)
+
 
-    each_batch(attempts, "block", step)
+def blocked_now(spark: SparkSession, state: str) -> DataFrame:
+    schema = T._parse_datatype_string("scope string, payment_id string, at_ms bigint, blocked boolean")
+    return newest_per(table(spark, f"{state}/judged", schema), ["scope", "payment_id"]).filter("blocked").drop("blocked")
 
 
 # --- incidents ------------------------------------------------------------------------------------
 
-INCIDENT = (
-    "scope string, entity_kind string, entity_key string, incident_key string, status string, score double, first_ms bigint, "
-    "detected_ms bigint, last_ms bigint, expires_ms bigint, observations bigint, attempts bigint"
-)
-_STATE = "first_ms bigint, detected_ms bigint, last_ms bigint, score double, attempts bigint, observations bigint"
-
-
-def fold_evaluations(idle_ms: int) -> Callable:
-    """Per-entity state: the running incident, folded evaluation by evaluation."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scope, kind, entity = key
-        current = list(state.get) if state.exists else None
-        out = []
-
-        def emit(incident: list, status: str) -> None:
-            first, detected, last, score, attempts, seen = incident
-            out.append((scope, kind, entity, f"{kind}:{entity}:{first}", status, score, first, detected, last, last + idle_ms, seen, attempts))
-
-        if state.hasTimedOut:
-            emit(current, "expired")
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("at_ms")
-            for r in rows.itertuples():
-                if current is not None and r.activity_ms > current[2] + idle_ms:
-                    emit(current, "expired")
-                    current = None
-                if current is not None:
-                    current = [current[0], current[1], max(current[2], int(r.activity_ms)), float(r.score), int(r.attempts), current[5] + 1]
-                elif r.warrants:
-                    current = [int(r.first_seen_ms), int(r.at_ms), int(r.activity_ms), float(r.score), int(r.attempts), 1]
-            if current is not None:
-                emit(current, "open")
-                state.update(tuple(current))
-                state.setTimeoutTimestamp(max(current[2] + idle_ms, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in INCIDENT.split(", ")])
-
-    return fold
-
-
-def incidents(evaluations: DataFrame, *, idle_ms: int, delay: str = "1 hour") -> DataFrame:
-    """Stateful incidents per entity; rows are snapshots, the last one per incident counts."""
-    rows = timed(evaluations, "at_ms", "evaluated_at").withWatermark("evaluated_at", delay)
-    return rows.groupBy(*ENTITY).applyInPandasWithState(
-        fold_evaluations(idle_ms), INCIDENT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+def incidents(evaluations: DataFrame, state: str, *, idle_ms: int, trigger: dict | None = None) -> StreamingQuery:
+    """Incidents of the entities a batch has evaluated, folded from all their evaluations."""
+    spark = evaluations.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        put(batch, f"{state}/evaluations", batch_id)
+        touched = stage(batch.select(*ENTITY).distinct(), "evaluated")
+        own = table(spark, f"{state}/evaluations", batch.schema).drop("batch").join(touched, list(ENTITY), "left_semi")
+        folded = stage(cluster_incidents(own, idle_ms=idle_ms), "folded")
+        # an entity whose incidents went away keeps a row that says so
+        put(touched.join(folded, list(ENTITY), "left"), f"{state}/incidents", batch_id)
+
+    return run(evaluations, state, step, trigger=trigger)
+
+
+def incidents_now(spark: SparkSession, state: str) -> DataFrame:
+    rows = spark.read.parquet(f"{state}/incidents")
+    return newest_per(rows, list(ENTITY)).filter("incident_key IS NOT NULL")

@@ -1,49 +1,44 @@
-"""Running streams to completion and feeding them from tables."""
+"""Running streams in micro-batches over tables that hold one folder per batch.
+
+Nothing is decided by a watermark. A batch writes its own rows, keyed by its id, and readers merge them, so late rows count and a
+batch that runs again after a failure replaces itself. The state folder given by the caller holds the checkpoint and the tables; a job
+started anew on it goes on where it stopped.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
-
-from cardwatch.session import shared_folder
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/stream/{name}-{uuid.uuid4().hex}"
-
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
-def finish(writer: DataStreamWriter, checkpoint: str, path: str | None = None) -> None:
-    """Process everything there is and stop; progress survives in the checkpoint folder."""
-    started = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    (started.start(path) if path is not None else started.start()).awaitTermination()
+Step = Callable[[DataFrame, int], None]
 
 
-def append_parquet(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
-    """Run a stream into an exactly-once Parquet sink and read the result."""
-    spark = stream.sparkSession
-    out = folder(spark, name)
-    finish(stream.writeStream.outputMode(mode).format("parquet"), folder(spark, f"{name}-checkpoint"), out)
-    return spark.read.schema(stream.schema).parquet(out)
+def run(stream: DataFrame, state: str, step: Step, *, trigger: dict | None = None) -> StreamingQuery:
+    """Call ``step`` for every batch. Without a trigger: process what is there and stop."""
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
+    started = writer.trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None or "availableNow" in trigger:
+        started.awaitTermination()
+    return started
 
 
-def each_batch(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], *, mode: str = "append") -> None:
-    finish(stream.writeStream.outputMode(mode).foreachBatch(step), folder(stream.sparkSession, f"{name}-checkpoint"))
+def put(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def replay_slices(df: DataFrame, name: str, *, order_by: str, slices: int = 3) -> str:
-    """Write a table as consecutive time slices, so a file stream sees it in several batches."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    low, high = df.agg(F.min(order_by), F.max(order_by)).first()
-    step = (high - low) // slices + 1
-    for i in range(slices):
-        part = df.filter((F.col(order_by) >= low + i * step) & (F.col(order_by) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+def table(spark: SparkSession, path: str, like: T.StructType, *, before: int | None = None) -> DataFrame:
+    """The rows that batches have put (before one of them, if given), with their ``batch``."""
+    schema = T.StructType([*[f for f in like.fields if f.name != "batch"], T.StructField("batch", T.LongType())])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def read_slices(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def newest_per(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the newest batch of each key."""
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
