@@ -20,7 +20,7 @@ def merge(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return stage(components(links), "link-components")
 
 
-def with_first(members: DataFrame, found: None) -> DataFrame:
+def with_first(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
 
