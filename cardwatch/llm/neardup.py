@@ -41,6 +41,7 @@ LEAST_ESTIMATE = 0.52
 FEW = 64  # nodes of a band that are compared as pairs of rows
 FULL_BAND = 2_000
 BLOCK = 256
+ROWS_AT_ONCE = 1_000
 
 _MULTIPLIERS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << BITS) - 1)
@@ -73,7 +74,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest (of the set), bands, bits per row; bands and bits are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
             n, digest, bands, bits = [], [], [], []
             for found in shingle_sets(batch.column("text")):
                 n.append(len(found))
@@ -93,7 +94,7 @@ def shingle_arrays(docs: DataFrame) -> DataFrame:
     """digest, shingles of every row."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
             digest, arrays = [], []
             for found in shingle_sets(batch.column("text")):
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())

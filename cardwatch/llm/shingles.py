@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. A word's hash is a polynomial of its
 bytes modulo 2^64, taken from prefix sums, then finalised; a shingle's hash is a polynomial of
-its words' hashes. Work is done in pieces of about a megabyte, so the memory is bounded by that and by one text.
+its words' hashes. Work is done in pieces of a quarter of a megabyte, so the memory is bounded by that and by one text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 SHINGLE = 5
 
 
@@ -32,7 +32,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, n.bit_length())
+    size = 1 << max(18, n.bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 2**64), dtype=np.uint64)

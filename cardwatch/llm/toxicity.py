@@ -47,7 +47,7 @@ PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]  # offsets of the
 LETTERS = 64
 NO_SIGN = -2.0
 TIED = 25.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 #: Digits and signs that stand in for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -164,7 +164,7 @@ _SCORED: dict[str, float] = {}
 _SCORED_BY: list = [None, None]
 
 
-def largest(texts: list[str | None], model: Model) -> np.ndarray:
+def largest(texts: pa.Array, model: Model) -> np.ndarray:
     """The largest span score of each text. Words already scored by this worker are not scored again."""
     key = (model.bias, model.weights.tobytes())
     if _SCORED_BY[0] != key:
@@ -172,7 +172,7 @@ def largest(texts: list[str | None], model: Model) -> np.ndarray:
         _SCORED_BY[:] = [key, model.dense()]
     found = np.full(len(texts), NO_SIGN)
     for a in range(0, len(texts), 500):
-        bags = [spans(t) if t else set() for t in texts[a : a + 500]]
+        bags = [spans(t) if t else set() for t in texts.slice(a, 500).to_pylist()]
         if len(_SCORED) > KEPT_WORDS:
             _SCORED.clear()
         new = [w for w in set().union(*bags) if w not in _SCORED]
@@ -393,7 +393,7 @@ def _word_scorer(model: Model):
 def _text_scorer(model: Model, keep: tuple[str, ...]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = largest(batch.column("text").to_pylist(), model)
+            raw = largest(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(raw, pa.float64())], names=[*keep, "raw"])
 
     return score
@@ -407,7 +407,7 @@ def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = largest(batch.column("text").to_pylist(), model)
+            raw = largest(batch.column("text"), model)
             chance = 1 / (1 + np.exp(-np.clip(model.slope * raw + model.offset, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], names=[*batch.schema.names, "toxicity"])
 
