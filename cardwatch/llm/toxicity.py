@@ -75,10 +75,10 @@ _ODD = re.compile("[\x00-\x020-9]")
 
 
 def _plain(word: str) -> str:
-    """Digits stand for letters only in words that have more letters than digits."""
+    """Digits stand for letters in short words that are not numbers, and in long ones that have more letters than digits."""
     word = _CONTROL.sub("", word)
     digits = len(_DIGIT.findall(word))
-    return _DIGIT.sub("", word) if 2 * digits >= len(word) else word
+    return _DIGIT.sub("", word) if 3 * digits >= 2 * len(word) or len(word) > 10 and 2 * digits >= len(word) else word
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
