@@ -38,7 +38,7 @@ from cardwatch.session import shared_folder, stage
 
 END_ID = 2
 FILE_BYTES = 256 << 20  # of text
-REMEMBERED = 1_200_000  # pieces of text, about 200 bytes each
+REMEMBERED = 600_000  # pieces of text, about 200 bytes each
 ROWS = 500
 
 #: Fixed values of the zstandard seekable format and of skippable frames.
