@@ -10,7 +10,7 @@ from cardwatch.catalog.base import (
 from cardwatch.operators import hypotheses as H
 from cardwatch.operators.attempts import per_payment
 from cardwatch.operators.features import (
-    ENTITY, activity, cadence, distinct_estimates, exact_median, features, in_window, rank_candidates, stack_kinds, variety,
+    ENTITY, activity, cadence, candidates, distinct_estimates, exact_median, features, in_window, stack_kinds, variety,
 )
 from cardwatch.operators.rules import evaluate_rules, fired_rules, score, severity, warrants_incident
 from cardwatch.operators.traffic import session_totals, card_testing, traffic_context
@@ -147,8 +147,7 @@ SELECT {KEY}, failures, distinct_cards, attempts, position FROM (
 WHERE position <= 40"""))
 def _(spark, sf_dir):
     attempts, as_of = _attempts(spark, sf_dir)
-    vectors = features(stage(attempts, "attempts"), as_of_ms=as_of, window=WINDOW)
-    ranked = rank_candidates(vectors.withColumn("rank_cards", F.col("distinct_cards")), limit=40)
+    ranked = candidates(stage(attempts, "attempts"), as_of_ms=as_of, window=WINDOW, limit=40)
     return ranked.select(*ENTITY, "failures", "distinct_cards", "attempts", "position")
 
 

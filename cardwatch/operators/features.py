@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.config import KINDS, SMALL_AMOUNT_PAISE, FeatureWindow
 from cardwatch.functions.numeric import count_true, decay, ratio
+from cardwatch.functions.timeline import burstiness, fold_gaps
+from cardwatch.session import stage
 
 ENTITY = ("scope", "entity_kind", "entity_key")
 
@@ -71,14 +73,16 @@ def activity(entities: DataFrame, as_of_ms: int, window: FeatureWindow) -> DataF
 
 
 def variety(
-    entities: DataFrame, as_of_ms: int, window: FeatureWindow, *, sketches: bool = False
+    entities: DataFrame, as_of_ms: int, window: FeatureWindow, *, distinct: bool = True
 ) -> DataFrame:
     """Distinct cards, sessions and networks, orders per card, recoveries, reason concentration.
 
     Every attempt contributes one narrow row per facet. The rows are reduced per (entity,
     facet, value, detail), then per (entity, facet, value), then per entity, so all facets
-    share three shuffles and none of them meets an entity's raw rows in one place.
+    share three shuffles and none of them meets an entity's raw rows in one place. Without ``distinct``
+    the sets of cards, sessions and networks are not built.
     """
+    counted = F.lit(distinct)
     recent = F.col("at_ms") >= as_of_ms - window.window_ms
     spanned = F.col("at_ms") >= as_of_ms - window.long_span_ms
     failed = F.col("outcome") == "failed"
@@ -95,11 +99,11 @@ def variety(
     kind = F.col("entity_kind")
     rows = F.array_compact(
         F.array(
-            facet("card", F.col("card_id"), recent, F.nullif(F.col("order_id"), F.lit(""))),
-            facet("long", F.nullif(F.col("card_id"), F.lit("")), spanned),
+            facet("card", F.col("card_id"), recent & counted, F.nullif(F.col("order_id"), F.lit(""))),
+            facet("long", F.nullif(F.col("card_id"), F.lit("")), spanned & counted),
             facet("order", F.coalesce(F.col("order_id"), F.lit("")), recent),
-            facet("session", F.col("session"), recent & (kind != "session")),
-            facet("network", F.col("network"), recent & (kind != "network")),
+            facet("session", F.col("session"), recent & counted & (kind != "session")),
+            facet("network", F.col("network"), recent & counted & (kind != "network")),
             facet("reason", F.coalesce(F.col("error_reason"), F.lit("unknown")), recent & failed),
         )
     )
@@ -135,12 +139,6 @@ def variety(
         F.sum(reason_n * reason_n).alias("reason_squares"),
         F.sum(reason_n).alias("reason_total"),
     ]
-    if sketches:
-        # The sketch of a set equals the sketch of its distinct values, so it is built on them.
-        for name in ("card", "session", "network"):
-            measures.append(
-                F.hll_sketch_agg(F.when(F.col("facet") == name, F.col("value")), 12).alias(f"{name}_sketch")
-            )
     wide = by_value.groupBy(*ENTITY).agg(*measures)
     own = lambda k, column: F.when(kind == k, F.lit(1).cast("bigint")).otherwise(F.col(column))
     columns = [
@@ -154,9 +152,6 @@ def variety(
         ratio(F.col("recovered_orders"), F.col("orders")).alias("recovery_rate"),
         ratio(F.col("reason_squares"), F.col("reason_total") * F.col("reason_total")).alias("reason_concentration"),
     ]
-    if sketches:
-        for name in ("card", "session", "network"):
-            columns.append(F.hll_sketch_estimate(f"{name}_sketch").alias(f"{name}_estimate"))
     return wide.select(*columns)
 
 
@@ -173,40 +168,32 @@ def cadence(entities: DataFrame, as_of_ms: int, window: FeatureWindow) -> DataFr
         .select(
             *ENTITY,
             "n",
-            F.struct(
-                F.element_at("times", 1).alias("first"),
-                F.element_at("times", -1).alias("last"),
-                F.expr(
-                    "aggregate(transform(times, (t, i) -> if(i = 0, 0D, power(t - times[i - 1], 2))), 0D, (a, x) -> a + x)"
-                ).alias("squares"),
-            ).alias("part"),
-        )
-    )
-    folded = minutes.groupBy(*ENTITY).agg(
-        F.sum("n").alias("n"), F.array_sort(F.collect_list("part")).alias("parts")
-    )
-    gaps = F.col("n") - 1
-    return (
-        folded.select(
-            *ENTITY,
-            "n",
-            F.expr(
-                "aggregate(transform(parts, (p, i) -> p.squares + if(i = 0, 0D, power(p.first - parts[i - 1].last, 2))),"
-                " 0D, (a, x) -> a + x)"
-            ).alias("squares"),
-            (F.element_at("parts", -1)["last"] - F.element_at("parts", 1)["first"]).alias("span"),
-        )
-        .withColumn("mean_gap", F.try_divide(F.col("span").cast("double"), gaps))
-        .select(
-            *ENTITY,
-            F.when((F.col("n") < 3) | (F.col("span") == 0), F.lit(0.0))
-            .otherwise(
-                F.sqrt(F.greatest(F.col("squares") / gaps - F.col("mean_gap") * F.col("mean_gap"), F.lit(0.0)))
-                / F.col("mean_gap")
-            )
-            .alias("burstiness"),
+            F.element_at("times", 1).alias("first"),
+            F.element_at("times", -1).alias("last"),
+            F.expr("aggregate(transform(times, (t, i) -> if(i = 0, 0D, power(t - times[i - 1], 2))), 0D, (a, x) -> a + x)").alias("squares"),
         )
     )
+    folded = fold_gaps(minutes, ENTITY)
+    return folded.select(*ENTITY, burstiness(F.col("n"), F.col("first"), F.col("last"), F.col("squares")).alias("burstiness"))
+
+
+def sketch_counts(entities: DataFrame, as_of_ms: int, window: FeatureWindow) -> DataFrame:
+    """Estimates of distinct cards, sessions and networks of the window, sketched straight from the rows."""
+    recent = in_window(entities, as_of_ms, window.window_ms)
+    named = (("card", "card_id"), ("session", "session"), ("network", "network"))
+    return recent.groupBy(*ENTITY).agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, 12)).alias(f"{n}_estimate") for n, c in named])
+
+
+def candidates(attempts: DataFrame, *, as_of_ms: int, window: FeatureWindow, limit: int, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """The busiest entities per kind, found by sketches, with exact counts for those alone.
+
+    The discovery pass sums and sketches every entity; distinct sets are built only for the entities it picks.
+    """
+    entities = stack_kinds(in_window(attempts, as_of_ms, window.lookback_ms), kinds)
+    found = activity(entities, as_of_ms, window).join(sketch_counts(entities, as_of_ms, window), list(ENTITY))
+    picked = stage(rank_candidates(found.withColumn("rank_cards", F.col("card_estimate")), limit=limit), "candidates")
+    own = entities.join(picked.select(*ENTITY), list(ENTITY), "left_semi")
+    return picked.join(variety(own, as_of_ms, window), list(ENTITY))
 
 
 def exact_ranks(
@@ -269,16 +256,18 @@ def features(
     """Feature vectors of all entities (or one) at ``as_of_ms``.
 
     ``attempts`` should be a written table: several aggregates read it. ``confirm_exact=False``
-    is the discovery path: the exact card counts are withheld and rules that need them abstain.
+    is the discovery path: exact counts are not computed, estimates take their place and rules that need exact counts abstain.
     """
     entities = stack_kinds(in_window(attempts, as_of_ms, window.lookback_ms), kinds)
     if entity_key is not None:
         entities = entities.filter(F.col("entity_key") == entity_key)
     wide = (
         activity(entities, as_of_ms, window)
-        .join(variety(entities, as_of_ms, window, sketches=sketches), list(ENTITY), "left")
+        .join(variety(entities, as_of_ms, window, distinct=confirm_exact), list(ENTITY), "left")
         .join(cadence(entities, as_of_ms, window), list(ENTITY), "left")
     )
+    if sketches or not confirm_exact:
+        wide = wide.join(sketch_counts(entities, as_of_ms, window), list(ENTITY), "left")
     if median:
         recent = in_window(entities, as_of_ms, window.window_ms)
         wide = wide.join(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.config import KINDS, MINUTE_MS, SMALL_AMOUNT_PAISE
 from cardwatch.functions.numeric import count_true, decay, ratio
-from cardwatch.functions.timeline import trailing_sum
+from cardwatch.functions.timeline import burstiness, fold_gaps, trailing_sum
 from cardwatch.operators.features import ENTITY, stack_kinds
 
 SUMS = ("attempts", "failures", "captures", "gateway_failures", "infra_failures", "small_amounts", "amount_sum_paise", "amounts")
@@ -88,25 +88,12 @@ def merge_tiles(tiles: DataFrame, values: DataFrame) -> DataFrame:
         ratio(F.sum(n * n), F.sum(n) * F.sum(n)).alias("reason_concentration"),
     )
     sketches = [c for c in tiles.columns if c.endswith("_sketch")]
-    part = F.struct(F.col("first_ms").alias("first"), F.col("last_ms").alias("last"), F.col("gap_squares").alias("squares"))
     sums = tiles.groupBy(*ENTITY).agg(
-        F.min("minute_ms").alias("minute_ms"),
-        *[F.sum(c).alias(c) for c in SUMS],
-        *[F.hll_union_agg(c).alias(c) for c in sketches],
-        F.array_sort(F.collect_list(part)).alias("parts"),
-    )
-    gaps = F.col("attempts") - 1
-    span = F.element_at("parts", -1)["last"] - F.element_at("parts", 1)["first"]
-    squares = F.expr(
-        "aggregate(transform(parts, (p, i) -> p.squares + if(i = 0, 0D, power(p.first - parts[i - 1].last, 2))), 0D, (a, x) -> a + x)"
-    )
-    mean = F.try_divide(span.cast("double"), gaps)
-    spread = F.sqrt(F.greatest(F.try_divide(squares, gaps) - mean * mean, F.lit(0.0)))
-    return (
-        sums.withColumn("burstiness", F.when((F.col("attempts") < 3) | (span == 0), 0.0).otherwise(F.try_divide(spread, mean)))
-        .drop("parts")
-        .join(details, list(ENTITY), "left")
+        F.min("minute_ms").alias("minute_ms"), *[F.sum(c).alias(c) for c in SUMS], *[F.hll_union_agg(c).alias(c) for c in sketches]
     )
+    parts = tiles.select(*ENTITY, F.col("first_ms").alias("first"), F.col("last_ms").alias("last"), F.col("gap_squares").alias("squares"), F.col("attempts").alias("n"))
+    gaps = fold_gaps(parts, ENTITY).select(*ENTITY, burstiness(F.col("n"), F.col("first"), F.col("last"), F.col("squares")).alias("burstiness"))
+    return sums.join(gaps, list(ENTITY)).join(details, list(ENTITY), "left")
 
 
 def decayed_from_tiles(tiles: DataFrame, field: str, *, as_of_ms: int, half_life_ms: int) -> DataFrame:
