@@ -206,7 +206,8 @@ _reasons = "concat_ws(',', list_aggregate(list_slice(list_filter([{}], lambda x:
 _when = lambda pairs: ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in pairs)
 _why = [("distinct_cards", "distinct_cards > 1"), ("attempt_volume", "attempts > 0"), ("failure_concentration", "failures > 0"),
         ("approval_collapse", "r_approval_collapse = 1"), ("small_amount_probing", "r_small_amount_probing = 1"),
-        ("machine_cadence", "r_machine_cadence = 1"), ("arbitration", "best = 'attack'"), ("mitigating_recovery", "r_recovery = 1"),
+        ("machine_cadence", "r_machine_cadence = 1"), ("arbitration", "best = 'attack'"),
+        ("model_corroborates", "attempts % 3 <> 0 AND attempts % 5 <> 0"), ("mitigating_recovery", "r_recovery = 1"),
         ("mitigating_infra", "r_infrastructure_attribution = 1")]
 _codes = [("card_spread", "distinct_cards_above_threshold", 0.35, "distinct_cards"),
           ("card_spread", "cards_per_attempt_above_threshold", 0.15, "distinct_cards::DOUBLE / attempts"),
@@ -224,12 +225,24 @@ _top = "list_reverse_sort(list_filter([" + ", ".join(
     f"CASE WHEN r_{r} = 1 THEN {{'w': {w}::DOUBLE, 'c': '{c}'}} END" for r, c, w, _ in _codes if w > 0) + "], lambda x: x IS NOT NULL))[1].c"
 
 
-@query("explain_claims", with_("dec", tail=f"""SELECT {KEY}, {_reasons.format(_when(_why), 4)} AS top_reasons,
-  {_reasons.format("'attempts_stop', " + _when([('cards_recover', 'failures > 0'), ('margin_narrows', "best = 'attack'")]) + ", 'features_stale', 'analyst_verdict'", 3)} AS top_changes, {_top} AS top_evidence FROM dec"""))
+_n = lambda sign: "len(list_filter([" + ", ".join(f"CASE WHEN r_{r} = 1 THEN 1 END" for r, _, w, _ in _codes if w * sign > 0) + "], lambda x: x IS NOT NULL))"
+_story = [("headline", "best IS NOT NULL"), ("severity", "TRUE"), ("top_reason", f"{_n(1)} >= 1"), ("supporting_reason", f"{_n(1)} >= 2"), ("mitigating", f"{_n(-1)} >= 1"),
+          ("change_signal", "failures % 2 = 1"), ("model_opinion", "attempts % 3 <> 0"), ("runner_up", "runner_up <> best"), ("time_to_detect", "TRUE"), ("decision", "decision IS NOT NULL")]
+_if = [("attempts_stop", "TRUE"), ("cards_recover", "failures > 0"), ("margin_narrows", "best = 'attack' AND margin IS NOT NULL"), ("model_drops", "attempts % 3 <> 0"),
+       ("features_stale", "TRUE"), ("analyst_verdict", "TRUE")]
+
+
+@query("explain_claims", with_("dec", tail=f"""SELECT {KEY}, {_reasons.format(_when(_story), 10)} AS narrative, {_reasons.format(_when(_why), 4)} AS top_reasons,
+  {_reasons.format(_when(_if), 3)} AS top_changes, {_top} AS top_evidence FROM dec"""))
 def _(spark, sf_dir):
-    decided = event_pass(spark, sf_dir).decided.withColumn("risk", F.lit(None).cast("double")).withColumn("change_fired", F.lit(False))
+    """With a model that speaks for two entities in three, abstains for one in five, and a change signal for every second."""
+    decided = (
+        event_pass(spark, sf_dir).decided.withColumn("risk", F.when(F.col("attempts") % 3 != 0, F.col("score")))
+        .withColumn("model_abstained", F.col("attempts") % 5 == 0)
+        .withColumn("change_fired", F.col("failures") % 2 == 1)
+    )
     out = P.explain_claims(decided)
-    return out.select(*ENTITY, csv("top_reasons").alias("top_reasons"), csv("top_changes").alias("top_changes"), "top_evidence")
+    return out.select(*ENTITY, csv("narrative").alias("narrative"), csv("top_reasons").alias("top_reasons"), csv("top_changes").alias("top_changes"), "top_evidence")
 
 
 _items = "list_sort(list_filter([" + ", ".join(

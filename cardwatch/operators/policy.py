@@ -173,6 +173,8 @@ def explain_claims(decided: DataFrame, *, reasons: int = 4, changes: int = 3) ->
     c = F.col
     fired = lambda rule: F.exists("evidence", lambda e: (e["rule"] == rule) & (e["weight"] > 0))
     against = lambda rule: F.exists("evidence", lambda e: e["rule"] == rule)
+    # a model that leaves the call to a person supports nothing
+    spoke_not = F.coalesce(c("model_abstained"), F.lit(False)) if "model_abstained" in decided.columns else F.lit(False)
     n_for = F.size(F.filter("evidence", lambda e: e["weight"] > 0))
     n_against = F.size(F.filter("evidence", lambda e: e["weight"] < 0))
     narrative = [
@@ -195,14 +197,14 @@ def explain_claims(decided: DataFrame, *, reasons: int = 4, changes: int = 3) ->
         ("small_amount_probing", fired("small_amount_probing")),
         ("machine_cadence", fired("machine_cadence")),
         ("arbitration", c("best") == "attack"),
-        ("model_corroborates", c("risk").isNotNull()),
+        ("model_corroborates", c("risk").isNotNull() & ~spoke_not),
         ("mitigating_recovery", against("recovery")),
         ("mitigating_infra", against("infrastructure_attribution")),
     ]
     what_if = [
         ("attempts_stop", F.lit(True)),
         ("cards_recover", c("failures") > 0),
-        ("margin_narrows", c("best") == "attack"),
+        ("margin_narrows", (c("best") == "attack") & c("margin").isNotNull()),
         ("model_drops", c("risk").isNotNull()),
         ("features_stale", F.lit(True)),
         ("analyst_verdict", F.lit(True)),
