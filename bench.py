@@ -45,6 +45,10 @@ HEADLINE = (
     "price_cart",
     "ml_pr_auc",
     "ml_threshold",
+    "st_payments",
+    "st_evaluate",
+    "ml_logistic",
+    "ml_forest",
 )
 
 

@@ -322,6 +322,7 @@ def _(spark, sf_dir):
 
 _spread = "(list_contains(f, 'card_spread') OR list_contains(f, 'card_spread_slow') OR list_contains(f, 'card_probing'))"
 _has = lambda *r: "(" + " OR ".join(f"list_contains(f, '{x}')" for x in r) + ")"
+# The titles and sentences of functions/views.py.
 _TITLE = f"""CASE WHEN {_spread} AND entity_kind = 'network' THEN 'Distributed card testing' WHEN {_spread} THEN 'Coordinated card testing'
   WHEN best = 'attack' AND entity_kind = 'device' THEN 'Suspicious device activity' WHEN best = 'attack' AND entity_kind = 'network' THEN 'Distributed card testing'
   WHEN best = 'attack' THEN 'Suspicious payment activity' WHEN {_has('small_amount_probing')} THEN 'Unusual amount pattern'

@@ -32,6 +32,7 @@ def _expectations(t: Thresholds) -> dict[str, list[tuple[str, Column, int]]]:
     failing = ratio(c("shop_failures"), c("shop_attempts"))
     concentrated = c("shop_top_session_failure_share") >= 0.5
     busy_and_fine = c("shop_approval_rate") >= 0.8
+    # Reason codes and weights.
     return {
         "attack": [
             ("enough_attempts_to_have_a_shape", shaped, 3),
@@ -134,6 +135,7 @@ def decide(arbitrated: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         .when(weak | unconfirmed, "review")
         .otherwise("contain")
     )
+    # The reason codes.
     reasons = (
         F.when(unclear, F.array(F.lit("not_enough_to_judge")))
         .when(narrow, F.array(F.lit("margin_too_narrow"), F.concat(F.lit("runner_up_"), runner_up)))

@@ -32,6 +32,7 @@ def _refusals(policy: Policy) -> Column:
     c = F.col
     age_minutes = F.greatest(c("now_ms") - c("features_ms"), F.lit(0)) / 60_000
     share = F.try_divide((c("active_containments") + 1).cast("double"), c("shop_active_sessions"))
+    # The refusal codes.
     checks = [
         ("feature_state_is_stale", age_minutes > policy.max_feature_age_minutes),
         ("counts_never_confirmed", F.lit(policy.require_confirmed_counts) & c("distinct_cards").isNull()),
@@ -79,6 +80,7 @@ def policy_decide(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
             .when(held_back, "escalate")
             .otherwise(c("_wanted")),
         )
+        # The reason codes.
         .withColumn(
             "policy_reasons",
             F.when(stopped, F.array(F.lit("kill_switch_engaged")))
@@ -177,6 +179,7 @@ def explain_claims(decided: DataFrame, *, reasons: int = 4, changes: int = 3) ->
     spoke_not = F.coalesce(c("model_abstained"), F.lit(False)) if "model_abstained" in decided.columns else F.lit(False)
     n_for = F.size(F.filter("evidence", lambda e: e["weight"] > 0))
     n_against = F.size(F.filter("evidence", lambda e: e["weight"] < 0))
+    # The claim identifiers, in reading order and by priority.
     narrative = [
         ("headline", c("best").isNotNull()),
         ("severity", F.lit(True)),

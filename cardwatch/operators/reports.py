@@ -271,7 +271,7 @@ def captured_value(links: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-# Evidence code -> phrase; %s is the observed value, shown as a whole number, one decimal or percent.
+# Fixed values. Evidence code -> phrase; %s is the observed value, shown as a whole number, one decimal or percent.
 PHRASES = {
     "attempt_rate_above_threshold": ("%s attempts a minute", "one"),
     "distinct_cards_above_threshold": ("%s different cards", "whole"),

@@ -48,6 +48,7 @@ def evaluate_rules(vectors: DataFrame, t: Thresholds = Thresholds()) -> DataFram
     reuse = ratio(attempts, cards)
     never = F.lit(None).cast("string")
 
+    # Rule names, evidence codes and weights.
     # rule -> (reason it cannot run, condition under which it fires, evidence it then gives)
     table: list[tuple[str, Column, Column, list[Column]]] = []
 
