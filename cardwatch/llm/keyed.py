@@ -1,0 +1,29 @@
+"""Documents laid out by a key, for operators that come back to some of the texts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cardwatch.session import run_folder
+
+
+def key_of(doc_id: str, text: str) -> Column:
+    """Rows that repeat both id and text have the same key."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """docs as (key, doc), bucketed by a key of id and text.
+
+    The documents are moved once; the joins that follow bring small tables to their buckets instead of moving the texts again.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"documents_{uuid.uuid4().hex}"
+    placed = docs.select(key_of("doc_id", "text").alias("key"), F.struct("*").alias("doc")).repartition(parts, "key")
+    placed.write.bucketBy(parts, "key").option("path", f"{run_folder(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with the run
+    return found

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cardwatch.llm.keyed import by_key
 from cardwatch.llm.linking import merge, several, still_open, with_drawn, with_first
 from cardwatch.llm.shingles import mix, shingle_sets
 from cardwatch.llm.text import table
@@ -71,7 +72,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest (of the set), bands, bits per row; bands and bits are null for an empty set."""
+    """key, doc_id, n_shingles, digest (of the set), bands, bits per row of docs (key, doc_id, text); none of the last two for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
@@ -84,24 +85,21 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bits.append(None if least is None else packed(least))
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             made = [pa.array(x, type=t) for x, t in zip((n, digest, bands, bits), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *made], names=["key", "doc_id", "n_shingles", "digest", "bands", "bits"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, digest binary, bands array<long>, bits array<long>"
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, schema)
+    schema = f"key string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>, bits array<long>"
+    return docs.select("key", "doc_id", "text").mapInArrow(sign, schema)
 
 
 def shingle_arrays(docs: DataFrame) -> DataFrame:
-    """digest, shingles of every row."""
+    """node, shingles of every row of docs (node, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
-            digest, arrays = [], []
-            for found in shingle_sets(batch.column("text")):
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                arrays.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(arrays, pa.list_(pa.int64()))], names=["digest", "shingles"])
+            arrays = [found.view(np.int64) for found in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(arrays, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(sets, "digest binary, shingles array<long>")
+    return docs.mapInArrow(sets, "node long, shingles array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -117,7 +115,8 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept, component_size for every row of docs (doc_id, text, ...)."""
+    """doc_id, key (of id and text), n_shingles, component_id, kept, component_size for every row of docs (doc_id, text, ...)."""
+    docs = by_key(docs.select("doc_id", "text")).select("key", "doc.doc_id", "doc.text")
     signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
     # one node per distinct set; its key is the smallest row that has it
     nodes = stage(
@@ -125,6 +124,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("digest")
         .agg(
             F.min("row").alias("node"),
+            F.min("key").alias("key"),
             F.min("doc_id").alias("low_id"),
             F.count(F.lit(1)).alias("copies"),
             F.first("n_shingles").alias("n"),
@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = stage(comp, "minhash-sets")
     whole = stage(comp.groupBy("component").agg(F.min("low_id").alias("component_id"), F.sum("copies").alias("component_size")), "minhash-whole")
     by_set = stage(comp.join(whole, "component").select("digest", "component_id", "component_size"), "minhash-by-set")
-    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(by_set, "digest", "left")
+    joined = signed.select("key", "doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
     return joined.select(
         "doc_id",
-        "text_hash",
+        "key",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id") == F.col("doc_id")), F.lit(True)).alias("kept"),
@@ -235,11 +235,9 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles of the wanted nodes."""
-    wanted = stage(wanted.join(nodes.select("node", "digest", "low_id"), "node"), "minhash-wanted")
-    # the texts are found by id; where an id repeats, the digest tells which row is meant
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("low_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    arrays = shingle_arrays(texts).join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"])
-    return stage(arrays.select("node", "shingles"), "minhash-arrays")
+    wanted = stage(wanted.join(nodes.select("node", "key"), "node"), "minhash-wanted")
+    arrays = shingle_arrays(docs.join(wanted, "key").select("node", "text"))
+    return stage(arrays.dropDuplicates(["node"]), "minhash-arrays")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -251,4 +249,4 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
