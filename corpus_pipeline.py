@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.llm.decontaminate import clean
+from cardwatch.llm.keyed import key_of
 from cardwatch.llm.mixing import fair_mix
 from cardwatch.llm.neardup import near_duplicates
 from cardwatch.llm.sharding import shard
@@ -25,10 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows that repeat both id and text are one document."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    return keyed.join(stage(gone, "near-duplicates"), same, "left_anti").select("doc.*")
+    gone = near_duplicates(docs).filter("NOT kept").select("key").distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), key_of("doc_id", "text").alias("key"))
+    return keyed.join(stage(gone, "near-duplicates"), "key", "left_anti").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
