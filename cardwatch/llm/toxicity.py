@@ -7,9 +7,10 @@ landmark words, and the trained function is then carried over to one weight per
 word is a sum of looked-up weights, the same value as the kernel expansion.
 
 Labels are per document; its sentences carry it over. A document is a bag of spans: its words, and runs of single
-letters read as one word. It is as toxic as its most toxic span. Positive spans for training are words that never occur in
-clean labelled documents and hold a letter sequence that is significantly tied to the label; negative ones are words of clean
-documents, with the most confusable ones added in a second fit. A logistic curve turns the largest span score into a probability.
+letters read as one word. It is as toxic as its most toxic span. Positive spans for training are words of which nine in ten labelled
+documents are toxic, and significantly so if clean ones hold them too, and that hold a letter sequence significantly tied to the label;
+negative ones are the other words of clean documents, with the most confusable ones added in a second fit. A logistic curve turns
+the largest span score into a probability.
 
 The fit uses a bounded sample: at most ``FIT_TOXIC`` toxic and ``FIT_CLEAN`` clean labelled documents, by hash of the id.
 Every document and every word of it is scored.
@@ -47,6 +48,7 @@ PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]  # offsets of the
 LETTERS = 64
 NO_SIGN = -2.0
 TIED = 25.0
+SHARE = 0.9  # of an item's labelled documents that are toxic
 KEPT_WORDS = 150_000
 
 #: Digits and signs that stand in for letters.
@@ -225,6 +227,15 @@ def _tied(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> n
     return np.where(p > base, 2 * ratio, 0.0)
 
 
+def told_by_rate(n_toxic: int, n_clean: int) -> Column:
+    """Whether a word tells the label: by its share alone if no clean document holds it, else also by the ratio of ``_tied``."""
+    toxic, clean = F.col("toxic"), F.col("clean")
+    base = n_toxic / (n_toxic + n_clean)
+    p = toxic / (toxic + clean)
+    ratio = 2 * (toxic * F.log(p / base) + clean * F.log((1 - p) / (1 - base)))
+    return (clean == 0) | ((p >= SHARE) & (p > base) & (clean > 0) & (ratio >= TIED))
+
+
 def _similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel of every word with every landmark."""
     codes, starts = encode(landmarks)
@@ -350,10 +361,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # bounded by POOL: sequences and words that reach the driver
     grams = items.filter("kind = 'gram' AND toxic > clean").orderBy(F.desc(F.col("toxic") - F.col("clean")), "item").limit(POOL).toPandas()
     grams["tied"] = _tied(grams["toxic"].to_numpy(float), grams["clean"].to_numpy(float), n_toxic, n_clean)
-    signs = set(grams.loc[(grams["tied"] >= TIED) & (grams["toxic"] >= 0.9 * (grams["toxic"] + grams["clean"])), "item"])
+    signs = set(grams.loc[(grams["tied"] >= TIED) & (grams["toxic"] >= SHARE * (grams["toxic"] + grams["clean"])), "item"])
     words = items.filter("kind = 'word'")
-    pool = words.filter("clean = 0").orderBy(F.desc("toxic"), F.xxhash64("item")).limit(POOL).toPandas()
-    good = [r["item"] for r in words.filter("clean > 0").orderBy(F.xxhash64("item")).limit(POOL // 2).collect()]
+    told = F.coalesce(told_by_rate(n_toxic, n_clean), F.lit(False))
+    others = words.filter(~told)
+    pool = words.filter(told).orderBy(F.desc("toxic"), F.xxhash64("item")).limit(POOL).toPandas()
+    good = [r["item"] for r in others.orderBy(F.xxhash64("item")).limit(POOL // 2).collect()]
     bad = {w: n for w, n in zip(pool["item"], pool["toxic"], strict=True) if _grams(w) & signs}
     bad = dict(list(bad.items())[:3000])
     if not bad or not good:
@@ -363,7 +376,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     model = fit_spans(bad, good, chief + good[:OTHERS])
     for _ in range(ROUNDS):
         # the words of clean documents that look most toxic join the negatives
-        looked = words.filter("clean > 0").select("item").mapInArrow(_word_scorer(model), "item string, score double")
+        looked = others.select("item").mapInArrow(_word_scorer(model), "item string, score double")
         confused = [r["item"] for r in looked.orderBy(F.desc("score"), "item").limit(1000).collect()]
         good = list(dict.fromkeys(confused + good))
         model = fit_spans(bad, good, chief + good[:OTHERS])

@@ -138,6 +138,16 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert all(got[len(bent) + i] < 0.5 for i in range(len(clean))), got
 
 
+def test_toxicity_survives_a_quoting_clean_document(spark):
+    rows, labels = toxic_rows()
+    quoting = {1: "idiot", 2: "moron", 3: "worthless", 5: "disgusting"}  # clean documents, one for each insult
+    docs = frame(spark, [(d, f"{t} {quoting[d]}" if d in quoting else t, s) for d, t, s in rows])
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model is not None
+    scored = {r.doc_id: r.toxicity for r in toxicity.score_texts(docs, model).collect()}
+    assert all((scored[d] >= 0.5) == (d % 4 == 0) for d, _, _ in rows if d not in quoting)
+
+
 def test_toxicity_kernel_expansion_equals_kernel():
     """One weight per subsequence gives the same value as the sum over landmarks."""
     bad = {"idiot": 3.0, "moron": 2.0}
