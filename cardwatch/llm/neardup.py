@@ -13,7 +13,9 @@ tasks where it has many. A pair inside one component needs no comparison: it can
 by a second band first.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; repeated rows and ids
-are rows of their own; ``component_id`` is the smallest id in the component, null only if it holds no other;
+are rows of their own; ``component_id`` is the smallest id in the component, null only if it holds no other; one row of each component
+is ``elected``: smallest id (null last), then text hash, then row. ``kept`` are the rows with the elected one's id and text, of rows without
+an id only the elected one itself; rows of an empty set are all elected and kept;
 an empty table gives no rows; other columns are not looked at.
 
 A link of similarity 0.75 shares no band once in 200 000 cases. Sets are compared as sets of 64-bit hashes.
@@ -117,7 +119,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept, component_size for every row of docs (doc_id, text, ...)."""
+    """doc_id, text_hash, n_shingles, component_id, kept, component_size, elected for every row of docs (doc_id, text, ...)."""
     signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
     # one node per distinct set; its key is the smallest row that has it
     nodes = stage(
@@ -126,6 +128,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(
             F.min("row").alias("node"),
             F.min("doc_id").alias("low_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")).alias("best"),
             F.count(F.lit(1)).alias("copies"),
             F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
@@ -146,18 +149,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _confirm(pairs, docs, nodes).unionByName(_in_blocks(many, docs, nodes))
     found = merge(found, stage(links, "minhash-links"))
 
-    comp = nodes.join(found, "node", "left").select("digest", "low_id", "copies", F.coalesce("component", "node").alias("component"))
+    comp = nodes.join(found, "node", "left").select("digest", "low_id", "best", "copies", F.coalesce("component", "node").alias("component"))
     comp = stage(comp, "minhash-sets")
-    whole = stage(comp.groupBy("component").agg(F.min("low_id").alias("component_id"), F.sum("copies").alias("component_size")), "minhash-whole")
-    by_set = stage(comp.join(whole, "component").select("digest", "component_id", "component_size"), "minhash-by-set")
-    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(by_set, "digest", "left")
+    whole = stage(comp.groupBy("component").agg(F.min("low_id").alias("component_id"), F.min("best").alias("best"), F.sum("copies").alias("component_size")), "minhash-whole")
+    by_set = stage(comp.select("digest", "component").join(whole, "component").select("digest", "component_id", "best", "component_size"), "minhash-by-set")
+    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest", "row").join(by_set, "digest", "left")
+    elected = F.col("row") == F.col("best.row")
+    same = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    of_set = lambda x: F.when(F.col("n_shingles") > 0, F.coalesce(x, F.lit(False))).otherwise(F.lit(True))
     return joined.select(
         "doc_id",
         "text_hash",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id") == F.col("doc_id")), F.lit(True)).alias("kept"),
+        of_set(F.when(F.col("doc_id").isNull(), elected).otherwise(same)).alias("kept"),
         F.coalesce("component_size", F.lit(1)).alias("component_size"),
+        of_set(elected).alias("elected"),
     )
 
 
@@ -251,4 +258,4 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "elected")

@@ -24,11 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows that repeat both id and text are one document."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """One row of each group: smallest id, null last. Which of the rows that repeat both id and text stays is left open."""
+    found = near_duplicates(docs).filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    judged = stage(found.agg(F.max("elected").alias("_stays"), F.count(F.lit(1)).alias("_n")).filter("NOT _stays OR _n > 1"), "near-duplicates")
     keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    return keyed.join(stage(gone, "near-duplicates"), same, "left_anti").select("doc.*")
+    left = keyed.join(judged, same, "left_anti").select("doc.*")
+    repeated = judged.filter("_stays").select("_id", "_hash")
+    if repeated.isEmpty():
+        return left
+    return left.unionByName(keyed.join(repeated, same).dropDuplicates(["_doc", "_text"]).select("doc.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,24 @@ def test_minhash_null_ids_and_empty_tables(spark, messy, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_minhash_elects_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    text, other = prose(31, 80), prose(32, 80)
+    near = text.replace(text.split()[40], "changed", 1)
+    rows = [(None, text, "a")] * 3 + [(None, near, "b"), (7, other, "c"), (7, other + " more", "c"), (7, other, "c"), (None, other, "c")]
+    rows += [(None, None, "d"), (None, "", "d"), (8, prose(33, 60), "e")]
+    docs = frame(spark, rows).repartition(3)
+    got = neardup.near_duplicates(docs).collect()
+    without = [r for r in got if r.component_id is None and r.n_shingles]
+    assert len(without) == 4 and sum(r.kept for r in without) == 1 and sum(r.elected for r in without) == 1
+    seven = [r for r in got if r.component_id == 7]
+    assert len(seven) == 4 and sum(r.elected for r in seven) == 1
+    assert {r.doc_id for r in seven if r.kept} == {7} and len({r.text_hash for r in seven if r.kept}) == 1
+    left = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or -1, len(r.text or "") > 0) for r in left) == [(-1, False), (-1, False), (-1, True), (7, True), (8, True)]
+
+
 def test_shingle_sets_do_not_depend_on_pieces(monkeypatch):
     import pyarrow as pa
 
