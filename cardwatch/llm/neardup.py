@@ -9,8 +9,7 @@
 A band shared by many nodes is not expanded into pairs. Its nodes are first compared with the smallest of
 them, then, where the band still joins several components, with one drawn by hash, and only nodes of
 different components that share a band after that are compared with each other: as rows where a band has few nodes, block by block inside
-tasks where it has many. A pair inside one component needs no comparison: it cannot change the result. Very full bands are split
-by a second band first.
+tasks where it has many. A pair inside one component needs no comparison: it cannot change the result.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; repeated rows and ids
 are rows of their own; ``component_id`` is the smallest id in the component, null only if it holds no other; one row of each component
@@ -41,7 +40,7 @@ BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
 THRESHOLD = 75  # per cent
 LEAST_ESTIMATE = 0.52
 FEW = 64  # nodes of a band that are compared as pairs of rows
-FULL_BAND = 2_000
+FULL_BAND = 2_000  # splits nothing any more; a test sets it
 BLOCK = 256
 ROWS_AT_ONCE = 1_000
 
@@ -171,15 +170,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of nodes of different components in bands of few nodes, and the members of bands of many."""
     inside = stage(still_open(members, found), "minhash-open")
-    # a very full band is split: links nearly always share a second band too
-    finer = (
-        inside.filter(F.col("n") > FULL_BAND)
-        .join(nodes.select("node", "bands"), "node")
-        .select("key", "node", "component", F.explode("bands").alias("other"))
-        .filter("other <> key")
-        .select(F.xxhash64("key", "other").alias("key"), "node", "component")
-    )
-    inside = stage(inside.filter(F.col("n") <= FULL_BAND).unionByName(several(stage(finer, "minhash-finer"))), "minhash-across")
     few = inside.filter(F.col("n") <= FEW).join(nodes.select("node", "bits"), "node")
     left, right = few.alias("l"), few.alias("r")
     close = (F.col("l.component") < F.col("r.component")) & (estimate(F.col("l.bits"), F.col("r.bits")) >= LEAST_ESTIMATE)

@@ -77,6 +77,16 @@ def test_minhash_elects_one_row_of_a_group(spark):
     assert sorted((r.doc_id or -1, len(r.text or "") > 0) for r in left) == [(-1, False), (-1, False), (-1, True), (7, True), (8, True)]
 
 
+def test_minhash_full_bands_keep_links_of_one_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 2)
+    monkeypatch.setattr(neardup, "FULL_BAND", 3)
+    members = spark.createDataFrame([(1, k, 0) for k in range(6)], "key long, node long, first long")
+    nodes = spark.createDataFrame([(k, [1, 100 + k], [0] * neardup.LONGS) for k in range(6)], "node long, bands array<long>, bits array<long>")
+    found = spark.createDataFrame([], "node long, component long")
+    few, many = neardup._across(members, nodes, found)
+    assert few.count() == 0 and sorted(r.node for r in many.collect()) == list(range(6))
+
+
 def test_shingle_sets_do_not_depend_on_pieces(monkeypatch):
     import pyarrow as pa
 
