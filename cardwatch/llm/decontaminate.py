@@ -1,7 +1,8 @@
 """Operator 10: benchmark passages in documents, by SimHash of item-sized windows. DataFrame functions only.
 
 A window as long as an item can only reach the similarity if it shares a five-word shingle with it, so windows are laid where a
-document has a shingle of an item, shifted by the shingle's place in the item. Each window and each item gets a
+document has a shingle of an item, shifted by the shingle's place in the item. A window that would begin before the text is laid
+without the words that lie there, as at the end of a text, and at its full length from the first word too. Each window and each item gets a
 64-bit SimHash of its shingles, weighted by how often they occur. The fingerprints are cut into one block more than the
 radius: two fingerprints within the radius agree on a block, so joining on blocks misses none of them.
 Candidates within the radius are verified by the weighted Jaccard similarity of their shingles, 0.75 or more.
@@ -91,19 +92,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for size in sizes:
         seen = read.select("doc_id", "text_hash", F.posexplode(shingles(F.col("w"), size)).alias("pos", "hash"))
         own = places.filter(F.col("size") == size)
-        hit = seen.join(own, "hash").select("doc_id", "text_hash", "item", "size", "n_words", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
+        begin = F.col("pos") - F.col("at")
+        of = lambda start, length: F.struct(start.alias("start"), length.alias("length"))
+        whole, cut = of(F.greatest(begin, F.lit(0)), F.col("n_words")), of(F.lit(0), F.col("n_words") + begin)
+        hit = seen.join(own, "hash").select("doc_id", "text_hash", "item", "size", F.inline(F.when(begin < 0, F.array(whole, cut)).otherwise(F.array(whole))))
         found = hit if found is None else found.unionByName(hit)
     laid = stage(found.distinct(), "bench-windows")
 
     # fingerprints of the windows
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    window = F.slice(F.col("w"), F.col("start") + 1, F.col("n_words"))
+    window = F.slice(F.col("w"), F.col("start") + 1, F.col("length"))
     of_size = F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("words"), k)) for k in sizes])
     windows = stage(
         texts.join(laid, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
-        .select("doc_id", "text_hash", "item", "start", "size", "n_words", words(F.col("text")).alias("w"))
-        .select("doc_id", "text_hash", "item", "start", "size", window.alias("words"))
-        .select("doc_id", "text_hash", "item", "start", of_size.alias("shingles"))
+        .select("doc_id", "text_hash", "item", "start", "length", "size", words(F.col("text")).alias("w"))
+        .select("doc_id", "text_hash", "item", "start", "length", "size", window.alias("words"))
+        .select("doc_id", "text_hash", "item", "start", "length", of_size.alias("shingles"))
         .filter(F.size("shingles") > 0)
         .withColumn("fingerprint", simhash(F.col("shingles"))),
         "bench-fingerprints",
@@ -111,13 +115,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # multi-index: agree on a block, then be within the radius
     side = lambda df, *more: df.select(*more, "item", "fingerprint", F.inline(blocks(F.col("fingerprint"), RADIUS)))
-    left = side(windows, "doc_id", "text_hash", "start").withColumnRenamed("fingerprint", "of_window")
+    left = side(windows, "doc_id", "text_hash", "start", "length").withColumnRenamed("fingerprint", "of_window")
     near = F.bit_count(F.col("of_window").bitwiseXOR(F.col("fingerprint"))) <= RADIUS
-    close = left.join(side(items), ["item", "block", "value"]).filter(near).select("doc_id", "text_hash", "start", "item").distinct()
+    close = left.join(side(items), ["item", "block", "value"]).filter(near).select("doc_id", "text_hash", "start", "length", "item").distinct()
     close = stage(close, "bench-close")
 
     # weighted Jaccard similarity on the shingles themselves
-    key = ["doc_id", "text_hash", "start", "item"]
+    key = ["doc_id", "text_hash", "start", "length", "item"]
     counted = (
         close.join(windows.select(*[F.col(k).alias(f"_{k}") for k in key], "shingles"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
         .dropDuplicates(key)

@@ -248,6 +248,15 @@ def test_benchmark_passages_match_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not x for _, x in want)
 
 
+def test_benchmark_passages_cut_by_either_end_of_a_text(spark):
+    w = [f"i{k}" for k in range(100)]
+    more = prose(41, 200)
+    docs = frame(spark, [(1, " ".join(w[14:]) + " " + more, "a"), (2, more + " " + " ".join(w[:86]), "a"), (3, " ".join(w[30:]) + " " + more, "a")])
+    judged = decontaminate.judge(docs, spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    got = {r.doc_id: r.similarity and round(r.similarity, 3) for r in judged.collect()}
+    assert got == {1: 0.854, 2: 0.854, 3: None}
+
+
 def test_nothing_to_decontaminate(spark, messy, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.judge(messy, none).filter("contaminated").count() == 0
