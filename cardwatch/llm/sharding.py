@@ -5,8 +5,9 @@ byte limit is split on the next bit, the others stay as they are, until every ce
 groups is the histogram of hash prefixes, never the documents of one cell: rows are summed per fine cell
 (map-side), the directory is found from those sums, and rows look their cell up.
 
-Ids that repeat share all bits of their hash. When a finest cell is still too large, its rows go on
-with the bits of a second hash, of the id and the row's own number, so copies of one id spread too.
+When a finest cell is still too large, it goes on with the next bits of the id hash as long as it holds several ids.
+Ids that repeat share all bits of their hash: a cell of a single id goes on with the bits of a second hash, of
+the id and the row's own number, so copies of one id spread too.
 
 Defined cases: null text has 0 bytes; null ids hash as one id and are spread like repeated ids; a document
 larger than the limit is a shard of its own; rows that repeat an id may swap shards when the job
@@ -24,7 +25,7 @@ from cardwatch.session import stage
 
 SHARD_BYTES = 64 << 20
 FINER = 4  # bits of the histogram beyond those that an even split needs
-STEP, HASH_BITS = 20, 60
+STEP, HASH_BITS, ROUNDS = 20, 60, 12
 
 
 def hash_bits(text: Column) -> Column:
@@ -33,7 +34,7 @@ def hash_bits(text: Column) -> Column:
 
 
 def _directory(cells: DataFrame, bits: int, limit: int) -> DataFrame:
-    """(bucket, cell, bytes, docs) -> (bucket, cell, depth, prefix, leaf_bytes, leaf_docs, fits): the shallowest prefix
+    """(bucket, cell, bytes, docs, single) -> (bucket, cell, depth, prefix, leaf_bytes, leaf_docs, fits, single): the shallowest prefix
     of each cell that fits, or the whole cell, marked as not fitting."""
     at = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn(
         "prefix", F.expr(f"shiftright(cell, {bits} - depth)")
@@ -45,8 +46,8 @@ def _directory(cells: DataFrame, bits: int, limit: int) -> DataFrame:
         at.drop("bytes", "docs")
         .join(leaves, ["bucket", "depth", "prefix"])
         .groupBy("bucket", "cell")
-        .agg(F.min(F.struct("depth", "prefix", "leaf_bytes", "leaf_docs", "fits")).alias("leaf"))
-        .select("bucket", "cell", "leaf.*")
+        .agg(F.min(F.struct("depth", "prefix", "leaf_bytes", "leaf_docs", "fits")).alias("leaf"), F.first("single").alias("single"))
+        .select("bucket", "cell", "leaf.*", "single")
     )
 
 
@@ -75,22 +76,29 @@ def shard(docs: DataFrame, *, limit: int = SHARD_BYTES) -> DataFrame:
         return F.expr(f"shiftright({name}, {HASH_BITS - used - size}) & {(1 << size) - 1}L")
 
     open_rows = rows.withColumn("bucket", F.lit("")).withColumn("cell", cell("of_id", 0, bits))
-    settled, used = None, 0
+    settled, used, rounds = None, bits, 0
     while True:
-        cells = stage(open_rows.groupBy("bucket", "cell").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")), "shard-cells")
+        sums = [F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"), (F.min("of_id") == F.max("of_id")).alias("single")]
+        cells = stage(open_rows.groupBy("bucket", "cell").agg(*sums), "shard-cells")
         found = stage(_directory(cells, bits, limit).withColumn("name", _name(F.col("bucket"), F.col("prefix"), F.col("depth"))), "shard-directory")
         matched = open_rows.join(
-            found.select("bucket", "cell", "name", "fits", F.col("leaf_bytes").alias("shard_bytes"), F.col("leaf_docs").alias("shard_docs")), ["bucket", "cell"]
+            found.select("bucket", "cell", "name", "fits", "single", F.col("leaf_bytes").alias("shard_bytes"), F.col("leaf_docs").alias("shard_docs")), ["bucket", "cell"]
         )
-        tight = used >= HASH_BITS or found.filter(~F.col("fits")).isEmpty()
+        tight = rounds == ROUNDS or found.filter(~F.col("fits")).isEmpty()
         done = (matched if tight else matched.filter("fits")).select("doc.*", F.col("name").alias("shard"), "shard_bytes", "shard_docs")
         settled = done if settled is None else settled.unionByName(done)
         if tight:
             return settled
-        # only the cells that are still too large go on, with bits of the rows' own hash
-        bits = STEP
-        open_rows = matched.filter("NOT fits").select("doc", "bytes", "of_id", "of_row", F.col("name").alias("bucket")).withColumn("cell", cell("of_row", used, bits))
-        used += bits
+        # only the cells that are still too large go on: several ids with their next bits, copies of one id with bits of the rows' own
+        # hash, mixed anew each round. Once all id bits are read, a cell holds one id.
+        bits = min(STEP, HASH_BITS - used) or STEP
+        rounds += 1
+        own = F.expr(f"shiftright(xxhash64(of_row, {rounds}), 1) & {(1 << bits) - 1}L")
+        further = cell("of_id", used, bits) if used < HASH_BITS else own
+        open_rows = matched.filter("NOT fits").select(
+            "doc", "bytes", "of_id", "of_row", F.col("name").alias("bucket"), F.when(F.col("single"), own).otherwise(further).alias("cell")
+        )
+        used = min(HASH_BITS, used + bits)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -194,6 +194,19 @@ def test_shards_fit_and_only_full_ones_split(spark, messy, limit):
         assert not s or inside > limit
 
 
+def test_shards_of_distinct_ids_are_prefixes_of_the_id_hash(spark):
+    import hashlib
+
+    bits = lambda d: f"{int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16):060b}"
+    large = 1
+    close = [d for d in range(2, 20_000) if bits(d)[:9] == bits(large)[:9]][:10]
+    sizes = {large: 5_000} | dict.fromkeys(close, 300) | dict.fromkeys(range(30_000, 30_020), 100)
+    docs = frame(spark, [(d, "x" * n, "a") for d, n in sizes.items()])
+    got = [{r.doc_id: r.shard for r in sharding.shard(docs.repartition(n), limit=1_000).collect()} for n in (1, 5)]
+    assert len(close) == 10 and set(got[0]) == set(sizes) and got[0] == got[1]
+    assert all(bits(d).startswith(s) for d, s in got[0].items())
+
+
 def test_shards_of_nothing_and_written(empty, messy, tmp_path):
     assert sharding.shard(empty).count() == 0
     sharding.write_shards(sharding.shard(messy.select("doc_id", "text"), limit=5_000), str(tmp_path / "out"))
