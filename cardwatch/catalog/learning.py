@@ -239,12 +239,12 @@ _LONG = FeatureWindow(window_ms=20 * 365 * DAY_MS, half_life_ms=365 * DAY_MS, lo
 
 
 def _training(spark, sf_dir):
-    """Sessions of the line items with all features; one shop per country, which is also the group."""
+    """Sessions and networks of the line items with all features; one shop per country, which is also the group."""
     obs = join_observations(T.lineitem_events(spark, sf_dir), T.checkout_sessions(spark, sf_dir)).withColumn("scope", F.col("network"))
     attempts = stage(per_payment(obs.filter(F.col("session").isNotNull())), "attempts")
     as_of = int(attempts.agg(F.max("at_ms").alias("m")).first()["m"]) + 1_000
     traffic = stage(traffic_context(attempts, as_of_ms=as_of, window=_LONG), "traffic")
-    vectors = features(attempts, as_of_ms=as_of, window=_LONG, kinds=("session",))
+    vectors = features(attempts, as_of_ms=as_of, window=_LONG, kinds=("session", "network"))
     rows = D.with_features(with_traffic(vectors, traffic))
     k = F.substring("entity_key", 2, 20).cast("bigint")
     label = (F.col("failure_rate") * 100 + k % 37 > 55).cast("int")

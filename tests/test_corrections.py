@@ -83,3 +83,12 @@ def test_typical_amount_reads_every_capture_unless_asked(spark, sample, want):
     captures = spark.createDataFrame(rows, "source string, event_id bigint, at_ms bigint, amount_paise bigint")
     got = typical_amount(captures, sample=sample).first()["typical_paise"]
     assert got == (want if sample else 750)
+
+
+def test_fitted_models_train_on_sessions_and_networks(spark, sf_dir):
+    from cardwatch.catalog.learning import _training
+
+    rows = _training(spark, sf_dir)
+    keys = [r.row_id.split(":")[1] for r in rows.select("row_id").collect()]
+    assert {k[0] for k in keys} == {"s", "n"}
+    assert rows.select("row_id").distinct().count() == len(keys)
