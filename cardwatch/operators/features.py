@@ -187,13 +187,27 @@ def sketch_counts(entities: DataFrame, as_of_ms: int, window: FeatureWindow) ->
 def candidates(attempts: DataFrame, *, as_of_ms: int, window: FeatureWindow, limit: int, kinds: Sequence[str] = KINDS) -> DataFrame:
     """The busiest entities per kind, found by sketches, with exact counts for those alone.
 
-    The discovery pass sums and sketches every entity; distinct sets are built only for the entities it picks.
+    The discovery pass sums and sketches every entity; distinct sets are built, and ranked, only for the entities that the sketches'
+    error leaves within the limit.
     """
     entities = stack_kinds(in_window(attempts, as_of_ms, window.lookback_ms), kinds)
-    found = activity(entities, as_of_ms, window).join(sketch_counts(entities, as_of_ms, window), list(ENTITY))
-    picked = stage(rank_candidates(found.withColumn("rank_cards", F.col("card_estimate")), limit=limit), "candidates")
+    found = stage(activity(entities, as_of_ms, window).join(sketch_counts(entities, as_of_ms, window), list(ENTITY)), "activity")
+    picked = stage(within_reach(found, limit=limit), "candidates")
     own = entities.join(picked.select(*ENTITY), list(ENTITY), "left_semi")
-    return picked.join(variety(own, as_of_ms, window), list(ENTITY))
+    exact = picked.join(variety(own, as_of_ms, window), list(ENTITY))
+    return rank_candidates(exact.withColumn("rank_cards", F.col("distinct_cards")), limit=limit)
+
+
+def within_reach(found: DataFrame, *, limit: int) -> DataFrame:
+    """Entities that may be among the ``limit`` busiest of their kind while estimates are off by up to three error bounds."""
+    estimate = F.coalesce("card_estimate", F.lit(0))
+    margin = 3 * F.ceil(estimate * 1.04 / 64)
+    low, high = estimate - margin, estimate + margin
+    order = W.partitionBy("scope", "entity_kind").orderBy(F.desc("failures"), low.desc())
+    edge = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).filter(F.col("_n") == limit)
+    edge = edge.select("scope", "entity_kind", F.col("failures").alias("_failures"), low.alias("_low"))
+    behind = (F.col("failures") < F.col("_failures")) | (F.col("failures") == F.col("_failures")) & (high < F.col("_low"))
+    return found.join(edge, ["scope", "entity_kind"], "left").filter(~F.coalesce(behind, F.lit(False))).drop("_failures", "_low")
 
 
 def exact_ranks(

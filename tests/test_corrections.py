@@ -92,3 +92,16 @@ def test_fitted_models_train_on_sessions_and_networks(spark, sf_dir):
     keys = [r.row_id.split(":")[1] for r in rows.select("row_id").collect()]
     assert {k[0] for k in keys} == {"s", "n"}
     assert rows.select("row_id").distinct().count() == len(keys)
+
+
+def test_candidates_do_not_follow_the_sketch_error(spark, con, sf_dir, monkeypatch):
+    from oracle import compare
+
+    from cardwatch.catalog import ORACLE, QUERIES
+    from cardwatch.operators import features
+
+    exact = features.sketch_counts
+    off = F.pmod(F.xxhash64("entity_key"), F.lit(7)) - 3  # within three bounds
+    monkeypatch.setattr(features, "sketch_counts", lambda *a: exact(*a).withColumn("card_estimate", F.greatest(F.col("card_estimate") + off, F.lit(0))))
+    ok, note = compare(spark, con, "rank_candidates", QUERIES["rank_candidates"], ORACLE["rank_candidates"], sf_dir)
+    assert ok, note
