@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import decontaminate, exact, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
+from cardwatch.llm import decontaminate, exact, infill, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": neardup.op8_minhash,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op7_url_filter": urls.OP7_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_fill_in_middle": infill.OP11_SQL,
 }
