@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import decontaminate, exact, infill, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
+from cardwatch.llm import bpe, decontaminate, exact, infill, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_bpe": bpe.op12_bpe,
 }
 
 ORACLE = {
