@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import bpe, decontaminate, exact, infill, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls
+from cardwatch.llm import bpe, decontaminate, exact, infill, lines, mixing, neardup, sharding, tokenfiles, toxicity, unigram, urls, whiten
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
     "op12_bpe": bpe.op12_bpe,
+    "op13_whiten": whiten.op13_whiten,
 }
 
 ORACLE = {
