@@ -23,6 +23,7 @@ names are switched off. Decoding gives what the library's decode gives, special
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from cardwatch.llm.text import table
 from cardwatch.session import stage
 
-LEAF = 4_096  # characters that are encoded at once
+LEAF = 16_384  # characters that are encoded at once
 REACH = 64  # characters on each side of a cut that the first window holds
 TASK = 1 << 20  # characters of one text that a task encodes
 PIECE = 1 << 19  # characters of several texts at a time
@@ -47,6 +48,10 @@ PIECE = 1 << 19  # characters of several texts at a time
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first character, character behind the last
 
 
+_NONE = np.zeros(0, dtype=np.int32)
+_BEYOND = re.compile("[^\x00-\xff]")  # of Latin-1, whose characters are composed already
+
+
 class Codec:
     """A vocabulary file of the tokenizers library."""
 
@@ -62,17 +67,47 @@ class Codec:
         self._special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) or r"(?!)")
         self._strings: pa.Array | None = None
 
+        self._light = self._without_normaliser(path)
+
+    def _without_normaliser(self, path: str):
+        """The same vocabulary for texts that are normalised already, if all it does to characters below U+0100 is lower-casing them and folding white space that it drops."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        steps = made["normalizer"]["normalizers"] if (made["normalizer"] or {}).get("type") == "Sequence" else []
+        folds = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        if not steps or any(x not in folds for x in steps) or folds[2] not in steps:
+            return None
+        light = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "truncation": None, "padding": None}))
+        dropped = all(light.encode(f"a{c}b", add_special_tokens=False).ids == light.encode("a b", add_special_tokens=False).ids for c in ("  ", "\t", "\n \r", "\x0b\x0c", "\x85", "\xa0"))
+        return light if dropped else None
+
+    def _normalised(self, texts: list[str]) -> tuple[list[str], bool]:
+        """The texts lower-cased, and whether the light vocabulary gives their tokens."""
+        if self._light is None or not all(t.isascii() or not _BEYOND.search(t) for t in texts):
+            return texts, False
+        low = [t.lower() for t in texts]
+        return (texts, False) if any(self._special.search(t) for t in low) else (low, True)
+
     def specials(self, text: str, base: int = 0) -> list[tuple[int, int]]:
         return [(m.start() + base, m.end() + base) for m in self._special.finditer(text)]
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
-        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found: list[np.ndarray] = [_NONE] * len(texts)
+        for light in (True, False):
+            own = [(i, low) for i, t in enumerate(texts) for (low,), plain in [self._normalised([t])] if plain == light]
+            encoded = (self._light if light else self.tokenizer).encode_batch_fast([t for _, t in own], add_special_tokens=False) if own else []
+            for (i, _), e in zip(own, encoded, strict=True):
+                found[i] = np.array(e.ids, dtype=np.int32)
+        return found
 
     def spans(self, texts: list[str], starts: list[int]) -> list[Tokens]:
         """Ids of pieces of a text and the characters they stand for."""
         found = []
-        for e, start in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), starts, strict=True):
+        texts, light = self._normalised(texts)
+        for e, start in zip((self._light if light else self.tokenizer).encode_batch(texts, add_special_tokens=False), starts, strict=True):
             places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + start
             found.append((np.array(e.ids, dtype=np.int32), places[:, 0], places[:, 1]))
         return found
@@ -107,7 +142,7 @@ class Codec:
     def encode(self, texts: list[str | None], leaf: int = LEAF, reach: int = REACH) -> list[np.ndarray]:
         leaf = leaf if self.local else sys.maxsize
         short = [i for i, t in enumerate(texts) if t and len(t) <= leaf]
-        found: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(texts)
+        found: list[np.ndarray] = [_NONE] * len(texts)
         for i, ids in zip(short, self.plain([texts[i] for i in short]), strict=True):
             found[i] = ids
         for i, t in enumerate(texts):
