@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from cardwatch.catalog import control, incidents as inc_q, ingest, reports  # noqa: F401  (their SQL fragments are used here)
 from cardwatch.catalog.base import IDLE_MS, WINDOW, q6, query, r3, r6, with_
-from cardwatch.operators.containment import containment_state, expire_due
+from cardwatch.operators.containment import containment_state
 from cardwatch.operators.features import ENTITY
+from cardwatch.operators.incidents import cluster_incidents
 from cardwatch.session import run_folder, stage
 from cardwatch.sources import tables as T
 from cardwatch.streaming import jobs as J
-from cardwatch.streaming.runtime import newest_per
 
 KEY = "scope, entity_kind, entity_key"
 
@@ -51,7 +51,7 @@ def _(spark, sf_dir):
         J.delivery_counts(stream, counts)
 
     _arrive(_deliveries(spark, sf_dir), "deliveries", start)
-    seen = spark.read.parquet(f"{counts}/counts").groupBy("delivery_key").agg(F.sum("n").alias("delivery_count"))
+    seen = J.deliveries_now(spark, counts).select("delivery_key", F.col("n").alias("delivery_count"))
     return spark.read.parquet(f"{first}/first").select("event_id", "delivery_key").join(seen, "delivery_key").select("event_id", "delivery_count")
 
 
@@ -85,27 +85,28 @@ _TILE = ("attempts", "failures", "captures", "gateway_failures", "infra_failures
 
 
 def _payments(spark, sf_dir):
-    """Payments collapsed by the stream, from shuffled slices."""
+    """State of the payments stream, from shuffled slices."""
     state, observations = _state(spark, "payments"), T.observations(spark, sf_dir)
     _arrive(observations, "observations", lambda stream: J.payments(stream, state))
-    return J.payments_now(spark, state, observations.schema)
+    return state, observations.schema
 
 
 @query("st_payments", with_("pay", tail="SELECT scope, payment_id, at_ms, outcome, order_id, amount_paise, card_id, session, device, network, error_reason, error_source FROM pay"))
 def _(spark, sf_dir):
-    return _payments(spark, sf_dir).select("scope", "payment_id", "at_ms", "outcome", "order_id", "amount_paise", "card_id", "session", "device", "network", "error_reason", "error_source")
+    return J.payments_now(spark, *_payments(spark, sf_dir)).select("scope", "payment_id", "at_ms", "outcome", "order_id", "amount_paise", "card_id", "session", "device", "network", "error_reason", "error_source")
 
 
 @query("st_tiles", with_("tile", tail=f"SELECT {KEY}, minute_ms, {', '.join(_TILE)} FROM tile"))
 def _(spark, sf_dir):
-    return J.tiles(_payments(spark, sf_dir)).select(*ENTITY, "minute_ms", *_TILE)
+    """Tiles kept by retraction: what a late event changes is taken back from the tiles it was in."""
+    return J.tiles_now(spark, *_payments(spark, sf_dir)).select(*ENTITY, "minute_ms", *_TILE)
 
 
 @query("st_sliding", with_("ent", tail=f"""
 SELECT {KEY}, end_ms, count(*) AS attempts, count(*) FILTER (WHERE outcome = 'failed') AS failures, count(*) FILTER (WHERE outcome = 'captured') AS captures
 FROM (SELECT *, unnest([at_ms // 21600000 * 21600000 + 21600000, at_ms // 21600000 * 21600000 + 43200000]) AS end_ms FROM ent) GROUP BY ALL"""))
 def _(spark, sf_dir):
-    return J.sliding(J.tiles(_payments(spark, sf_dir)), span_ms=12 * 3_600_000, step_ms=6 * 3_600_000)
+    return J.sliding(J.tiles_now(spark, *_payments(spark, sf_dir)), span_ms=12 * 3_600_000, step_ms=6 * 3_600_000)
 
 
 @query("st_ingest_rate", with_("obs", tail="SELECT scope, received_ms // 300000 * 300000 AS from_ms, count(*) AS events FROM obs GROUP BY 1, 2"))
@@ -145,27 +146,59 @@ def _(spark, sf_dir):
 SELECT l.network, {r6('cl')} AS cusum_limit, e.i IS NOT NULL AS cusum_fired, e.i AS cusum_at, coalesce({r3('e.s')}, 0.0) AS cusum_statistic, coalesce(e.i - e.since + 1, 0) AS cusum_buckets
 FROM lims l LEFT JOIN (SELECT w.network, w.i, w.s, w.since, row_number() OVER (PARTITION BY w.network ORDER BY w.i) AS k FROM walk w JOIN lims USING (network) WHERE w.i >= 30 AND w.s > cl) e ON e.network = l.network AND k = 1"""))
 def _(spark, sf_dir):
-    """Alarms over the series that the batches have added up."""
+    """Alarms of the online detector; shuffled slices also bring events of buckets that are closed."""
     state = _state(spark, "change")
     _arrive(T.observations(spark, sf_dir), "observations", lambda stream: J.change(stream, state, options=inc_q._SHARP, start_ms=inc_q._START, bucket_ms=inc_q._BUCKET))
-    alarms = newest_per(spark.read.parquet(f"{state}/alarms"), ["network"])
+    alarms = J.change_now(spark, state, options=inc_q._SHARP)
     return alarms.select("network", q6("cusum_limit").alias("cusum_limit"), "cusum_fired", "cusum_at", "cusum_statistic", "cusum_buckets")
 
 
 @query("st_incidents", with_("clustered", tail=f"SELECT {KEY}, incident_key, status, score, first_ms, detected_ms, last_ms, observations, attempts FROM clustered"))
 def _(spark, sf_dir):
     state = _state(spark, "incidents")
-    _arrive(inc_q._evaluations(spark, sf_dir), "evaluations", lambda stream: J.incidents(stream, state, idle_ms=IDLE_MS))
-    return J.incidents_now(spark, state).select(*ENTITY, "incident_key", "status", "score", "first_ms", "detected_ms", "last_ms", "observations", "attempts")
+    evaluations = inc_q._evaluations(spark, sf_dir)
+    _arrive(evaluations, "evaluations", lambda stream: J.incidents(stream, state, idle_ms=IDLE_MS))
+    return J.incidents_now(spark, state, evaluations.schema).select(*ENTITY, "incident_key", "status", "score", "first_ms", "detected_ms", "last_ms", "observations", "attempts")
 
 
 @query("st_containment_expiry", with_("cont", "clock", tail="""
 SELECT containment_id, CASE WHEN activated_ms IS NULL THEN CASE WHEN rejected THEN 'rejected' ELSE 'proposed' END WHEN released_ms IS NOT NULL THEN 'released' ELSE 'expired' END AS status FROM cont"""))
 def _(spark, sf_dir):
-    """Due containments closed by a job that runs when triggered (a day past the newest event)."""
+    """Timers close what is due: the words on containments come in the order of their times, then the clock moves on by a day."""
     now = T.newest_ms(spark, sf_dir) + 86_400_000
-    states = containment_state(T.containment_log(spark, sf_dir), now_ms=0)
-    return expire_due(states, now_ms=now).select("containment_id", "status")
+    states = stage(containment_state(T.containment_log(spark, sf_dir), now_ms=0), "containments")
+    words = states.filter("status = 'active'").select(
+        F.col("containment_id").cast("string").alias("key"), F.col("activated_ms").alias("version_ms"), F.col("expires_ms").alias("due_ms"), F.col("activated_ms").alias("clock_ms"))
+    closed = J.expired_now(spark, _clocked(words, "containments", now)).select(F.col("key").alias("containment_id"), "closed_ms")
+    found = states.select(F.col("containment_id").cast("string").alias("containment_id"), "status").join(closed, "containment_id", "left")
+    return found.select(
+        F.col("containment_id").cast(states.schema["containment_id"].dataType).alias("containment_id"),
+        F.when(F.col("closed_ms").isNotNull(), "expired").otherwise(F.col("status")).alias("status"))
+
+
+def _clocked(words, name, now):
+    """Deliver words in three stretches of their clock, then one word of a key of its own that moves the clock to ``now``."""
+    spark = words.sparkSession
+    rows, state, source = stage(words, name), _state(spark, name), f"{run_folder(spark)}/{name}-source-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min("clock_ms"), F.max("clock_ms")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    late = spark.createDataFrame([("", now, None, now + 120_000)], rows.schema)
+    for part in (*[rows.filter(F.expr(f"(clock_ms - {low or 0}) div {step}") == i) for i in range(3)], late):
+        part.write.mode("append").parquet(source)
+        J.expire(spark.readStream.schema(rows.schema).parquet(source), state)
+    return state
+
+
+@query("st_incident_expiry", with_("clustered", "clock", tail=f"SELECT {KEY}, incident_key, CASE WHEN status = 'open' AND last_ms + {IDLE_MS} <= as_of + 86400000 THEN 'expired' ELSE status END AS status FROM clustered, clock"))
+def _(spark, sf_dir):
+    """Idle incidents closed by the clock, without an event of theirs."""
+    now = T.newest_ms(spark, sf_dir) + 86_400_000
+    found = stage(cluster_incidents(inc_q._evaluations(spark, sf_dir), idle_ms=IDLE_MS), "incidents")
+    key = F.concat_ws("|", "scope", "incident_key")
+    words = found.filter("status = 'open'").select(key.alias("key"), F.col("last_ms").alias("version_ms"), F.col("expires_ms").alias("due_ms"), F.col("last_ms").alias("clock_ms"))
+    closed = J.expired_now(spark, _clocked(words, "idle", now)).select("key", "closed_ms")
+    return found.withColumn("key", key).join(closed, "key", "left").select(
+        *ENTITY, "incident_key", F.when(F.col("closed_ms").isNotNull(), "expired").otherwise(F.col("status")).alias("status"))
 
 
 @query("st_block", with_("cont", "pay", "enf", tail="""

@@ -82,19 +82,29 @@ def payment_partials(observations: DataFrame) -> DataFrame:
     )
 
 
-def merge_payments(partials: DataFrame) -> DataFrame:
-    """Payments from partial rows, as ``per_payment`` over all their events at once."""
-    merged = partials.groupBy("scope", "payment_id", "loose_id").agg(
-        *[F.min(c).alias(c) for c in ("head", "error_reason", "error_source")], F.max("outcome_rank").alias("outcome_rank"), F.sum("n_events").alias("n_events")
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partial rows of the same payments as one each, still in a form that merges."""
+    return partials.groupBy("scope", "payment_id", "loose_id").agg(
+        F.min("head").alias("head"), F.max("outcome_rank").alias("outcome_rank"),
+        *[F.min(c).alias(c) for c in ("error_reason", "error_source")], F.sum("n_events").alias("n_events"),
     )
+
+
+def finish_payments(merged: DataFrame, *keep: str) -> DataFrame:
+    """Payments from partial rows that are merged already."""
     carried = [c for c in merged.schema["head"].dataType.names if c != "event_id"]
     names = F.array(*[F.lit(n) for n in OUTCOME_RANK])
     return merged.select(
-        "scope", "payment_id", "outcome_rank", *[F.col(f"head.{c}").alias(c) for c in carried],
+        "scope", "payment_id", *keep, "outcome_rank", *[F.col(f"head.{c}").alias(c) for c in carried],
         F.col("error_reason.value").alias("error_reason"), F.col("error_source.value").alias("error_source"), "n_events",
     ).withColumn("outcome", F.element_at(names, F.col("outcome_rank") + 1))
 
 
+def merge_payments(partials: DataFrame) -> DataFrame:
+    """Payments from partial rows, as ``per_payment`` over all their events at once."""
+    return finish_payments(merge_partials(partials))
+
+
 def resolve_attempts(events: DataFrame) -> DataFrame:
     """State of each payment, whatever the order or number of deliveries.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,6 +43,60 @@ def _baseline(options: ChangeOptions) -> tuple[Column, Column]:
     return mean, deviation
 
 
+def start_of_fold() -> dict:
+    """The detector of one series before its first bucket (plain values, for a state store)."""
+    return {"i": 0, "last": -1, "warm": [], "ewma_at": None, "ewma_statistic": None, "cusum_at": None, "cusum_statistic": None, "cusum_buckets": None}
+
+
+def fold_series(state: dict, n: int, options: ChangeOptions) -> dict:
+    """The detector behind one more bucket: what ``detect_change`` folds over a whole array, one step of it."""
+    s, x = dict(state), float(n)
+    i = s["i"]
+    s["i"] = i + 1
+    if i < options.warm_up_buckets:
+        s["warm"] = [*s["warm"], n]
+        if i + 1 == options.warm_up_buckets:
+            mean = sum(map(float, s["warm"])) / len(s["warm"])
+            squares = sum((float(w) - mean) * (float(w) - mean) for w in s["warm"])
+            s["mean"], s["deviation"] = mean, max(math.sqrt(squares / max(len(s["warm"]) - 1, 1)), options.minimum_deviation)
+            s["ewma"], s["total"], s["since"] = mean, 0.0, 0
+        return s
+    lam, mean, deviation = options.smoothing, s["mean"], s["deviation"]
+    rounded = lambda v: math.floor(v * 1000 + 0.5) / 1000
+    excess = x - mean - options.slack * deviation
+    s["since"] = i if s["total"] == 0 and excess > 0 else s["since"]
+    s["ewma"], s["total"] = lam * x + (1 - lam) * s["ewma"], max(0.0, s["total"] + excess)
+    if s["ewma_at"] is None and s["ewma"] - mean > options.control_limit * deviation * math.sqrt(lam / (2 - lam)):
+        s["ewma_at"], s["ewma_statistic"] = i, rounded(s["ewma"] - mean)
+    if s["cusum_at"] is None and s["total"] > options.decision_interval * deviation:
+        s["cusum_at"], s["cusum_statistic"], s["cusum_buckets"] = i, rounded(s["total"]), i - s["since"] + 1
+    return s
+
+
+def limits_of(folded: DataFrame, options: ChangeOptions, *, buckets: int) -> DataFrame:
+    """Folded series (``warm`` counts and alarms) with their limits, read as ``buckets`` long: what is missing at the end is empty."""
+    size = min(options.warm_up_buckets, buckets)
+    padded = F.concat("warm", F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(size) - F.size("warm"), F.lit(0)).cast("int")))
+    rows = folded.withColumn("series", F.transform(padded, lambda n: n.cast("double")))
+    mean, deviation = _baseline(options)
+    return _with_limits(rows.withColumn("mean", mean).withColumn("deviation", deviation), options).select(
+        *[c for c in folded.columns if c not in ("warm", "last_bucket", "batch", "ewma_at", "ewma_statistic", "cusum_at", "cusum_statistic", "cusum_buckets")],
+        "mean", "deviation", "ewma_limit", "cusum_limit",
+        F.col("ewma_at").isNotNull().alias("ewma_fired"), "ewma_at", F.coalesce("ewma_statistic", F.lit(0.0)).alias("ewma_statistic"),
+        F.col("cusum_at").isNotNull().alias("cusum_fired"), "cusum_at", F.coalesce("cusum_statistic", F.lit(0.0)).alias("cusum_statistic"),
+        F.coalesce("cusum_buckets", F.lit(0)).alias("cusum_buckets"),
+    )
+
+
+def _with_limits(based: DataFrame, options: ChangeOptions) -> DataFrame:
+    lam = options.smoothing
+    return (
+        based.withColumn("ewma_limit", options.control_limit * F.col("deviation") * F.sqrt(F.lit(lam / (2 - lam))))
+        .withColumn("cusum_limit", options.decision_interval * F.col("deviation"))
+        .withColumn("slack", options.slack * F.col("deviation"))
+    )
+
+
 def detect_change(series: DataFrame, options: ChangeOptions = ChangeOptions(), *, keys: Sequence[str] = ("scope",)) -> DataFrame:
     """First EWMA and first CUSUM alarm of each series; no alarm on series no longer than the warm-up.
 
@@ -54,11 +109,7 @@ def detect_change(series: DataFrame, options: ChangeOptions = ChangeOptions(), *
     mean, deviation = _baseline(options)
     based = arrays.withColumn("mean", mean).withColumn("deviation", deviation)
     lam = options.smoothing
-    sized = (
-        based.withColumn("ewma_limit", options.control_limit * F.col("deviation") * F.sqrt(F.lit(lam / (2 - lam))))
-        .withColumn("cusum_limit", options.decision_interval * F.col("deviation"))
-        .withColumn("slack", options.slack * F.col("deviation"))
-    )
+    sized = _with_limits(based, options)
     tail = F.slice("series", options.warm_up_buckets + 1, F.greatest(F.size("series") - options.warm_up_buckets, F.lit(0)))
     none_int, none_dbl = F.lit(None).cast("int"), F.lit(None).cast("double")
     start = F.struct(

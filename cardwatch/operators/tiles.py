@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.config import KINDS, MINUTE_MS, SMALL_AMOUNT_PAISE
 from cardwatch.functions.numeric import count_true, decay, ratio
@@ -23,20 +23,26 @@ def _minute(df: DataFrame) -> DataFrame:
     return df.withColumn("minute_ms", F.expr(f"(at_ms div {MINUTE_MS}) * {MINUTE_MS}"))
 
 
-def tile_measures() -> list:
-    """Aggregates of one tile; shared by the batch and the streaming job."""
+def tile_parts() -> dict[str, Column]:
+    """What one attempt adds to each sum of its tile."""
     failed = F.col("outcome") == "failed"
     blamed = F.coalesce(F.col("error_source"), F.lit(""))
-    return [
-        F.count(F.lit(1)).alias("attempts"),
-        count_true(failed).alias("failures"),
-        count_true(F.col("outcome") == "captured").alias("captures"),
-        count_true(failed & (blamed == "gateway")).alias("gateway_failures"),
-        count_true(failed & blamed.isin("gateway", "bank")).alias("infra_failures"),
-        count_true(F.col("amount_paise") <= SMALL_AMOUNT_PAISE).alias("small_amounts"),
-        F.coalesce(F.sum("amount_paise"), F.lit(0)).cast("bigint").alias("amount_sum_paise"),
-        F.count("amount_paise").alias("amounts"),
-    ]
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    return {
+        "attempts": F.lit(1).cast("bigint"),
+        "failures": one(failed),
+        "captures": one(F.col("outcome") == "captured"),
+        "gateway_failures": one(failed & (blamed == "gateway")),
+        "infra_failures": one(failed & blamed.isin("gateway", "bank")),
+        "small_amounts": one(F.col("amount_paise") <= SMALL_AMOUNT_PAISE),
+        "amount_sum_paise": F.coalesce(F.col("amount_paise"), F.lit(0)).cast("bigint"),
+        "amounts": one(F.col("amount_paise").isNotNull()),
+    }
+
+
+def tile_measures() -> list:
+    """Aggregates of one tile; shared by the batch and the streaming job."""
+    return [F.sum(part).alias(name) for name, part in tile_parts().items()]
 
 
 def tileize(attempts: DataFrame, kinds: Sequence[str] = KINDS, *, sketches: bool = True) -> DataFrame:

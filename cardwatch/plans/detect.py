@@ -54,6 +54,20 @@ def detection_pass(
     """Judge every entity of every kind at one moment, against one picture of the shop."""
     recent = recent_observations(observations, as_of_ms=as_of_ms, lookback_ms=window.lookback_ms)
     attempts = stage(per_payment(recent, as_of_ms=as_of_ms), "attempts")
+    return judge(attempts, as_of_ms=as_of_ms, window=window, kinds=kinds, thresholds=thresholds, confirm_exact=confirm_exact, sketches=sketches)
+
+
+def judge(
+    attempts: DataFrame,
+    *,
+    as_of_ms: int,
+    window: FeatureWindow = FeatureWindow(),
+    kinds: Sequence[str] = KINDS,
+    thresholds: Thresholds = Thresholds(),
+    confirm_exact: bool = True,
+    sketches: bool = False,
+) -> Pass:
+    """The pass over attempts that are collapsed already (a written table; it is read several times)."""
     traffic = stage(traffic_context(attempts, as_of_ms=as_of_ms, window=window), "traffic")
     vectors = features(
         attempts, as_of_ms=as_of_ms, window=window, kinds=kinds, confirm_exact=confirm_exact, sketches=sketches

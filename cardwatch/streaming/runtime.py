@@ -1,6 +1,6 @@
-"""Running streams in micro-batches over tables that hold one folder per batch.
+"""Running streams in micro-batches.
 
-Nothing is decided by a watermark. A batch writes its own rows, keyed by its id, and readers merge them, so late rows count and a
+Nothing that a report counts is decided by a watermark: a batch writes its own rows, keyed by its id, and readers merge them (``state``), so late rows count and a
 batch that runs again after a failure replaces itself. The state folder given by the caller holds the checkpoint and the tables; a job
 started anew on it goes on where it stopped.
 """
@@ -9,15 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 Step = Callable[[DataFrame, int], None]
 
+#: Keyed state of Spark's own operators lives in files on the executors' disks, with a bounded cache, instead of their heap.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
-def run(stream: DataFrame, state: str, step: Step, *, trigger: dict | None = None) -> StreamingQuery:
+
+def run(stream: DataFrame, state: str, step: Step, *, trigger: dict | None = None, mode: str = "append") -> StreamingQuery:
     """Call ``step`` for every batch. Without a trigger: process what is there and stop."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint")
+    for key, value in STATE.items():
+        stream.sparkSession.conf.set(key, value)
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{state}/checkpoint")
     started = writer.trigger(**(trigger or {"availableNow": True})).start()
     if trigger is None or "availableNow" in trigger:
         started.awaitTermination()
@@ -25,20 +35,5 @@ def run(stream: DataFrame, state: str, step: Step, *, trigger: dict | None = Non
 
 
 def put(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Rows that a batch gives out."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
-def table(spark: SparkSession, path: str, like: T.StructType, *, before: int | None = None) -> DataFrame:
-    """The rows that batches have put (before one of them, if given), with their ``batch``."""
-    schema = T.StructType([*[f for f in like.fields if f.name != "batch"], T.StructField("batch", T.LongType())])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
-    return rows if before is None else rows.filter(F.col("batch") < before)
-
-
-def newest_per(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of the newest batch of each key."""
-    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
