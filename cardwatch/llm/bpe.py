@@ -13,7 +13,7 @@ found in the text before anything else, and normalisation composes marks with wh
 or a combining sequence: it moves out of it. If a vocabulary's added tokens depend on what
 stands around them (or on normalised text), texts are encoded whole.
 
-Leaves of one text are encoded in bulk inside a task; of texts above TASK characters the leaves are rows that many tasks encode, and
+A text of one leaf is encoded at once, by a dictionary of the pieces that texts share (``pieces``). Leaves of one text are encoded in bulk inside a task; of texts above TASK characters the leaves are rows that many tasks encode, and
 each round of the tree joins two neighbouring rows and writes the result, so a lost executor costs one round.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; rows that repeat and null ids are encoded row by row; an
@@ -23,7 +23,6 @@ names are switched off. Decoding gives what the library's decode gives, special
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import sys
@@ -37,21 +36,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from cardwatch.llm.pieces import PieceEncoder, slices
 from cardwatch.llm.text import table
 from cardwatch.session import stage
 
 LEAF = 16_384  # characters that are encoded at once
 REACH = 64  # characters on each side of a cut that the first window holds
 TASK = 1 << 20  # characters of one text that a task encodes
-PIECE = 1 << 19  # characters of several texts at a time
+PIECE = 4 << 20  # bytes of several texts at a time
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first character, character behind the last
 
 
-_NONE = np.zeros(0, dtype=np.int32)
-_BEYOND = re.compile("[^\x00-\xff]")  # of Latin-1, whose characters are composed already
-
-
 class Codec:
     """A vocabulary file of the tokenizers library."""
 
@@ -67,47 +63,15 @@ class Codec:
         self._special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) or r"(?!)")
         self._strings: pa.Array | None = None
 
-        self._light = self._without_normaliser(path)
-
-    def _without_normaliser(self, path: str):
-        """The same vocabulary for texts that are normalised already, if all it does to characters below U+0100 is lower-casing them and folding white space that it drops."""
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
-        steps = made["normalizer"]["normalizers"] if (made["normalizer"] or {}).get("type") == "Sequence" else []
-        folds = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-        if not steps or any(x not in folds for x in steps) or folds[2] not in steps:
-            return None
-        light = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "truncation": None, "padding": None}))
-        dropped = all(light.encode(f"a{c}b", add_special_tokens=False).ids == light.encode("a b", add_special_tokens=False).ids for c in ("  ", "\t", "\n \r", "\x0b\x0c", "\x85", "\xa0"))
-        return light if dropped else None
-
-    def _normalised(self, texts: list[str]) -> tuple[list[str], bool]:
-        """The texts lower-cased, and whether the light vocabulary gives their tokens."""
-        if self._light is None or not all(t.isascii() or not _BEYOND.search(t) for t in texts):
-            return texts, False
-        low = [t.lower() for t in texts]
-        return (texts, False) if any(self._special.search(t) for t in low) else (low, True)
+        self.pieces = PieceEncoder(self.tokenizer, path)
 
     def specials(self, text: str, base: int = 0) -> list[tuple[int, int]]:
         return [(m.start() + base, m.end() + base) for m in self._special.finditer(text)]
 
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts."""
-        found: list[np.ndarray] = [_NONE] * len(texts)
-        for light in (True, False):
-            own = [(i, low) for i, t in enumerate(texts) for (low,), plain in [self._normalised([t])] if plain == light]
-            encoded = (self._light if light else self.tokenizer).encode_batch_fast([t for _, t in own], add_special_tokens=False) if own else []
-            for (i, _), e in zip(own, encoded, strict=True):
-                found[i] = np.array(e.ids, dtype=np.int32)
-        return found
-
     def spans(self, texts: list[str], starts: list[int]) -> list[Tokens]:
         """Ids of pieces of a text and the characters they stand for."""
         found = []
-        texts, light = self._normalised(texts)
-        for e, start in zip((self._light if light else self.tokenizer).encode_batch(texts, add_special_tokens=False), starts, strict=True):
+        for e, start in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), starts, strict=True):
             places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + start
             found.append((np.array(e.ids, dtype=np.int32), places[:, 0], places[:, 1]))
         return found
@@ -139,16 +103,17 @@ class Codec:
             edges = edges[::2]
         return parts[0]
 
-    def encode(self, texts: list[str | None], leaf: int = LEAF, reach: int = REACH) -> list[np.ndarray]:
-        leaf = leaf if self.local else sys.maxsize
-        short = [i for i, t in enumerate(texts) if t and len(t) <= leaf]
-        found: list[np.ndarray] = [_NONE] * len(texts)
-        for i, ids in zip(short, self.plain([texts[i] for i in short]), strict=True):
-            found[i] = ids
-        for i, t in enumerate(texts):
-            if t and len(t) > leaf:
-                found[i] = self.tree(t, 0, leaf, reach)[0]
-        return found
+    def encode(self, texts: pa.Array, leaf: int = LEAF, reach: int = REACH) -> pa.ListArray:
+        """Ids of every text: of one leaf by the pieces that texts share, of more by their tree."""
+        large = pc.greater(pc.utf8_length(texts), leaf if self.local else sys.maxsize).fill_null(False).to_numpy(zero_copy_only=False)
+        if not large.any():
+            ids, offsets = self.pieces.encode(texts)
+        else:
+            given = texts.to_pylist()
+            ids, offsets = self.pieces.encode(pa.array(["" if big else t for t, big in zip(given, large.tolist(), strict=True)], pa.large_string()))
+            found = [self.tree(t, 0, leaf, reach)[0] if big else ids[a:b] for t, big, a, b in zip(given, large.tolist(), offsets[:-1], offsets[1:], strict=True)]
+            ids, offsets = np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids. A vocabulary without a decoder has its tokens joined by one space, for all lists at once."""
@@ -218,21 +183,6 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-
-
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about PIECE bytes of text, one row at least."""
-    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, side="right")))
-        yield i, j
-        i = j
-
-
 def encode(docs: DataFrame, tokenizer: str, *, leaf: int = LEAF, reach: int = REACH, task: int = TASK) -> DataFrame:
     """doc_id, ids of every row of docs (doc_id, text, ...)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -240,9 +190,9 @@ def encode(docs: DataFrame, tokenizer: str, *, leaf: int = LEAF, reach: int = RE
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         for batch in batches:
-            for i, j in _slices(batch.column("text")):
-                found = own.encode(batch.column("text").slice(i, j - i).to_pylist(), leaf, reach)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _id_lists(found)], names=["doc_id", "ids"])
+            for i, j in slices(batch.column("text"), PIECE):
+                found = own.encode(batch.column("text").slice(i, j - i), leaf, reach)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), found], names=["doc_id", "ids"])
 
     size = F.coalesce(F.length("text"), F.lit(0))
     longest = docs.agg(F.max(size)).first()[0] or 0

@@ -8,8 +8,7 @@ table of the public seekable format (compressed size, decompressed size and chec
 Files are written by the tasks of a range-sorted table and named by task attempt; the table of files that Spark commits names the
 attempt that counts, so a task that runs again after a lost executor leaves at most an unused file.
 
-The vocabulary splits at white space, so ids are looked up by piece of text between white space; pieces not seen before are
-encoded by the tokenizer in batches. What a worker remembers is bounded.
+Ids are gathered from a dictionary of the pieces between white space (``pieces``); what a worker remembers is bounded.
 
 Defined cases: null text is empty and holds the end id alone; null ids come first, rows that repeat an id follow each other ordered by text;
 an empty table gives no files and no rows; other columns are not read.
@@ -18,7 +17,6 @@ an empty table gives no files and no rows; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -33,13 +31,14 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cardwatch.llm.pieces import PieceEncoder, slices
 from cardwatch.llm.text import table
 from cardwatch.session import shared_folder, stage
 
 END_ID = 2
+BLOCK = 16 << 20  # bytes of a file that is read whole
 FILE_BYTES = 256 << 20  # of text
-REMEMBERED = 600_000  # pieces of text, about 200 bytes each
-ROWS = 500
+PIECE = 4 << 20  # bytes of text at a time
 
 #: Fixed values of the zstandard seekable format and of skippable frames.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -48,68 +47,22 @@ MANIFEST = "part int, path string, docs long, ids long"
 
 
 class Encoder:
-    """Token ids of texts as bytes."""
-
-    _SPACE = re.compile("[ \t-\r]+")
-    _SEPARATORS = re.compile("[\x1c-\x1f]")
+    """Token ids of texts in the width of the file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-
-    def _pieces(self, text: str) -> list[str]:
-        if "<|" not in text:  # special tokens are matched as written
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # the tokenizer lower-cases too; beyond Latin-1 the two may differ
-            except UnicodeEncodeError:
-                pass
-        # str.split also splits at four control characters that are not white space to the tokenizer
-        return [p for p in self._SPACE.split(text) if p] if self._SEPARATORS.search(text) else text.split()
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode pieces; full stops and the like behind a letter are tokens of their own and are encoded apart."""
-        parts = {}
-        for piece in new:
-            core = piece.rstrip(".,!?;:")
-            if core and core is not piece and core[-1].isalpha() and "<|" not in piece:
-                parts[piece] = (core, piece[len(core) :])
-            else:
-                parts[piece] = (piece,)
-        todo = {x for own in parts.values() for x in own if x not in self.known}
-        plain = [x for x in todo if x.isalpha()]
-        for a in range(0, len(plain), 5000):
-            self._learn_words(plain[a : a + 5000])
-        todo = [x for x in todo if x not in self.known]
-        for a in range(0, len(todo), 5000):
-            found = self.tokenizer.encode_batch_fast(todo[a : a + 5000], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(todo[a : a + 5000], found, strict=True))
-        self.known.update((piece, self.known[own[0]] + self.known[own[1]]) for piece, own in parts.items() if len(own) > 1)
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Words of letters only are one token group each, closed by a token that ends a word, so many are encoded as one text."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-        ends = (np.flatnonzero(self.closes[ids]) + 1) * ids.itemsize
-        if len(ends) == len(words):  # else they are encoded one by one
-            data, start = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist(), strict=True):
-                self.known[word] = data[start:end]
-                start = end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = [list(map(self.known.get, p)) for p in pieces]
-        self._learn({w for p, f in zip(pieces, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
-        known = self.known
-        return [b"".join([known[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(pieces, found, strict=True)]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.pieces = PieceEncoder(tokenizer, path)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        ids, offsets = self.pieces.encode(texts)
+        data, places = ids.astype(self.dtype).tobytes(), (offsets * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -177,12 +130,26 @@ class Reader:
         return self.file.read(size)
 
     def ids(self, n: int) -> np.ndarray:
-        compressed, plain, checksum = (int(x) for x in self.entries[n])
-        data = self.decompress(self._at(int(self.places[n]), compressed), max_output_size=plain)
+        return self._plain(n, self._at(int(self.places[n]), int(self.entries[n, 0])))
+
+    def _plain(self, n: int, frame) -> np.ndarray:
+        plain, checksum = int(self.entries[n, 1]), int(self.entries[n, 2])
+        data = self.decompress(frame, max_output_size=plain)
         if len(data) != plain or xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != checksum:
             raise ValueError(f"frame {n} is damaged")
         return np.frombuffer(data, dtype=self.dtype)
 
+    def every(self) -> Iterator[np.ndarray]:
+        """Ids of all documents in file order; the file is read in blocks instead of frame by frame."""
+        n = 0
+        while n < len(self.entries):
+            last = max(n + 1, int(np.searchsorted(self.places, self.places[n] + BLOCK, side="right")) - 1)
+            block = memoryview(self._at(int(self.places[n]), int(self.places[last] - self.places[n])))
+            for k in range(n, last):
+                at = int(self.places[k] - self.places[n])
+                yield self._plain(k, block[at : at + int(self.entries[k, 0])])
+            n = last
+
     def find(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of the documents with this id; only their frames are read."""
         return [self.ids(n) for n, x in enumerate(self.doc_ids) if x == doc_id]
@@ -200,13 +167,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         end = np.array([end_id], dtype=tokens.dtype).tobytes()
         path = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}.tokens.zst"
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
+            for a, b in slices(batch.column("text"), PIECE):
+                part = batch.slice(a, b - a)
                 if writer is None:
                     store, inner = fs.FileSystem.from_uri(path)
                     store.create_dir(inner.rpartition("/")[0], recursive=True)
                     writer = Writer(store.open_output_stream(inner, compression=None), tokens.dtype.itemsize)
-                for doc_id, data in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text").to_pylist()), strict=True):
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text")), strict=True):
                     writer.add(doc_id, data + end)
         if writer is not None:
             writer.close()
@@ -228,8 +195,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 reader = Reader(path)
                 lengths, sums = [], []
-                for n in range(len(reader.doc_ids)):
-                    ids = reader.ids(n)
+                for ids in reader.every():
                     lengths.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 starts = start + np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)

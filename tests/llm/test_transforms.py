@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, frame, messy_rows, prose
 from pyspark.sql import functions as F
@@ -182,3 +183,16 @@ def test_jacobi_and_cholesky_on_a_low_rank():
     assert factor.shape == (41, 6) and np.allclose(factor @ factor.T, v)
     values, axes = whiten.one_sided_jacobi(factor)
     assert np.allclose(values, np.linalg.eigvalsh(v)[::-1][:6], rtol=1e-12) and np.allclose(axes.T @ axes, np.eye(6), atol=1e-12)
+
+
+def test_pieces_equal_whole_texts(library, monkeypatch):
+    from cardwatch.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    own, rng = pieces.PieceEncoder(library, VOCABULARY), random.Random(23)
+    parts = ["A", "É", "Àb", "\x85", "\x1c", "µ", "<|ENDOFTEXT|>", "<|endoftext|>", "'S", "ÿ", " ", "The", "\xad", "²", "\t", "a", "the", "'s", "'", "!!", "...", "1", "\n", "é", "́", "😀", "ß", "İ", "'ll", "中文", "ᄒ", "ᅡ", "Σ", "\xa0", ",", "!?", "ab;", "I"]
+    texts = pa.array([None, "", "  "] + ["".join(rng.choices(rng.sample(parts, rng.randrange(1, 9)), k=rng.randrange(0, 60))) for _ in range(1500)])
+    for a in range(0, len(texts), 300):  # slices, as the kernels see them
+        ids, ends = own.encode(texts.slice(a, 300))
+        want = library.encode_batch([t or "" for t in texts.slice(a, 300).to_pylist()], add_special_tokens=False)
+        assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)] == [e.ids for e in want]
