@@ -14,6 +14,7 @@ from cardwatch.operators.features import (
 )
 from cardwatch.operators.rules import evaluate_rules, fired_rules, score, severity, warrants_incident
 from cardwatch.operators.traffic import session_totals, card_testing, traffic_context
+from cardwatch.plans.detect import recent_observations
 from cardwatch.session import stage
 from cardwatch.sources.tables import newest_ms, observations
 
@@ -21,8 +22,10 @@ KEY = "scope, entity_kind, entity_key"
 
 
 def _attempts(spark, sf_dir):
+    """Attempts of the lookback: of the history before it, only what payments seen inside it still need."""
     as_of = newest_ms(spark, sf_dir)
-    return per_payment(observations(spark, sf_dir), as_of_ms=as_of), as_of
+    recent = recent_observations(observations(spark, sf_dir), as_of_ms=as_of, lookback_ms=WINDOW.lookback_ms)
+    return per_payment(recent, as_of_ms=as_of), as_of
 
 
 @query("per_payment", with_("pay", tail="SELECT scope, payment_id, at_ms, outcome, order_id, amount_paise, card_id, session, device, network, source, error_reason, error_source, n_events FROM pay"))
@@ -49,9 +52,9 @@ def _(spark, sf_dir):
 
 @query("features_one", with_("feat", tail=f"SELECT {_feat_cols} FROM feat WHERE entity_kind = 'network' AND entity_key = 'n3'"))
 def _(spark, sf_dir):
-    as_of = newest_ms(spark, sf_dir)
     # An attempt's network is its first event's, so the entity filter comes after the collapse.
-    attempts = per_payment(observations(spark, sf_dir), as_of_ms=as_of).filter(F.col("network") == "n3")
+    attempts, as_of = _attempts(spark, sf_dir)
+    attempts = attempts.filter(F.col("network") == "n3")
     vectors = features(
         stage(attempts, "attempts"), as_of_ms=as_of, window=WINDOW, kinds=("network",), entity_key="n3", median=True
     )
@@ -114,13 +117,12 @@ def _(spark, sf_dir):
 
 @query("interarrival", with_("ent_w", tail=f"""
 SELECT {KEY}, payment_id, at_ms, at_ms - lag(at_ms) OVER (PARTITION BY {KEY} ORDER BY at_ms, payment_id) AS gap_ms
-FROM ent_w WHERE entity_kind = 'session'"""))
+FROM ent_w"""))
 def _(spark, sf_dir):
     from cardwatch.operators.velocity import interarrival
 
     attempts, as_of = _attempts(spark, sf_dir)
-    entities = stack_kinds(in_window(attempts, as_of, WINDOW.window_ms), ("session",))
-    return interarrival(entities).select(*ENTITY, "payment_id", "at_ms", "gap_ms")
+    return interarrival(stack_kinds(in_window(attempts, as_of, WINDOW.window_ms))).select(*ENTITY, "payment_id", "at_ms", "gap_ms")
 
 
 @query("median_amount", with_("feat", tail=f"SELECT {KEY}, {r6('median_amount_paise')} AS median_amount_paise FROM feat"))
@@ -153,7 +155,7 @@ def _(spark, sf_dir):
 
 @query("stack_kinds", with_("ent", tail="SELECT entity_kind, count(*) AS rows_n, count(DISTINCT entity_key) AS keys_n FROM ent GROUP BY entity_kind"))
 def _(spark, sf_dir):
-    attempts, _ = _attempts(spark, sf_dir)
+    attempts = per_payment(observations(spark, sf_dir), as_of_ms=newest_ms(spark, sf_dir))
     per_key = stack_kinds(attempts).groupBy("entity_kind", "entity_key").agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy("entity_kind").agg(F.sum("n").alias("rows_n"), F.count(F.lit(1)).alias("keys_n"))
 

@@ -13,8 +13,9 @@ from cardwatch.operators import change as C, incidents as I, tiles as Ti
 from cardwatch.operators.attempts import per_payment
 from cardwatch.operators.features import ENTITY, stack_kinds
 from cardwatch.operators.rules import fired_rules, severity
-from cardwatch.session import stage
+from cardwatch.session import own_folder, stage
 from cardwatch.sources import tables as T
+from cardwatch.sources.versions import SnapshotTable
 
 KEY = "scope, entity_kind, entity_key"
 
@@ -227,6 +228,13 @@ def _(spark, sf_dir):
     return I.exclude_known(found, found.filter(F.col("status").isin("open", "contained"))).select("incident_id")
 
 
+def _snapshot(spark, name, rows, key):
+    """A stored table that holds the rows."""
+    made = SnapshotTable(spark, own_folder(spark, name), rows.schema, key)
+    made.put(rows)
+    return made
+
+
 @query("snk_upsert_incidents", with_("inc", tail="""
 SELECT coalesce(a.incident_id, b.incident_id) AS incident_id, coalesce(a.status, b.status) AS status, coalesce(a.first_ms, b.first_ms) AS first_ms,
   coalesce(a.detected_ms, b.detected_ms) AS detected_ms, CASE WHEN b.incident_id IS NOT NULL THEN b.last_ms ELSE a.last_ms END AS last_ms,
@@ -244,7 +252,14 @@ def _(spark, sf_dir):
         (F.col("detected_ms") + 5000).alias("detected_ms"), (F.col("last_ms") + 1000).alias("last_ms"),
         F.least(F.col("score") + 0.125, F.lit(1.0)).alias("score"),
     )
-    return I.upsert_incidents(stored, found).select(*columns, "change")
+    """The stored table is written, changed by the finds, and read back; what changed is told from both versions."""
+    table = _snapshot(spark, "incidents", stored, "incident_id")
+    before = stage(table.read(), "stored")
+    I.store_incidents(table, found)
+    old, new = before.select("incident_id", F.lit(True).alias("old")), table.read()
+    changed = found.select("incident_id", F.lit(True).alias("hit"))
+    marked = new.join(old, "incident_id", "left").join(changed, "incident_id", "left")
+    return marked.select(*columns, F.when(F.col("old").isNull(), "opened").when(F.col("hit"), "updated").otherwise("kept").alias("change"))
 
 
 _STATUS_SQL = "['open', 'under_review', 'contained', 'resolved', 'expired']"

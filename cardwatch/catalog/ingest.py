@@ -11,8 +11,9 @@ from cardwatch.catalog import control, reports  # noqa: F401  (their SQL fragmen
 from cardwatch.catalog.base import fragment, query, with_
 from cardwatch.functions import crypto as X, text as Tx
 from cardwatch.config import DAY_MS
-from cardwatch.session import run_folder, stage
+from cardwatch.session import own_folder, run_folder, stage
 from cardwatch.sources import sinks as S, tables as T, webhooks as Wh
+from cardwatch.sources.versions import SnapshotTable
 
 
 def _folder(spark, name: str) -> str:
@@ -204,20 +205,35 @@ def _(spark, sf_dir):
     return Wh.provenance(T.inbox(spark, sf_dir), "replay").select("event_id")
 
 
+def _stored(spark, sf_dir):
+    """The raw table as a stored one that is rewritten in part."""
+    rows = T.inbox(spark, sf_dir)
+    rows = rows if "purged_ms" in rows.columns else rows.withColumn("purged_ms", F.lit(None).cast("bigint"))
+    made = SnapshotTable(spark, own_folder(spark, "inbox"), rows.schema, "event_id")
+    made.put(rows)
+    return made
+
+
 @query("ret_purge", with_("inbox", "clock", tail=f"SELECT event_id, NOT (status = 'processed' AND received_ms < as_of - {7 * DAY_MS}) AS has_body, CASE WHEN status = 'processed' AND received_ms < as_of - {7 * DAY_MS} THEN as_of END AS purged_ms FROM inbox, clock"))
 def _(spark, sf_dir):
-    kept = S.purge_payloads(T.inbox(spark, sf_dir), now_ms=T.newest_ms(spark, sf_dir))
-    return kept.select("event_id", F.col("raw_body").isNotNull().alias("has_body"), F.col("purged_ms").cast("bigint").alias("purged_ms"))
+    """The stored raw table after the purge, read back."""
+    table = _stored(spark, sf_dir)
+    S.purge_stored(table, now_ms=T.newest_ms(spark, sf_dir))
+    return table.read().select("event_id", F.col("raw_body").isNotNull().alias("has_body"), F.col("purged_ms").cast("bigint").alias("purged_ms"))
 
 
 @query("ret_clear", with_("inbox", tail="SELECT event_id, source, family FROM inbox WHERE NOT (source = 'replay' AND coalesce(family = 'f1', FALSE))"))
 def _(spark, sf_dir):
-    return S.clear_replay(T.inbox(spark, sf_dir), "f1").select("event_id", "source", "family")
+    table = _stored(spark, sf_dir)
+    S.clear_stored(table, "f1")
+    return table.read().select("event_id", "source", "family")
 
 
 @query("ret_clear_all", with_("inbox", tail="SELECT event_id, source FROM inbox WHERE source <> 'replay'"))
 def _(spark, sf_dir):
-    return S.clear_replay(T.inbox(spark, sf_dir)).select("event_id", "source")
+    table = _stored(spark, sf_dir)
+    S.clear_stored(table)
+    return table.read().select("event_id", "source")
 
 
 @query("replay_rebase", with_("obs", tail="SELECT event_id, at_ms + 1800000000000 - (SELECT max(at_ms) FROM obs) AS at_ms FROM obs"))

@@ -271,10 +271,13 @@ query("ml_forest")(_fit("forest"))
 
 @query("ml_temperature")
 def _(spark, sf_dir):
+    """The temperature fitted on the validation side, with the loss there before and after it."""
     rows = _training(spark, sf_dir)
     model = M.train(rows, "logistic")
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows_n")).select(
-        "split", "rows_n", F.lit(model.temperature).alias("temperature"), F.lit(model.threshold).alias("threshold"), F.lit(model.review_threshold).alias("review_threshold")
+    loss = lambda t: F.avg(F.log1p(F.exp(F.col("logit") / t)) - F.col("y") * F.col("logit") / t)
+    judged = model.risk(rows.filter("split = 'validation'")).select("y", "logit")
+    return judged.agg(F.count(F.lit(1)).alias("rows_n"), loss(1.0).alias("loss_before"), loss(model.temperature).alias("loss_after")).select(
+        "rows_n", "loss_before", "loss_after", F.lit(model.temperature).alias("temperature"), F.lit(model.threshold).alias("threshold"), F.lit(model.review_threshold).alias("review_threshold")
     )
 
 

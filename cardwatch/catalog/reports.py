@@ -315,7 +315,7 @@ def _(spark, sf_dir):
 
 
 @query("comparison_cases", _by_family(with_("dec", tail="""
-SELECT scope, entity_key, attempts, failures, distinct_cards, best, decision, reasons FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY failures DESC, attempts DESC, entity_key) AS n FROM dec WHERE entity_kind = 'session') WHERE n = 1""")))
+SELECT scope, entity_kind, entity_key, attempts, failures, distinct_cards, best, decision, reasons FROM (SELECT *, row_number() OVER (PARTITION BY scope, entity_kind ORDER BY failures DESC, attempts DESC, entity_key) AS n FROM dec) WHERE n = 1""")))
 def _(spark, sf_dir):
-    cases = counterfactual(Ev.comparison_cases(_family_pass(spark, sf_dir).decided, "session"))
-    return cases.select("scope", "entity_key", "attempts", "failures", "distinct_cards", "best", "decision", csv("reasons").alias("reasons"))
+    cases = counterfactual(Ev.comparison_cases(_family_pass(spark, sf_dir).decided))
+    return cases.select("scope", "entity_kind", "entity_key", "attempts", "failures", "distinct_cards", "best", "decision", csv("reasons").alias("reasons"))

@@ -208,23 +208,35 @@ def error_taxonomy(scored: DataFrame, column: str = "small_amount_share") -> Dat
     )
 
 
-def temperature(scored: DataFrame, *, low: float = 0.25, high: float = 10.0, steps: int = 40, passes: int = 3) -> float:
-    """Temperature that minimises the loss of ``logit / T``: a grid, refined around its best point.
+def calibration(scored: DataFrame, *, low: float = 0.25, high: float = 10.0, passes: int = 30) -> tuple[float, float | None]:
+    """The temperature in low .. high that minimises the mean log loss of ``logit / T``, and that loss (None without rows).
 
-    Every row meets every candidate inside its own task and only per-candidate sums are
-    exchanged.
+    The loss is convex in b = 1 / T. A pass over the rows gives its gradient and curvature at b as three sums; Newton's step from there is
+    kept inside the interval in which the minimum is known to lie, so it always closes in.
     """
-    best = low
+    floor, top = 1 / high, 1 / low
+    b, loss = 1.0, None
     for _ in range(passes):
-        step = (high - low) / (steps - 1)
-        grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(low) + i * F.lit(step))
-        p = 1 / (1 + F.exp(-F.col("logit") / F.col("t")))
-        p = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
-        loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
-        losses = scored.select("y", "logit", F.explode(grid).alias("t")).groupBy("t").agg(F.avg(loss).alias("loss"))
-        found = losses.agg(F.min_by("t", "loss").alias("t")).first()["t"]
-        if found is None:
-            return 1.0
-        best = float(found)
-        low, high = max(0.25, best - step), min(10.0, best + step)
-    return best
+        z = F.col("logit") * F.lit(b)
+        # log(1 + e^z) - y z, and the probability, without overflow
+        soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        p = F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
+        found = scored.agg(
+            F.avg(soft - F.col("y") * z).alias("loss"),
+            F.avg((p - F.col("y")) * F.col("logit")).alias("gradient"),
+            F.avg(p * (1 - p) * F.col("logit") * F.col("logit")).alias("curvature"),
+        ).first()
+        if found["loss"] is None:
+            return 1.0, None
+        loss, gradient, curvature = found["loss"], found["gradient"], found["curvature"]
+        floor, top = (b, top) if gradient < 0 else (floor, b)
+        step = b - gradient / curvature if curvature > 0 else (floor if gradient > 0 else top)
+        step = step if floor < step < top else (floor + top) / 2 if top - floor > 1e-9 else b
+        if abs(step - b) <= 1e-9 * b or gradient == 0:
+            break
+        b = step
+    return 1 / b, loss
+
+
+def temperature(scored: DataFrame) -> float:
+    return calibration(scored)[0]

@@ -84,7 +84,8 @@ def scenario_verdict(decided: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def comparison_cases(decided: DataFrame, kind: str) -> DataFrame:
-    """Per family, the entity of one kind with the most to answer for."""
-    worst = W.partitionBy("scope").orderBy(F.desc("failures"), F.desc("attempts"), "entity_key")
-    return decided.filter(F.col("entity_kind") == kind).withColumn("_n", F.row_number().over(worst)).filter(F.col("_n") == 1).drop("_n")
+def comparison_cases(decided: DataFrame) -> DataFrame:
+    """Per family and kind of entity, the one with the most to answer for."""
+    # the most failures, then the most attempts, then the first name: a fixed-size aggregate, so no family is sorted in one task
+    best = F.min_by(F.struct(*decided.columns), F.struct(-F.col("failures"), -F.col("attempts"), F.col("entity_key"))).alias("row")
+    return decided.groupBy("scope", "entity_kind").agg(best).select("row.*")

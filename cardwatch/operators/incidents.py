@@ -10,6 +10,7 @@ from cardwatch.functions.views import severity_rank
 from cardwatch.operators.features import ENTITY
 from cardwatch.operators.hypotheses import BENIGN
 from cardwatch.operators.rules import severity, warrants_incident
+from cardwatch.sources.versions import SnapshotTable
 
 # Where an incident may go from where it is.
 ALLOWED = {
@@ -136,6 +137,11 @@ def upsert_incidents(stored: DataFrame, found: DataFrame, *, key: str = "inciden
     )
 
 
+def store_incidents(table: SnapshotTable, found: DataFrame, *, key: str = "incident_id") -> list[int]:
+    """Upsert finds into the stored incidents; only the buckets of their keys are read and written."""
+    return table.change(found, lambda stored: upsert_incidents(stored, found, key=key))
+
+
 def illegal_transitions(log: DataFrame) -> DataFrame:
     """Status moves that are not allowed, or that do not start where the last one ended."""
     legal = F.lit(False)

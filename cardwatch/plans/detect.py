@@ -36,9 +36,9 @@ def recent_observations(observations: DataFrame, *, as_of_ms: int, lookback_ms:
     """
     inside = observations.filter((F.col("at_ms") > as_of_ms - lookback_ms - 1) & (F.col("at_ms") <= as_of_ms))
     older = observations.filter(F.col("at_ms") <= as_of_ms - lookback_ms - 1)
-    keys = ["scope", "payment_id"]
-    named = inside.filter(F.coalesce(F.col("payment_id"), F.lit("")) != "").select(*keys).distinct()
-    return inside.unionByName(older.join(named, keys, "left_semi"))
+    named = inside.filter(F.coalesce(F.col("payment_id"), F.lit("")) != "").select("scope", "payment_id").distinct()
+    same = F.col("a.scope").eqNullSafe(F.col("b.scope")) & (F.col("a.payment_id") == F.col("b.payment_id"))  # a shop without a name is one, too
+    return inside.unionByName(older.alias("a").join(named.alias("b"), same, "left_semi"))
 
 
 def detection_pass(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,37 @@ def run_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that ``stage`` and ``own_folder`` hand out inside the block, inner blocks included. They stay until the application ends, or until ``discard``."""
+    own: list[str] = []
+    _OWNERS.append(own)
+    try:
+        yield own
+    finally:
+        _OWNERS.pop()
+        if _OWNERS:
+            _OWNERS[-1].extend(own)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in this application's part of the shared folder."""
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders that nothing reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back.
 
@@ -45,6 +78,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     size, so a join against it is broadcast only when it is below the session's threshold.
     """
     spark = df.sparkSession
-    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

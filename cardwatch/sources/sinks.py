@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cardwatch import schemas
 from cardwatch.config import DAY_MS
+from cardwatch.sources.versions import SnapshotTable
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, lower: int, upper: int, partitions: int) -> DataFrame:
@@ -79,6 +80,21 @@ def clear_replay(rows: DataFrame, family: str | None = None) -> DataFrame:
     return rows.filter(~gone)
 
 
+def purge_stored(table: SnapshotTable, *, now_ms: int, days: int = 7) -> list[int]:
+    """Purge the stored raw table: buckets without a payload that is due stay as they are."""
+    due = (F.col("status") == "processed") & (F.col("received_ms") < now_ms - days * DAY_MS) & F.col("raw_body").isNotNull()
+    purged = lambda rows: purge_payloads(rows, now_ms=now_ms, days=days).withColumn("purged_ms", F.coalesce("_purged", "purged_ms"))
+    return table.change_where(due, lambda rows: purged(rows.withColumnRenamed("purged_ms", "_purged")))
+
+
+def clear_stored(table: SnapshotTable, family: str | None = None) -> list[int]:
+    """Clear replayed rows (of one family, or all) from a stored table; buckets without any stay as they are."""
+    gone = F.col("source") == "replay"
+    if family is not None:
+        gone = gone & F.coalesce(F.col("family") == family, F.lit(False))
+    return table.change_where(gone, lambda rows: clear_replay(rows, family))
+
+
 def rebase(rows: DataFrame, *, now_ms: int, newest: DataFrame) -> DataFrame:
     """Shift all times so that the newest event of each scope happens now."""
     return rows.join(newest.select("scope", "newest_ms"), "scope").withColumn(

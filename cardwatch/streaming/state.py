@@ -11,11 +11,12 @@ generation later, so a reader that still holds the last manifest finds its files
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from cardwatch.sources.versions import VersionFiles
+
 FANOUT = 8
 BUCKETS = 32
 
@@ -41,43 +42,18 @@ class StateTable:
         self.spark, self.path, self.keys, self.merge = spark, path, list(keys), merge
         self.bucket = (F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) if bucket is None else bucket).cast("long")
         self.like = T.StructType([T.StructField(f.name, f.dataType) for f in like.fields if f.name != "bucket"])
+        self.files = VersionFiles(spark, path)
         self.stored = T.StructType([*self.like.fields, T.StructField("bucket", T.LongType())])
 
-    # --- files ------------------------------------------------------------------------------------
-
-    def _at(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _store(self):
-        return self._at("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        store, at = self._store(), self._at(folder)
-        return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
-
     def manifest(self) -> dict:
         """The newest one: ``generation``, ``upto`` (batches before it are in runs), ``runs`` (name, level), ``gone`` (folders it leaves out)."""
-        made = sorted(n for n in self._names("manifest") if n.endswith(".json"))
-        if not made:
-            return {"generation": 0, "upto": 0, "runs": [], "gone": []}
-        stream = self._store().open(self._at(f"manifest/{made[-1]}"))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.files.newest("manifest", {"generation": 0, "upto": 0, "runs": [], "gone": []})
 
     def _commit(self, manifest: dict) -> None:
-        store, name = self._store(), f"manifest/{manifest['generation']:012d}.json"
-        out = store.create(self._at(f"{name}.tmp"), True)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
-        if not store.rename(self._at(f"{name}.tmp"), self._at(name)):
-            raise RuntimeError(f"{self.path}: generation {manifest['generation']} exists already; two jobs write one table")
+        self.files.write("manifest", manifest["generation"], manifest)
 
     def _batches(self) -> list[int]:
-        return sorted(int(n[6:]) for n in self._names("") if n.startswith("batch="))
+        return sorted(int(n[6:]) for n in self.files.names("") if n.startswith("batch="))
 
     # --- rows -------------------------------------------------------------------------------------
 
@@ -133,8 +109,7 @@ class StateTable:
             runs.append({"level": level, "name": self._merged(f"run-{level}-{done[-1]}", [r["name"] for r in full], [])})
             gone += [r["name"] for r in full]
         self._commit({"generation": old["generation"] + 1, "upto": done[-1] + 1, "runs": runs, "gone": gone})
-        for name in old["gone"]:
-            self._store().delete(self._at(name), True)
+        self.files.delete(old["gone"])
 
     def _merged(self, name: str, runs: Sequence[str], batches: Sequence[int]) -> str:
         rows = self._rows(runs, batches).drop("bucket")
