@@ -8,7 +8,7 @@ of both halves' text; else the window grows to twice its reach, at the end to th
 
 Why this is exact: a sequence of tokens is the encoding of its text if and only if every two neighbours are the encoding of theirs. All neighbours
 in the result are neighbours in the left half, in the window or in the right half, and behind a token that two encodings share the splitting into words goes on
-alike. Tokens that share a character (bytes of one character) count as one piece here, as they can only be shared together. Special tokens are
+alike. Tokens that share a character (bytes of one character), and all tokens of a short word between white space, are shared together or not at all. Special tokens are
 found in the text before anything else, and normalisation composes marks with what they follow, so neither a cut nor the edge of a window lies inside a special token
 or a combining sequence: it moves out of it. If a vocabulary's added tokens depend on what
 stands around them (or on normalised text), texts are encoded whole.
@@ -36,12 +36,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cardwatch.llm.pieces import PieceEncoder, slices
+from cardwatch.llm.pieces import SPACE, PieceEncoder, slices
 from cardwatch.llm.text import table
 from cardwatch.session import stage
 
 LEAF = 16_384  # characters that are encoded at once
 REACH = 64  # characters on each side of a cut that the first window holds
+PIECE_CHARS = 256  # a piece between white space up to this long is shared whole or not at all
+BULK = 512  # characters from which a part is cut into pieces instead of given to the library
 TASK = 1 << 20  # characters of one text that a task encodes
 PIECE = 4 << 20  # bytes of several texts at a time
 
@@ -69,11 +71,26 @@ class Codec:
         return [(m.start() + base, m.end() + base) for m in self._special.finditer(text)]
 
     def spans(self, texts: list[str], starts: list[int]) -> list[Tokens]:
-        """Ids of pieces of a text and the characters they stand for."""
-        found = []
-        for e, start in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), starts, strict=True):
-            places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + start
-            found.append((np.array(e.ids, dtype=np.int32), places[:, 0], places[:, 1]))
+        """Ids of parts of a text and the characters they stand for: of tokens in a piece between white space of up to PIECE_CHARS characters, all of the piece."""
+        laid = [_laid(t) for t in texts]
+        found: list[Tokens | None] = [None] * len(texts)
+        plain = [i for i, (a, b) in enumerate(laid) if self.pieces.splits and len(texts[i]) > BULK and (b - a).max(initial=0) <= PIECE_CHARS]
+        if plain:
+            ids, counts, ends = self.pieces.by_piece(pa.array([texts[i] for i in plain], pa.large_string()))
+            places = np.concatenate([[0], np.cumsum(counts)])
+            for i, x, y in zip(plain, ends[:-1], ends[1:], strict=True):
+                a, b = laid[i]
+                found[i] = ids[places[x] : places[y]], np.repeat(a, counts[x:y]) + starts[i], np.repeat(b, counts[x:y]) + starts[i]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+            first, behind = places[:, 0], places[:, 1]
+            if self.pieces.splits and len(first):
+                a, b = laid[i]
+                k = np.searchsorted(a, first, side="right") - 1
+                short = b[k] - a[k] <= PIECE_CHARS
+                first, behind = np.where(short, a[k], first), np.where(short, b[k], behind)
+            found[i] = np.array(e.ids, dtype=np.int32), first + starts[i], behind + starts[i]
         return found
 
     def join(self, text: str, base: int, cut: int, left: Tokens, right: Tokens, reach: int, special: list[tuple[int, int]]) -> Tokens:
@@ -129,6 +146,20 @@ class Codec:
         return pc.binary_join(tokens, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
+_PIECE = re.compile("[^ \t-\r]+")
+
+
+def _laid(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of a text begin and end, with an empty one beyond white space at its ends."""
+    places = [m.span() for m in _PIECE.finditer(text)]
+    if not text or text[0] in SPACE:
+        places.insert(0, (0, 0))
+    if text and text[-1] in SPACE:
+        places.append((len(text), len(text)))
+    found = np.array(places, dtype=np.int64)
+    return found[:, 0], found[:, 1]
+
+
 def _continues(c: str) -> bool:
     """Characters that normalisation may combine with the one before: marks, and vowels and final consonants of Hangul."""
     return c >= "\u0300" and (unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff")

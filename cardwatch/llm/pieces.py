@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 700_000  # pieces, about 150 bytes each
+REMEMBERED = 500_000  # pieces, about 150 bytes each
 AT_ONCE = 5_000
 SPACE = " \t\n\v\f\r"
 TAIL = ".,!?;:"  # tokens of their own behind a letter
@@ -99,10 +99,16 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin and end; null has none."""
-        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.splits or not len(texts):
+            texts = texts.cast(pa.large_string()).fill_null("")
             found = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([*found, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        ids, counts, offsets = self.by_piece(texts)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[offsets]
+
+    def by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, how many each piece has, and where each text's pieces begin and end. White space at an end of a text has an empty piece beyond it."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if len(self.known) > REMEMBERED:
             self._forget()
         lists = pc.ascii_split_whitespace(self._lowered(texts))
@@ -122,5 +128,5 @@ class PieceEncoder:
         which = both[codes].ravel()
         n = self.length[which]
         stops = np.concatenate([[0], np.cumsum(n)])
-        offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 2
-        return self.ids[np.repeat(self.start[which] - stops[:-1], n) + np.arange(stops[-1])], stops[offsets]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return self.ids[np.repeat(self.start[which] - stops[:-1], n) + np.arange(stops[-1])], n.reshape(-1, 2).sum(axis=1), offsets
