@@ -13,8 +13,8 @@ tasks where it has many. A pair inside one component needs no comparison: it can
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; repeated rows and ids
 are rows of their own; ``component_id`` is the smallest id in the component, null only if it holds no other; one row of each component
-is ``elected``: smallest id (null last), then text hash, then row. ``kept`` are the rows with the elected one's id and text, of rows without
-an id only the elected one itself; rows of an empty set are all elected and kept;
+is ``elected``: smallest id (null last), then text hash, then row. ``kept`` are the rows whose id is their component's, which may be several where ids repeat, and
+of a component without ids the elected one; rows of an empty set are all elected and kept; very long texts are read whole, in pieces;
 an empty table gives no rows; other columns are not looked at.
 
 A link of similarity 0.75 shares no band once in 200 000 cases. Sets are compared as sets of 64-bit hashes.
@@ -23,6 +23,7 @@ A link of similarity 0.75 shares no band once in 200 000 cases. Sets are compare
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +34,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cardwatch.llm.linking import merge, several, still_open, with_drawn, with_first
 from cardwatch.llm.shingles import mix, shingle_sets
 from cardwatch.llm.text import table
-from cardwatch.session import stage
+from cardwatch.session import discard, own_folder, scratch, stage
 
 MINIMA, ROWS, BITS = 128, 4, 2
 BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
 THRESHOLD = 75  # per cent
 LEAST_ESTIMATE = 0.52
 FEW = 64  # nodes of a band that are compared as pairs of rows
-FULL_BAND = 2_000  # splits nothing any more; a test sets it
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 ROWS_AT_ONCE = 1_000
 
 _MULTIPLIERS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
@@ -91,18 +92,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, schema)
 
 
-def shingle_arrays(docs: DataFrame) -> DataFrame:
-    """digest, shingles of every row."""
+def shingle_arrays(texts: DataFrame) -> DataFrame:
+    """node, shingles of every row of (node, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
-            digest, arrays = [], []
-            for found in shingle_sets(batch.column("text")):
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                arrays.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(arrays, pa.list_(pa.int64()))], names=["digest", "shingles"])
+            arrays = [found.view(np.int64) for found in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(arrays, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
+
 
-    return docs.select("text").mapInArrow(sets, "digest binary, shingles array<long>")
+def text_key(doc_id: Column, text_hash: Column) -> Column:
+    """A key by which a text is found again: rows without an id are told apart by their text."""
+    return F.xxhash64(doc_id, text_hash)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -119,7 +122,29 @@ def estimate(a: Column, b: Column) -> Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept, component_size, elected for every row of docs (doc_id, text, ...)."""
-    signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
+    spark = docs.sparkSession
+    with scratch() as own:
+        signed, by_set, keep = _components_of(docs)
+    discard(spark, [f for f in own if f not in keep])
+    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest", "row").join(by_set, "digest", "left")
+    elected = F.col("row") == F.col("best.row")
+    named = F.col("component_id") == F.col("doc_id")
+    of_set = lambda x: F.when(F.col("n_shingles") > 0, F.coalesce(x, F.lit(False))).otherwise(F.lit(True))
+    return joined.select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        of_set(F.when(F.col("component_id").isNull(), elected).otherwise(named)).alias("kept"),
+        F.coalesce("component_size", F.lit(1)).alias("component_size"),
+        of_set(elected).alias("elected"),
+    )
+
+
+def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Signed rows, components by set, and the folders these two are read from."""
+    with scratch() as rows:
+        signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
     # one node per distinct set; its key is the smallest row that has it
     nodes = stage(
         signed.filter("n_shingles > 0")
@@ -129,6 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("low_id"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row")).alias("best"),
             F.count(F.lit(1)).alias("copies"),
+            F.min(text_key(F.col("doc_id"), F.col("text_hash"))).alias("key"),
             F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
             F.first("bits").alias("bits"),
@@ -138,33 +164,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     in_band = nodes.select(F.explode("bands").alias("key"), "node")
     shared = stage(in_band.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash-shared")
     members = stage(in_band.join(shared.select("key", "first"), "key"), "minhash-members")
+    arrays = _arrays(members, docs, nodes)
 
     found = None
     for pairs_of in (with_first, with_drawn):
         pairs = stage(_promising(pairs_of(members, found), nodes), "minhash-pairs")
-        found = merge(found, stage(_confirm(pairs, docs, nodes), "minhash-links"))
+        found = merge(found, stage(_confirm(pairs, arrays), "minhash-links"))
     few, many = _across(members, nodes, found)
     pairs = stage(_promising(few, nodes), "minhash-pairs")
-    links = _confirm(pairs, docs, nodes).unionByName(_in_blocks(many, docs, nodes))
+    links = _confirm(pairs, arrays).unionByName(_in_blocks(many, arrays, nodes))
     found = merge(found, stage(links, "minhash-links"))
 
     comp = nodes.join(found, "node", "left").select("digest", "low_id", "best", "copies", F.coalesce("component", "node").alias("component"))
     comp = stage(comp, "minhash-sets")
     whole = stage(comp.groupBy("component").agg(F.min("low_id").alias("component_id"), F.min("best").alias("best"), F.sum("copies").alias("component_size")), "minhash-whole")
-    by_set = stage(comp.select("digest", "component").join(whole, "component").select("digest", "component_id", "best", "component_size"), "minhash-by-set")
-    joined = signed.select("doc_id", "text_hash", "n_shingles", "digest", "row").join(by_set, "digest", "left")
-    elected = F.col("row") == F.col("best.row")
-    same = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    of_set = lambda x: F.when(F.col("n_shingles") > 0, F.coalesce(x, F.lit(False))).otherwise(F.lit(True))
-    return joined.select(
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        of_set(F.when(F.col("doc_id").isNull(), elected).otherwise(same)).alias("kept"),
-        F.coalesce("component_size", F.lit(1)).alias("component_size"),
-        of_set(elected).alias("elected"),
-    )
+    with scratch() as last:
+        by_set = stage(comp.select("digest", "component").join(whole, "component").select("digest", "component_id", "best", "component_size"), "minhash-by-set")
+    return signed, by_set, [*rows, *last]
 
 
 def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,14 +196,17 @@ def _across(members: DataFrame, nodes: DataFrame, found: DataFrame) -> tuple[Dat
     )
 
 
-def _in_blocks(many: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _in_blocks(many: DataFrame, arrays: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between different components inside bands of many nodes, on full sets.
 
     A band is cut into blocks by hash and every two blocks meet in a task, which counts common shingles and keeps
     one link for each two components it joins; no pair leaves the task but those.
     """
-    arrays = _arrays(many.select("node").distinct(), docs, nodes)
-    cut = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sized = many.join(nodes.select("node", F.col("n").alias("size")), "node")
+    totals = sized.groupBy("key").agg(F.sum("size").alias("total"))
+    # a block holds BLOCK sets, or fewer if they are large
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    cut = sized.join(totals, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))))
     dealt = cut.withColumn("at", meet).select("key", "at.i", "at.j", "own", "node", "component")
     return dealt.join(arrays, "node").groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
@@ -230,22 +249,30 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles of the wanted nodes."""
-    wanted = stage(wanted.join(nodes.select("node", "digest", "low_id"), "node"), "minhash-wanted")
-    # the texts are found by id; where an id repeats, the digest tells which row is meant
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("low_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    arrays = shingle_arrays(texts).join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"])
-    return stage(arrays.select("node", "shingles"), "minhash-arrays")
+def _arrays(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles of all nodes that share a band with another one.
+
+    The texts are moved once, to be found by their key, and the sets are written once, bucketed by node, so the joins of all rounds read
+    them where they lie and move only what their pairs need.
+    """
+    spark = docs.sparkSession
+    wanted = stage(members.select("node").distinct().join(nodes.select("node", F.col("key").alias("text_key")), "node"), "minhash-wanted")
+    keyed = docs.select(text_key(F.col("doc_id"), F.xxhash64("text")).alias("text_key"), "text")
+    texts = keyed.join(wanted, "text_key").dropDuplicates(["text_key"])
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), own_folder(spark, "minhash-arrays")
+    name = f"minhash_{uuid.uuid4().hex}"
+    shingle_arrays(texts).repartition(parts, "node").write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with the run
+    return found
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Pairs that are similar on their full sets."""
-    arrays = _arrays(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), docs, nodes)
     side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= THRESHOLD * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "elected")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
