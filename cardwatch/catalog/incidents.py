@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardwatch.catalog.base import (
+    WINDOW,
     HL, IDLE_MS, csv, div0, event_pass, fragment, q6, query, r3, r6, with_,
 )
 from cardwatch.config import DAY_MS, ChangeOptions, ShopSpikeLimits
@@ -296,17 +297,23 @@ def _(spark, sf_dir):
 _SPIKE = ShopSpikeLimits(infra_max=0.5)
 
 
-@query("shop_spike", with_("dec", tail=f"""
-SELECT scope, card_testing, explained, rule_incidents, card_testing AND rule_incidents = 0 AND NOT explained AS raised, score,
-  CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM (
+@query("shop_spike", with_("dec", "clock", "obs", tail=f"""
+SELECT s.scope, card_testing, explained, rule_incidents, card_testing AND rule_incidents = 0 AND NOT explained AS raised, score,
+  CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity, 'network:shop_wide:' || first_ms AS incident_key, first_ms,
+  as_of AS detected_ms, as_of AS last_ms, as_of + 1800000 AS expires_ms, 'open' AS status, 'attack' AS best, 'review' AS decision, 'shop_wide_card_testing' AS reasons FROM (
   SELECT scope, any_value(shop_attempts >= 15 AND shop_infra_failure_share <= 0.5 AND ((shop_approval_rate <= 0.1 AND shop_distinct_cards >= 15 AND shop_failing_sessions >= 5) OR shop_card_testing_sessions >= 5)) AS card_testing,
     count(*) FILTER (WHERE best IN ('outage', 'retry_storm', 'healthy_traffic')) * 2 > count(*) AS explained,
     count(*) FILTER (WHERE score >= 0.4 AND band <> 'low' AND (r_card_spread = 1 OR r_card_spread_slow = 1 OR r_velocity = 1 OR r_small_amount_probing = 1 OR r_machine_cadence = 1)) AS rule_incidents,
-    any_value({r3('greatest(0.0, least(1.0, 1 - shop_failing_session_approval_rate))')}) AS score FROM dec GROUP BY scope)"""))
+    any_value({r3('greatest(0.0, least(1.0, 1 - shop_failing_session_approval_rate))')}) AS score FROM dec GROUP BY scope) s
+JOIN (SELECT scope, min(at_ms) AS first_ms FROM (
+  SELECT scope, min(at_ms) AS at_ms, max(at_ms) AS newest FROM obs WHERE coalesce(payment_id, '') <> '' GROUP BY scope, payment_id
+  UNION ALL SELECT scope, at_ms, at_ms FROM obs WHERE coalesce(payment_id, '') = '') p, clock WHERE newest >= as_of - {WINDOW.lookback_ms} GROUP BY scope) f USING (scope), clock"""))
 def _(spark, sf_dir):
     p = event_pass(spark, sf_dir)
-    return I.shop_spike(p.decided, p.traffic, as_of_ms=p.as_of_ms, limits=_SPIKE).select(
-        "scope", "card_testing", "explained", "rule_incidents", "raised", "score", "severity"
+    found = I.shop_spike(p.decided, p.traffic, p.attempts, as_of_ms=p.as_of_ms, limits=_SPIKE)
+    return found.select(
+        "scope", "card_testing", "explained", "rule_incidents", "raised", "score", "severity", "incident_key", "first_ms", "detected_ms", "last_ms", "expires_ms",
+        "status", "best", "decision", F.concat_ws(",", "reasons").alias("reasons"),
     )
 
 

@@ -72,7 +72,7 @@ def _(spark, sf_dir):
     return Wh.canonicalize(_bodies(spark, sf_dir)).select("event_id", Wh.outcome_of(F.col("status")).alias("outcome"))
 
 
-@query("st_dead_letter", with_("wh", tail="SELECT event_id FROM wh WHERE shape = 'broken'"))
+@query("dead_letters", with_("wh", tail="SELECT event_id FROM wh WHERE shape = 'broken'"))
 def _(spark, sf_dir):
     return Wh.dead_letters(_bodies(spark, sf_dir)).select("event_id")
 

@@ -13,6 +13,7 @@ from cardwatch.operators.features import ENTITY
 from cardwatch.operators.incidents import cluster_incidents
 from cardwatch.session import run_folder, stage
 from cardwatch.sources import tables as T
+from cardwatch.sources.webhooks import dedup_key
 from cardwatch.streaming import jobs as J
 
 KEY = "scope, entity_kind, entity_key"
@@ -57,14 +58,35 @@ def _(spark, sf_dir):
 
 @query("st_drain", with_("canonical", "wh", tail="SELECT event_id, entity_type, payment_id, at_ms FROM canonical UNION ALL SELECT event_id, 'dead', NULL, NULL FROM wh WHERE shape = 'broken'"))
 def _(spark, sf_dir):
-    state = _state(spark, "drain")
-    _arrive(T.inbox_table(spark, sf_dir), "deliveries", lambda stream: J.drain(stream, state), again=True)
+    state, inbox = _state(spark, "drain"), T.inbox_table(spark, sf_dir)
+    _arrive(inbox, "deliveries", lambda stream: J.drain(stream, state), again=True)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
+    letters = J.letters_now(spark, state).filter("status <> 'processed'")
     return spark.read.parquet(f"{state}/canonical").select("event_id", "entity_type", "payment_id", "at_ms").unionByName(
-        spark.read.parquet(f"{state}/dead").select("event_id", F.lit("dead").alias("entity_type"), none("payment_id", "string"), none("at_ms", "bigint"))
+        dedup_key(inbox).join(letters, "delivery_key", "left_semi").select("event_id", F.lit("dead").alias("entity_type"), none("payment_id", "string"), none("at_ms", "bigint"))
     )
 
 
+@query("st_dead_letter", with_("wh", tail="SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'retry' ELSE 'dead' END AS status, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS attempts FROM wh WHERE shape = 'broken'"))
+def _(spark, sf_dir):
+    """Letters tried again from the stored deliveries until two tries have failed; then every second dead one is asked for again and fails once more."""
+    state, inbox = _state(spark, "letters"), stage(T.inbox_table(spark, sf_dir), "inbox")
+    keyed = stage(dedup_key(inbox).select("event_id", "delivery_key"), "delivery-keys")
+    source = f"{run_folder(spark)}/letters-source-{uuid.uuid4().hex}"
+
+    def round_of(rows):
+        rows.write.mode("append").parquet(source)
+        J.drain(spark.readStream.schema(inbox.schema).parquet(source), state, raw=lambda: inbox, limit=2)
+
+    drawn = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    round_of(inbox.filter(drawn == 0))
+    round_of(inbox.filter(drawn == 1))
+    round_of(inbox.filter(drawn == 0))  # repeats of known deliveries: nothing new, but a round for the letters
+    J.requeue_letters(spark, state, keyed.filter("event_id % 2 = 0").join(J.letters_now(spark, state), "delivery_key", "left_semi"))
+    round_of(inbox.filter(drawn == 1))
+    return keyed.join(J.letters_now(spark, state), "delivery_key").select("event_id", "status", "attempts")
+
+
 _SLICES = "sl AS (SELECT event_id, at_ms, (received_ms - lo) // ((hi - lo) // 3 + 1) AS slice FROM canon, (SELECT min(received_ms) AS lo, max(received_ms) AS hi FROM canon))"
 
 

@@ -158,8 +158,12 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
     )
 
 
-def shop_spike(decided: DataFrame, traffic: DataFrame, *, as_of_ms: int, limits: ShopSpikeLimits = ShopSpikeLimits()) -> DataFrame:
-    """Per scope: whether the shop as a whole looks like card testing, and the score it gets.
+def shop_spike(
+    decided: DataFrame, traffic: DataFrame, attempts: DataFrame, *, as_of_ms: int, limits: ShopSpikeLimits = ShopSpikeLimits(), t: Thresholds = Thresholds()
+) -> DataFrame:
+    """Per scope: whether the shop as a whole looks like card testing, and the incident that is stored for it if so.
+
+    The incident is anchored at the earliest of the pass's attempts, so a later pass finds the same one.
 
     Raised only when no entity warranted an incident and innocent explanations are not the
     majority among the entities.
@@ -179,7 +183,9 @@ def shop_spike(decided: DataFrame, traffic: DataFrame, *, as_of_ms: int, limits:
     testing = (c("attempts") >= limits.min_attempts) & (c("infra_failure_share") <= limits.infra_max) & (collapsed | cohort)
     score = half_up(clamp01(1 - c("failing_session_approval_rate")))
     # a shop whose attempts have no entity key is judged by its traffic alone
+    first = attempts.groupBy("scope").agg(F.min("at_ms").alias("first_ms"))
     judged = traffic.join(judged, "scope", "left").fillna(0, ["entities", "rule_incidents", "benign"])
+    judged = judged.join(first, "scope", "left").withColumn("first_ms", F.coalesce("first_ms", F.lit(as_of_ms)).cast("bigint"))
     return judged.select(
         "scope",
         F.lit("network").alias("entity_kind"),
@@ -190,14 +196,30 @@ def shop_spike(decided: DataFrame, traffic: DataFrame, *, as_of_ms: int, limits:
         (testing & (c("rule_incidents") == 0) & (c("benign") * 2 <= c("entities"))).alias("raised"),
         score.alias("score"),
         severity(score).alias("severity"),
+        F.lit("open").alias("status"),
         F.lit("review").alias("decision"),
+        F.lit("attack").alias("best"),
+        F.lit("insufficient_evidence").alias("runner_up"),
+        F.lit(1.0).alias("margin"),
+        F.array(F.lit("shop_wide_card_testing")).alias("reasons"),
+        incident_key(F.lit("network"), F.lit(SHOP_WIDE), c("first_ms")).alias("incident_key"),
+        "first_ms",
         F.lit(as_of_ms).cast("bigint").alias("detected_ms"),
+        F.lit(as_of_ms).cast("bigint").alias("last_ms"),
+        F.lit(as_of_ms + t.incident_idle_ms).cast("bigint").alias("expires_ms"),
+        F.lit(1).cast("bigint").alias("observations"),
         "attempts",
         "failures",
         "distinct_cards",
     )
 
 
+def raised_spikes(spikes: DataFrame, stored: DataFrame) -> DataFrame:
+    """Shop-wide incidents to store: those raised whose activity is not stored already (``stored``: scope and the columns of an incident)."""
+    same = ["scope", "entity_kind", "entity_key", "first_ms", "last_ms", "attempts"]
+    return spikes.filter("raised").join(stored.select(*same).distinct(), same, "left_anti")
+
+
 def deescalate(stored: DataFrame, decided: DataFrame, handled: DataFrame) -> DataFrame:
     """Open incidents whose entity was not re-raised and now has an innocent explanation.
 

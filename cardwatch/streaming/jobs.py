@@ -8,7 +8,8 @@ order and however late they came. A batch reads the state of the keys it touches
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -24,7 +25,7 @@ from cardwatch.operators.incidents import cluster_incidents
 from cardwatch.operators.tiles import SUMS, tile_parts
 from cardwatch.plans.detect import judge
 from cardwatch.session import stage
-from cardwatch.sources.webhooks import canonicalize, dead_letters, dedup_key
+from cardwatch.sources.webhooks import canonicalize, dead_letters, dedup_key, next_attempts, requeue
 from cardwatch.streaming.runtime import put, run
 from cardwatch.streaming.state import StateTable, added_up, newest_per
 
@@ -57,16 +58,66 @@ def deliveries_now(spark: SparkSession, state: str) -> DataFrame:
     return _counts(spark, state).now()
 
 
-def drain(inbox: DataFrame, state: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """Canonical events and dead letters, once per delivery."""
+_LETTER = "delivery_key string, attempts int, status string, last_error string, last_ms bigint, batch bigint"
+
+
+def _letters(spark: SparkSession, state: str) -> StateTable:
+    return StateTable(spark, f"{state}/letters", T._parse_datatype_string(_LETTER), ["delivery_key"], lambda rows: newest_per(rows, ["delivery_key"]))
+
+
+def drain(
+    inbox: DataFrame,
+    state: str,
+    *,
+    raw: Callable[[], DataFrame] | None = None,
+    read: Callable[[DataFrame], DataFrame] = canonicalize,
+    limit: int = 5,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Canonical events, once per delivery. A delivery that cannot be read is a letter; it is tried again in every later batch until ``limit`` tries have failed.
+
+    Letters keep a key, a count and a reason code, no text: what is tried again comes from ``raw``, the stored deliveries (without it nothing is). ``read`` turns
+    deliveries into canonical rows; what it gives no row for has failed. A letter that is dead stays so until ``requeue_letters`` names it.
+    """
+    spark, letters = inbox.sparkSession, _letters(inbox.sparkSession, state)
+    asked = StateTable(spark, f"{state}/requeue", T._parse_datatype_string("delivery_key string, asked_ms bigint"), ["delivery_key"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        put(canonicalize(batch), f"{state}/canonical", batch_id)
-        put(dead_letters(batch), f"{state}/dead", batch_id)
+        now_ms = int(time.time() * 1000)
+        known = letters.now(before=batch_id).drop("batch")
+        wanted = asked.read().groupBy("delivery_key").agg(F.max("asked_ms").alias("asked_ms"))
+        again = known.join(wanted, "delivery_key").filter("status = 'dead' AND asked_ms > last_ms").select("delivery_key")
+        open_ = stage(requeue(known, again).filter("status = 'retry'"), "open-letters")
+        rows = batch
+        if raw is not None:
+            stored = dedup_key(raw()).join(open_.select("delivery_key"), "delivery_key", "left_semi").dropDuplicates(["delivery_key"])
+            rows = batch.unionByName(stored.select(batch.columns))
+        rows = stage(rows, "deliveries")
+        canonical = stage(read(rows), "canonical")
+        put(canonical, f"{state}/canonical", batch_id)
+        reasons = dead_letters(rows).select("delivery_key", "last_error")
+        failed = rows.select("delivery_key").join(canonical.select("delivery_key"), "delivery_key", "left_anti").distinct()
+        failed = stage(failed.join(reasons, "delivery_key", "left").select("delivery_key", F.coalesce("last_error", F.lit("not_read")).alias("last_error")), "failed")
+        counted = next_attempts(failed, open_.join(failed, "delivery_key", "left_semi"), now_ms=now_ms, limit=limit)
+        healed = open_.join(failed, "delivery_key", "left_anti") if raw is not None else open_.limit(0)
+        done = healed.withColumn("status", F.lit("processed")).withColumn("last_ms", F.lit(now_ms).cast("bigint"))
+        letters.put(counted.unionByName(done.select(counted.columns)).withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
 
     return run(dedup_key(inbox).dropDuplicates(["delivery_key"]), state, step, trigger=trigger)
 
 
+def letters_now(spark: SparkSession, state: str) -> DataFrame:
+    """Deliveries that could not be read at first: tries, status (retry, dead, processed), last reason."""
+    return _letters(spark, state).now().drop("batch")
+
+
+def requeue_letters(spark: SparkSession, state: str, keys: DataFrame) -> None:
+    """Ask for dead letters to be tried again from the next batch on, with no tries counted."""
+    asked = StateTable(spark, f"{state}/requeue", T._parse_datatype_string("delivery_key string, asked_ms bigint"), ["delivery_key"])
+    now_ms = int(time.time() * 1000)
+    asked.put(keys.select("delivery_key", F.lit(now_ms).cast("long").alias("asked_ms")), now_ms)
+
+
 def late_flags(events: DataFrame, state: str, *, lateness_ms: int = 5 * MINUTE_MS, trigger: dict | None = None) -> StreamingQuery:
     """Flag late rows against the newest event time of earlier batches; every row is kept.
 
