@@ -78,6 +78,22 @@ def _(spark, sf_dir):
     return out.select(*ENTITY, q6("decayed_failures").alias("decayed_failures"))
 
 
+def _tile_window(name, span_ms):
+    @query(name, with_("tile", "clock", tail=f"""
+SELECT {KEY}, sum(attempts)::BIGINT AS attempts, sum(failures)::BIGINT AS failures, sum(amount_sum_paise)::BIGINT AS amount_sum_paise,
+  {r6(f"sum(failures * pow(2.0, -(till - minute_ms - 30000) / {float(HL)}))")} AS decayed_failures
+FROM (SELECT tile.*, (as_of // 60000 + 1) * 60000 AS till FROM tile, clock) WHERE minute_ms >= till - {span_ms} AND minute_ms < till GROUP BY ALL"""))
+    def _(spark, sf_dir):
+        levels = Ti.tile_levels(Ti.tileize(_attempts(spark, sf_dir), sketches=False), half_life_ms=HL)
+        till = (T.newest_ms(spark, sf_dir) // 60_000 + 1) * 60_000
+        found = Ti.window_sums(levels, from_ms=till - span_ms, to_ms=till, half_life_ms=HL)
+        return found.select(*ENTITY, "attempts", "failures", "amount_sum_paise", q6("decayed_failures").alias("decayed_failures"))
+
+
+_tile_window("tile_window_6h", 6 * 3_600_000)
+_tile_window("tile_window_30d", 30 * DAY_MS)
+
+
 @query("sliding_features", with_("tile", tail=f"""
 SELECT *, {r6(div0('captures', 'attempts'))} AS approval_rate FROM (SELECT {KEY}, minute_ms, (sum(attempts) OVER w)::BIGINT AS attempts, (sum(failures) OVER w)::BIGINT AS failures, (sum(captures) OVER w)::BIGINT AS captures
 FROM tile WINDOW w AS (PARTITION BY {KEY} ORDER BY minute_ms RANGE BETWEEN {DAY_MS} PRECEDING AND CURRENT ROW))"""))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.config import KINDS, MINUTE_MS, SMALL_AMOUNT_PAISE
+from cardwatch.config import DAY_MS, HOUR_MS, KINDS, MINUTE_MS, SMALL_AMOUNT_PAISE
 from cardwatch.functions.numeric import count_true, decay, ratio
 from cardwatch.functions.timeline import burstiness, fold_gaps, trailing_sum
 from cardwatch.operators.features import ENTITY, stack_kinds
@@ -113,3 +113,62 @@ def sliding(tiles: DataFrame, *, span_ms: int) -> DataFrame:
     """Sums over the trailing span at every minute with activity, from tiles, not events."""
     totals = trailing_sum(tiles, ENTITY, "minute_ms", span_ms, ["attempts", "failures", "captures"])
     return totals.withColumn("approval_rate", ratio(F.col("captures"), F.col("attempts")))
+
+
+# --- hierarchy ----------------------------------------------------------------------------------------
+
+#: Spans of tiles; each is a whole number of the one before.
+SPANS = (MINUTE_MS, HOUR_MS, DAY_MS)
+
+
+def tile_levels(tiles: DataFrame, *, half_life_ms: int, fields: Sequence[str] = ("attempts", "failures", "captures")) -> DataFrame:
+    """Tiles of a minute, an hour and a day: span_ms, start_ms, sums, and the decayed sum of each field as of the tile's end.
+
+    A decayed sum is carried forward by one factor for the whole tile, so tiles of any span add up; anchored at its own end no factor exceeds one,
+    however long the history. Hours are made of minutes and days of hours.
+    """
+    span, found = SPANS[0], []
+    level = tiles.select(
+        *ENTITY, F.col("minute_ms").alias("start_ms"), *SUMS,
+        *[(F.col(f) * decay(F.lit(MINUTE_MS // 2), half_life_ms)).alias(f"decayed_{f}") for f in fields],
+    )
+    for wider in (*SPANS[1:], None):
+        found.append(level.select(*ENTITY, F.lit(span).cast("bigint").alias("span_ms"), "start_ms", *SUMS, *[f"decayed_{f}" for f in fields]))
+        if wider is None:
+            break
+        whole = F.expr(f"start_ms div {wider} * {wider}")
+        rest = whole + wider - (F.col("start_ms") + span)  # from the end of the small tile to that of the wide one
+        carried = [F.sum(F.col(f"decayed_{f}") * decay(rest, half_life_ms)).alias(f"decayed_{f}") for f in fields]
+        level = level.groupBy(*ENTITY, whole.alias("start_ms")).agg(*[F.sum(c).alias(c) for c in SUMS], *carried)
+        span = wider
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def cover(from_ms: int, to_ms: int) -> list[tuple[int, int, int]]:
+    """Stretches (span, from, to) of whole tiles that make up [from, to), both whole minutes: minutes and hours at the edges, days in between."""
+    if from_ms % SPANS[0] or to_ms % SPANS[0] or to_ms < from_ms:
+        raise ValueError("a window of tiles begins and ends at whole minutes")
+    found, low, high = [], from_ms, to_ms
+    for span, wider in zip(SPANS, (*SPANS[1:], None), strict=True):
+        inner_low, inner_high = (-(-low // wider) * wider, high // wider * wider) if wider else (high, high)
+        if inner_low >= inner_high:
+            inner_low = inner_high = high
+        found += [(span, a, b) for a, b in ((low, inner_low), (inner_high, high)) if a < b]
+        low, high = inner_low, inner_high
+    return found
+
+
+def window_sums(levels: DataFrame, *, from_ms: int, to_ms: int, half_life_ms: int, fields: Sequence[str] = ("attempts", "failures", "captures")) -> DataFrame:
+    """Sums over [from, to) per entity and decayed sums as of its end, from a logarithmic number of tiles each (``tiles_read``)."""
+    wanted = F.lit(False)
+    for span, low, high in cover(from_ms, to_ms):
+        wanted |= (F.col("span_ms") == span) & (F.col("start_ms") >= low) & (F.col("start_ms") < high)
+    age = F.lit(to_ms) - (F.col("start_ms") + F.col("span_ms"))
+    return levels.filter(wanted).groupBy(*ENTITY).agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        *[F.sum(F.col(f"decayed_{f}") * decay(age, half_life_ms)).alias(f"decayed_{f}") for f in fields],
+        F.count(F.lit(1)).alias("tiles_read"),
+    )

@@ -11,6 +11,9 @@ from cardwatch.operators.attempts import per_payment
 from cardwatch.operators.change import detect_change, fold_series, series_from_counts, start_of_fold
 from cardwatch.plans.detect import detection_pass
 from cardwatch.operators.features import ENTITY
+from cardwatch.operators.tiles import cover, tile_levels, tileize, window_sums
+from cardwatch.session import stage
+from cardwatch.sources.webhooks import canonicalize
 from cardwatch.streaming import jobs as J
 from cardwatch.streaming.state import FANOUT, StateTable, added_up, newest_per
 from test_semantics import burst, obs
@@ -112,6 +115,60 @@ def test_shuffled_repeated_slices_give_the_batch_answer(spark, tmp_path):
     assert J.PaymentTables(spark, state, every.schema).partials.manifest()["generation"] == 1
 
 
+def test_letters_are_tried_again_die_and_come_back(spark, tmp_path):
+    source, state = (tmp_path / "in").as_uri(), (tmp_path / "state").as_uri()
+    schema = "scope string, event_id bigint, header_id string, source string, received_ms bigint, raw_body string"
+    body = '{"event": "payment.failed", "created_at": 1, "payload": {"payment": {"entity": {"id": "p"}}}}'
+    every = spark.createDataFrame([("shop", i, f"h{i}", "live", i, "{" if i == 2 else body) for i in range(6)], schema)
+    slow = {"rounds": 0}
+
+    def read(rows):
+        """Delivery 4 cannot be read in the first two rounds."""
+        slow["rounds"] += 1
+        return canonicalize(rows if slow["rounds"] > 2 else rows.filter("event_id <> 4"))
+
+    seen = []
+    for ids in ("event_id IN (2, 3, 4)", "event_id = 0", "event_id = 1", "event_id = 5", "event_id = 0"):
+        every.filter(ids).write.mode("append").parquet(source)
+        J.drain(spark.readStream.schema(every.schema).parquet(source), state, raw=lambda: every, read=read, limit=3)
+        seen.append({r.delivery_key: (r.attempts, r.status) for r in J.letters_now(spark, state).collect()})
+        if len(seen) == 4:
+            J.requeue_letters(spark, state, spark.createDataFrame([("h2",), ("h4",)], "delivery_key string"))
+    assert seen[0] == {"h2": (1, "retry"), "h4": (1, "retry")} and seen[1] == {"h2": (2, "retry"), "h4": (2, "retry")}
+    assert seen[2] == seen[3] == {"h2": (3, "dead"), "h4": (2, "processed")}
+    assert seen[4] == {"h2": (1, "retry"), "h4": (2, "processed")}  # only what is dead comes back
+    assert {r.last_error for r in J.letters_now(spark, state).filter("delivery_key = 'h2'").collect()} == {"not_json"}
+    assert sorted(r.event_id for r in spark.read.parquet(f"{state}/canonical").collect()) == [0, 1, 3, 4, 5]
+
+
+def test_a_window_is_covered_by_few_tiles(spark):
+    rng = random.Random(4)
+    rows = [{"at_ms": rng.randrange(40 * DAY), "payment_id": f"p{i}", "event_id": i, "session": f"s{i % 2}", "outcome": rng.choice(["failed", "captured"]), "amount_paise": i} for i in range(400)]
+    minutes = stage(tileize(per_payment(obs(spark, rows)), ("session",), sketches=False), "tiles")
+    levels = stage(tile_levels(minutes, half_life_ms=3 * DAY), "levels")
+    for low, high in ((37 * MIN, 40 * DAY - 13 * MIN), (5 * DAY, 6 * DAY), (3 * MIN, 50 * MIN), (DAY - MIN, DAY + 2 * MIN), (7 * MIN, 6 * 60 * MIN + 7 * MIN)):
+        stretches = cover(low, high)
+        assert sum(b - a for _, a, b in stretches) == high - low and sum((b - a) // s for s, a, b in stretches) <= 2 * 59 + 2 * 23 + 40
+        got = {r.entity_key: r for r in window_sums(levels, from_ms=low, to_ms=high, half_life_ms=3 * DAY).collect()}
+        direct = {}
+        for r in minutes.filter(f"minute_ms >= {low} AND minute_ms < {high}").collect():
+            n, f, d = direct.get(r.entity_key, (0, 0, 0.0))
+            direct[r.entity_key] = (n + r.attempts, f + r.failures, d + r.failures * 2.0 ** (-(high - r.minute_ms - 30_000) / (3 * DAY)))
+        assert {k: (r.attempts, r.failures) for k, r in got.items()} == {k: v[:2] for k, v in direct.items()}
+        assert all(got[k].decayed_failures == pytest.approx(v[2]) for k, v in direct.items())
+    with pytest.raises(ValueError):
+        cover(1, MIN)
+
+
+def test_shop_wide_incident_is_stored_once(spark):
+    from cardwatch.operators.incidents import raised_spikes
+
+    like = "scope string, entity_kind string, entity_key string, first_ms bigint, last_ms bigint, attempts bigint, raised boolean"
+    found = spark.createDataFrame([("a", "network", "shop_wide", 1, 9, 30, True), ("b", "network", "shop_wide", 1, 9, 30, True), ("c", "network", "shop_wide", 1, 9, 30, False)], like)
+    stored = found.filter("scope = 'a'").unionByName(found.filter("scope = 'b'").withColumn("attempts", F.lit(7).cast("bigint")))
+    assert [r.scope for r in raised_spikes(found, stored).collect()] == ["b"]
+
+
 OPTIONS = ChangeOptions(warm_up_buckets=5, control_limit=1.5, slack=0.25, decision_interval=2.0)
 
 
