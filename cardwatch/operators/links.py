@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.config import DAY_MS, KINDS
@@ -114,7 +116,21 @@ def entity_graph(incidents: DataFrame, events: DataFrame, *, bucket_ms: int = DA
     return cards.unionByName(sessions)
 
 
+def shared_identifiers(parts: DataFrame, columns: Sequence[str] = ("session", "order_id", "payment_id")) -> DataFrame:
+    """Identifiers that appear in more than one ``part``: (column, value, parts). Parts made from one seed repeat each other's."""
+    named = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    seen = parts.select("part", named).filter("value IS NOT NULL").groupBy("column", "value").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return seen.filter("low <> high").drop("low", "high")
+
+
 def compose_labelled(parts: DataFrame, attack_entities: DataFrame) -> DataFrame:
-    """Union of traffic parts, each row flagged when its entity belongs to an attack part."""
+    """Union of traffic parts, each row flagged when its entity belongs to an attack part.
+
+    Where the rows name their ``part``, no identifier may appear in two: a quiet part that shares sessions with an attack would be labelled as one.
+    """
+    if "part" in parts.columns:
+        shared = shared_identifiers(parts).limit(3).collect()
+        if shared:
+            raise ValueError(f"parts share identifiers: {', '.join(f'{r.column} {r.value}' for r in shared)}")
     flags = attack_entities.select("session").distinct().withColumn("flag", F.lit(True))
     return parts.join(flags, "session", "left").withColumn("is_abuse", F.coalesce("flag", F.lit(False))).drop("flag")

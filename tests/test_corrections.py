@@ -105,3 +105,15 @@ def test_candidates_do_not_follow_the_sketch_error(spark, con, sf_dir, monkeypat
     monkeypatch.setattr(features, "sketch_counts", lambda *a: exact(*a).withColumn("card_estimate", F.greatest(F.col("card_estimate") + off, F.lit(0))))
     ok, note = compare(spark, con, "rank_candidates", QUERIES["rank_candidates"], ORACLE["rank_candidates"], sf_dir)
     assert ok, note
+
+
+def test_parts_that_share_identifiers_are_refused(spark):
+    from cardwatch.operators.links import compose_labelled
+
+    like = "part string, session string, order_id string, payment_id string"
+    parts = spark.createDataFrame([("quiet", "s1", "o1", "p1"), ("attack", "s2", "o2", "p2"), ("attack", None, None, None)], like)
+    attackers = parts.filter("part = 'attack'").select("session")
+    assert {r.session: r.is_abuse for r in compose_labelled(parts, attackers).collect()} == {"s1": False, "s2": True, None: False}
+    again = parts.unionByName(spark.createDataFrame([("quiet", "s2", "o9", "p9")], like))
+    with pytest.raises(ValueError, match="session s2"):
+        compose_labelled(again, attackers)
