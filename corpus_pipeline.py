@@ -9,7 +9,7 @@ still read stays.
 Defined cases, in all stages: null and empty texts, null ids and repeated rows are rows like others; ties are broken as the operators say; an empty table gives an
 empty table with the same columns. Toxicity: an empty text is not toxic. Near-duplicates: texts without words are all kept; of rows with equal id and text one
 stays. Decontamination: a text without words holds no item. Mixing: a document without words is in no source's share and goes.
-Shards: rows without an id are placed by their content.
+Shards: rows without an id are placed by their content; a column named shard gets the shard.
 """
 
 from __future__ import annotations

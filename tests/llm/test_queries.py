@@ -65,3 +65,42 @@ def test_pipeline_is_registered():
 
     assert "pipeline" in __spark_entry__.queries() and set(QUERIES) <= set(__spark_entry__.queries())
     assert isinstance(duckdb.__version__, str)
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(spark, tmp_path):
+    """Held-out labels turned over give the same scores; learned ones rank held-out documents."""
+    from pyspark.sql import functions as F
+
+    from cardwatch.llm.text import table
+
+    sf_dir = "/root/testdata/sf0.01"
+    labels = table(spark, sf_dir, "labels")
+    table(spark, sf_dir, "documents").write.parquet(f"{tmp_path}/documents.parquet")
+    flipped = F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast(labels.schema["toxic"].dataType)
+    labels.withColumn("toxic", flipped).write.parquet(f"{tmp_path}/labels.parquet")
+    score = lambda d: {r.doc_id: (r.held_out, round(r.score, 12)) for r in toxicity.op4_toxicity(spark, str(d)).collect()}
+    found = score(sf_dir)
+    assert found == score(tmp_path)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    bad = [s for d, (held, s) in found.items() if held and truth.get(d) == 1]
+    good = [s for d, (held, s) in found.items() if held and truth.get(d) == 0]
+    wins = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert bad and good and wins >= 0.8
+
+
+def test_pipeline_stages_take_any_row(spark):
+    """Null ids and texts, repeated rows, columns named like the stages' own, and empty tables pass every stage unchanged."""
+    from cases import SCHEMA, frame, messy_rows
+
+    sf_dir = "/root/testdata/sf0.01"
+    for docs in (stage(frame(spark, messy_rows()), "messy"), stage(spark.createDataFrame([], SCHEMA), "none")):
+        columns, rows = docs.columns, {str(r) for r in docs.collect()}
+        for name, function in corpus_pipeline.STAGES:
+            if name == "toxicity" and not rows:
+                continue  # nothing to learn from
+            docs = stage(function(spark, docs, sf_dir), "test-stage")
+            if name == "sharding":  # gives the column its own values
+                assert set(columns) <= set(docs.columns) and docs.filter("shard IS NULL").isEmpty()
+            else:
+                assert docs.columns == columns and {str(r) for r in docs.collect()} <= rows
+        assert (docs.count() > 0) == (len(rows) > 0)
