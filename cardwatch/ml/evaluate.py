@@ -169,23 +169,27 @@ def poisson_weight(row_id: Column, round_id: Column, seed: int) -> Column:
 
 
 def bootstrap(scored: DataFrame, row_id: Column, *, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """95% percentile intervals of precision, recall, F1 and average precision.
+    """Precision, recall, F1 and average precision with their 95% percentile intervals.
 
     Each round reweights every row by a Poisson(1) draw; rounds are a key of one aggregation.
     """
-    drawn = scored.select("y", "risk", "threshold", row_id.alias("_id")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    drawn = drawn.withColumn("w", poisson_weight(F.col("_id"), F.col("round"), seed)).filter(F.col("w") > 0)
+    drawn = scored.select("y", "risk", "threshold", row_id.alias("_id")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    # round 0 is the rows as they are: the point values
+    weight = F.when(F.col("round") == 0, F.lit(1.0)).otherwise(poisson_weight(F.col("_id"), F.col("round"), seed))
+    drawn = drawn.withColumn("w", weight).filter(F.col("w") > 0)
     flagged, abuse = F.col("risk") >= F.col("threshold"), F.col("y") == 1
     mass = lambda cond: F.sum(F.when(cond, F.col("w")).otherwise(0.0))
     counts = drawn.groupBy("round").agg(mass(flagged & abuse).alias("tp"), mass(flagged & ~abuse).alias("fp"), mass(~flagged & abuse).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     scores = counts.join(ranking(drawn, ["round"], weight=F.col("w")).select("round", "pr_auc"), "round").select(
-        ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "pr_auc"
+        "round", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "pr_auc"
     )
     # One row per round from here on.
-    long = scores.select(F.expr("stack(4, 'precision', precision, 'recall', recall, 'f1', f1, 'pr_auc', pr_auc) AS (metric, value)"))
+    long = scores.select("round", F.expr("stack(4, 'precision', precision, 'recall', recall, 'f1', f1, 'pr_auc', pr_auc) AS (metric, value)"))
+    of_draws = F.when(F.col("round") > 0, F.col("value"))
     return long.groupBy("metric").agg(
-        F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.975).alias("high")
+        F.max(F.when(F.col("round") == 0, F.col("value"))).alias("point"),
+        F.percentile(of_draws, 0.025).alias("low"), F.percentile(of_draws, 0.5).alias("median"), F.percentile(of_draws, 0.975).alias("high"),
     )
 
 

@@ -346,6 +346,7 @@ def test_bootstrap_brackets_the_point_estimate(spark):
     got = {r["metric"]: r for r in E.bootstrap(df, F.col("id"), rounds=100).collect()}
     assert got["recall"]["low"] <= point["recall"] <= got["recall"]["high"]
     assert got["precision"]["low"] <= point["precision"] <= got["precision"]["high"]
+    assert got["recall"]["point"] == pytest.approx(point["recall"]) and got["precision"]["point"] == pytest.approx(point["precision"])
     again = {r["metric"]: r for r in E.bootstrap(df.repartition(7), F.col("id"), rounds=100).collect()}
     assert {m: r["low"] for m, r in got.items()} == pytest.approx({m: r["low"] for m, r in again.items()})
 
