@@ -41,8 +41,7 @@ BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
 THRESHOLD = 75  # per cent
 LEAST_ESTIMATE = 0.52
 FEW = 64  # nodes of a band that are compared as pairs of rows
-BLOCK = 256
-BLOCK_SHINGLES = 1 << 18
+BLOCK, BLOCK_SHINGLES = 4_096, 1 << 20  # sets and shingles of a block, two of which meet in a task
 ROWS_AT_ONCE = 1_000
 
 _MULTIPLIERS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)

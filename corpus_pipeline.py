@@ -51,8 +51,9 @@ def _stage(function):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not call toxic."""
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    return score_texts(rows, model).filter("toxicity < 0.5").select("_row.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", *([F.struct(*others).alias("_row")] if others else []))
+    return score_texts(rows, model).filter("toxicity < 0.5").select(*[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 @_stage
