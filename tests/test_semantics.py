@@ -386,3 +386,21 @@ def test_hot_entity_features_match_the_plain_answer(spark):
     assert hot["max_orders_per_card"] == max(len(o) for o in by_card.values())
     assert hot["recovered_orders"] == sum(o == {"failed", "captured"} for o in by_order.values())
     assert hot["burstiness"] == pytest.approx(cv)
+
+
+def test_bootstrap_draws_by_pieces_what_rows_and_rounds_would_draw(spark, monkeypatch):
+    monkeypatch.setattr(E, "ROWS_A_PIECE", 40)
+    rng = random.Random(11)
+    rows = [(f"s{i}", rng.choice([0, 1, 1, None]), rng.choice([0.5, 0.5, round(rng.random(), 2), None]), 0.45) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, y int, risk double, threshold double")
+    drawn = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn(
+        "w", F.when(F.col("round") == 0, F.lit(1.0)).otherwise(E.poisson_weight(F.col("id"), F.col("round"), 1))).filter("w > 0")
+    ranked = {r["round"]: r["pr_auc"] for r in E.ranking(drawn, ["round"], weight=F.col("w")).collect()}
+    values = sorted(v for k, v in ranked.items() if k)
+    rounds = E.bootstrap(df, F.col("id"), rounds=20)
+    got = {r["metric"]: r for r in rounds.collect()}["pr_auc"]
+    assert got["point"] == pytest.approx(ranked[0]) and got["median"] == pytest.approx((values[9] + values[10]) / 2)
+    hashed = df.select("id", F.xxhash64("id").alias("h")).toPandas()["h"].to_numpy()
+    first = {(r["id"], r["round"]): r["w"] for r in drawn.collect()}
+    weights = E.poisson_weights(hashed, 20, 1)
+    assert all(weights[i, k] == first.get((f"s{i}", k), 0) for i in range(400) for k in range(21))
