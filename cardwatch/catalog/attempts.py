@@ -248,6 +248,7 @@ SELECT order_id, c.session IN (SELECT session FROM checkouts JOIN lines USING (o
 FROM lines l JOIN checkouts c USING (order_id) GROUP BY ALL"""))
 def _(spark, sf_dir):
     parts = L.join_observations(T.lineitem_events(spark, sf_dir), T.checkout_sessions(spark, sf_dir)).filter(F.col("session").isNotNull())
-    parts = parts.withColumn("part", F.col("session"))  # a session is a part of its own
+    # joined once and written: the check of identifiers, the attackers and the labels read it; a session is a part of its own
+    parts = stage(parts.select("order_id", "payment_id", "session", "outcome", "amount_paise", F.col("session").alias("part")), "parts")
     attackers = parts.filter((F.col("outcome") == "failed") & (F.col("amount_paise") > 9_000_000)).select("session")
     return L.compose_labelled(parts, attackers).groupBy("order_id", "is_abuse").agg(F.count(F.lit(1)).alias("events_n"))

@@ -119,8 +119,10 @@ def entity_graph(incidents: DataFrame, events: DataFrame, *, bucket_ms: int = DA
 def shared_identifiers(parts: DataFrame, columns: Sequence[str] = ("session", "order_id", "payment_id")) -> DataFrame:
     """Identifiers that appear in more than one ``part``: (column, value, parts). Parts made from one seed repeat each other's."""
     named = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
-    seen = parts.select("part", named).filter("value IS NOT NULL").groupBy("column", "value").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    return seen.filter("low <> high").drop("low", "high")
+    # a part is known by two hashes: only longs are aggregated, so nothing is sorted and a row of strings is kept once per identifier
+    named = parts.filter("part IS NOT NULL").select(F.xxhash64("part").alias("h"), F.xxhash64(F.lit("part"), "part").alias("g"), named).filter("value IS NOT NULL")
+    seen = named.groupBy("column", "value").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("h", "g") for f in (F.min, F.max)])
+    return seen.filter("min_h <> max_h OR min_g <> max_g").select("column", "value")
 
 
 def compose_labelled(parts: DataFrame, attack_entities: DataFrame) -> DataFrame:

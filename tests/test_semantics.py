@@ -404,3 +404,12 @@ def test_bootstrap_draws_by_pieces_what_rows_and_rounds_would_draw(spark, monkey
     first = {(r["id"], r["round"]): r["w"] for r in drawn.collect()}
     weights = E.poisson_weights(hashed, 20, 1)
     assert all(weights[i, k] == first.get((f"s{i}", k), 0) for i in range(400) for k in range(21))
+
+
+def test_shared_identifiers_are_found_without_sorting(spark):
+    from cardwatch.operators.links import shared_identifiers
+
+    rows = [("a", "s1", "o1", "p1"), ("b", "s2", "o1", "p2"), ("b", "s2", None, "p3"), (None, "s1", "o3", "p4"), ("a", "s1", "o4", "p1")]
+    found = shared_identifiers(spark.createDataFrame(rows, "part string, session string, order_id string, payment_id string"))
+    assert [tuple(r) for r in found.collect()] == [("order_id", "o1")]
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
