@@ -90,6 +90,17 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     )
 
 
+def merge_before_and_after(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Payments that ``fresh`` touches: ``before`` merged from the known partial rows alone (null without any), ``after`` from both, in one aggregation."""
+    rows = known.withColumn("_known", F.lit(True)).unionByName(fresh.withColumn("_known", F.lit(False)))
+    merged = lambda of: F.struct(
+        F.min(of("head")).alias("head"), F.max(of("outcome_rank")).alias("outcome_rank"),
+        *[F.min(of(c)).alias(c) for c in ("error_reason", "error_source")], F.sum(of("n_events")).alias("n_events"),
+    )
+    found = rows.groupBy("scope", "payment_id", "loose_id").agg(merged(lambda c: F.when(F.col("_known"), F.col(c))).alias("before"), merged(F.col).alias("after"))
+    return found.withColumn("before", F.when(F.col("before.n_events").isNotNull(), F.col("before")))
+
+
 def finish_payments(merged: DataFrame, *keep: str) -> DataFrame:
     """Payments from partial rows that are merged already."""
     carried = [c for c in merged.schema["head"].dataType.names if c != "event_id"]

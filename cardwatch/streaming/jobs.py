@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cardwatch.config import DAY_MS, MINUTE_MS, ChangeOptions, FeatureWindow
-from cardwatch.operators.attempts import finish_payments, merge_partials, merge_payments, payment_partials
+from cardwatch.operators.attempts import finish_payments, merge_before_and_after, merge_partials, merge_payments, payment_partials
 from cardwatch.operators.change import fold_series, start_of_fold, limits_of
 from cardwatch.operators.containment import blocked_attempts
 from cardwatch.operators.features import ENTITY, stack_kinds
@@ -189,10 +189,10 @@ class PaymentTables:
     def step(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """Take in a batch; the merged partials of the payments it touches, before and after."""
         own = stage(payment_partials(batch), "batch-payments")
-        old = stage(merge_partials(self.partials.read(before=batch_id, touched=own)), "known-payments")
-        new = stage(merge_partials(old.unionByName(own)), "touched-payments")
-        signed = self._signed(old, -1).unionByName(self._signed(new, 1))
-        changed = stage(self.changes.merge(signed), "payment-changes")
+        both = stage(merge_before_and_after(self.partials.read(before=batch_id, touched=own), own), "touched-payments")
+        old, new = both.filter("before IS NOT NULL").select(*PAYMENT, "before.*"), both.select(*PAYMENT, "after.*")
+        # a payment that is touched has more events than before, so none of these rows cancel out
+        changed = stage(self._signed(old, -1).unionByName(self._signed(new, 1)), "payment-changes")
         self.partials.put(own, batch_id)
         self.changes.put(changed, batch_id)
         self.tiles.put(tile_changes(changed), batch_id)

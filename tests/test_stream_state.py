@@ -234,3 +234,16 @@ def test_a_running_trigger_gathers_what_arrives_into_passes(spark, tmp_path):
     as_of = rows.agg(F.max("at_ms")).first()[0] + 1_000
     want = detection_pass(rows, as_of_ms=as_of, window=window).decided.select(*columns)
     assert newest <= 2 and sorted(map(str, passes.filter(F.col("batch") == newest).select(*columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_batch_merges_payments_before_and_after_it_at_once(spark):
+    from cardwatch.operators.attempts import merge_before_and_after, merge_partials, payment_partials
+
+    row = lambda p, e, at, outcome, reason=None: ("shop", p, e, at, outcome, 5, reason, None, f"o{e}")
+    schema = "scope string, payment_id string, event_id long, at_ms long, outcome string, amount_paise long, error_reason string, error_source string, order_id string"
+    known = payment_partials(spark.createDataFrame([row("p1", 1, 50, "failed", "x"), row("p1", 2, 60, "captured")], schema))
+    fresh = payment_partials(spark.createDataFrame([row("p1", 3, 40, "failed"), row("p2", 4, 70, "captured"), row(None, 5, 70, "other")], schema))
+    both = merge_before_and_after(known, fresh)
+    keys, rows = ["scope", "payment_id", "loose_id"], lambda df: sorted(df.collect(), key=str)
+    assert rows(both.select(*keys, "after.*")) == rows(merge_partials(known.unionByName(fresh)))
+    assert rows(both.filter("before IS NOT NULL").select(*keys, "before.*")) == rows(merge_partials(known))
