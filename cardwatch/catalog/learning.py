@@ -13,7 +13,7 @@ from cardwatch.operators.attempts import per_payment
 from cardwatch.operators.features import ENTITY, features
 from cardwatch.operators.links import join_observations
 from cardwatch.operators.traffic import traffic_context, with_traffic
-from cardwatch.session import stage
+from cardwatch.session import stage, stage_by
 from cardwatch.sources import sinks as S, tables as T
 
 KEY = "scope, entity_kind, entity_key"
@@ -240,11 +240,15 @@ _LONG = FeatureWindow(window_ms=20 * 365 * DAY_MS, half_life_ms=365 * DAY_MS, lo
 
 def _training(spark, sf_dir):
     """Sessions and networks of the line items with all features; one shop per country, which is also the group."""
-    obs = join_observations(T.lineitem_events(spark, sf_dir), T.checkout_sessions(spark, sf_dir)).withColumn("scope", F.col("network"))
-    attempts = stage(per_payment(obs.filter(F.col("session").isNotNull())), "attempts")
+    obs = join_observations(T.lineitem_events(spark, sf_dir), T.checkout_sessions(spark, sf_dir)).drop("device").withColumn("scope", F.col("network"))
+    # a payment's id is made of its order's number, so payments are collapsed where the join has left their orders; then sessions, of
+    # which there are as many as customers, are laid together once for all that is counted per session
+    payments = per_payment(obs.filter(F.col("session").isNotNull()), within=("order_id",))
+    attempts = stage_by(payments, "attempts", ["scope", "session"])
     as_of = int(attempts.agg(F.max("at_ms").alias("m")).first()["m"]) + 1_000
     traffic = stage(traffic_context(attempts, as_of_ms=as_of, window=_LONG), "traffic")
-    vectors = features(attempts, as_of_ms=as_of, window=_LONG, kinds=("session", "network"))
+    of_kind = lambda kind: features(attempts, as_of_ms=as_of, window=_LONG, kinds=(kind,), columns=("distinct_cards", "recovery_rate"))
+    vectors = of_kind("session").unionByName(of_kind("network"))
     rows = D.with_features(with_traffic(vectors, traffic))
     k = F.substring("entity_key", 2, 20).cast("bigint")
     label = (F.col("failure_rate") * 100 + k % 37 > 55).cast("int")

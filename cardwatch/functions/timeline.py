@@ -61,21 +61,22 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], value: str, ranks: di
     return ordered.join(totals, keys).groupBy(*keys).agg(*[reached(rank).alias(name) for name, rank in ranks.items()])
 
 
+def join_gaps(parts: DataFrame, within: Sequence[str], n: str = "n") -> DataFrame:
+    """Parts of a timeline (first, last, sum of squared gaps inside, number of rows) joined into one, with the gaps between them."""
+    before = F.lag("last").over(W.partitionBy(*within).orderBy("first"))
+    squared = F.coalesce(F.pow(F.col("first") - before, F.lit(2.0)), F.lit(0.0))
+    return parts.withColumn("squares", F.col("squares") + squared).groupBy(*within).agg(
+        F.sum(n).alias(n), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("squares").alias("squares")
+    )
+
+
 def fold_gaps(parts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
-    """Parts of a key's timeline (first, last, sum of squared gaps inside, number of rows) joined into one row per key.
+    """Parts of a key's timeline joined into one row per key.
 
     Parts of a day are joined first (a day has at most 1 440 minutes), then the days, so no list of a key's parts is ever built.
     """
     keys = list(keys)
-
-    def join(rows: DataFrame, within: list[str]) -> DataFrame:
-        before = F.lag("last").over(W.partitionBy(*within).orderBy("first"))
-        squared = F.coalesce(F.pow(F.col("first") - before, F.lit(2.0)), F.lit(0.0))
-        return rows.withColumn("squares", F.col("squares") + squared).groupBy(*within).agg(
-            F.sum(n).alias(n), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("squares").alias("squares")
-        )
-
-    return join(join(parts.withColumn("_day", F.expr("first div 86400000")), [*keys, "_day"]), keys)
+    return join_gaps(join_gaps(parts.withColumn("_day", F.expr("first div 86400000")), [*keys, "_day"], n), keys, n)
 
 
 def burstiness(n: Column, first: Column, last: Column, squares: Column) -> Column:

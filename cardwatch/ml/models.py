@@ -22,7 +22,12 @@ from cardwatch.schemas import FEATURES
 from cardwatch.session import stage
 
 
-ROWS_A_TASK = 50_000
+ROWS_A_TASK, MOST_A_TASK = 50_000, 1_000_000
+
+
+def pieces(n: int, cores: int) -> int:
+    """Into how many pieces n rows are laid for a fit: each of its many small jobs starts a task for every one, so no more than there are cores, until pieces grow large."""
+    return max(1, min(-(-n // ROWS_A_TASK), max(cores, -(-n // MOST_A_TASK))))
 
 
 @dataclass(frozen=True)
@@ -77,7 +82,7 @@ def train(
     # A fit reads its rows hundreds of times: they are laid into as few pieces as their number asks for and kept, on disk where memory ends.
     train_rows = rows.filter(F.col("split") == "train").select(*features, "y")
     n = train_rows.count()
-    train_rows = train_rows.coalesce(max(1, -(-n // ROWS_A_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    train_rows = train_rows.coalesce(pieces(n, rows.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
     if name == "logistic":
         stages[-1].setRegParam(1.0 / max(n, 1))
     try:
@@ -129,16 +134,13 @@ def linear_contributions(model: Fitted) -> Column:
 
 
 def ablated(model: Fitted, rows: DataFrame, at: dict[str, float], keys: Sequence[str]) -> DataFrame:
-    """Change in risk when one feature is held at its median: one copy of each row per feature."""
-    base = F.struct(F.lit("").alias("ablated"), *[F.col(f).alias(f) for f in model.features])
-    copies = [base] + [
-        F.struct(F.lit(g).alias("ablated"), *[(F.lit(at[f]) if f == g else F.col(f)).alias(f) for f in model.features]) for g in model.features
+    """Change in risk when one feature is held at its median: one copy of each row per feature, next to the row's own risk."""
+    full = model.risk(rows.select(*keys, *model.features)).select(*keys, F.col("risk").alias("full"), *model.features)
+    copies = [
+        F.struct(F.lit(g).alias("feature"), *[(F.lit(at[f]) if f == g else F.col(f)).alias(f) for f in model.features]) for g in model.features
     ]
-    scored = model.risk(rows.select(*keys, F.inline(F.array(*copies)))).select(*keys, "ablated", "risk")
-    kept = scored.filter(F.col("ablated") == "").select(*keys, F.col("risk").alias("full"))
-    return scored.filter(F.col("ablated") != "").join(kept, list(keys)).select(
-        *keys, F.col("ablated").alias("feature"), (F.col("full") - F.col("risk")).alias("contribution")
-    )
+    scored = model.risk(full.select(*keys, "full", F.inline(F.array(*copies))))
+    return scored.select(*keys, "feature", (F.col("full") - F.col("risk")).alias("contribution"))
 
 
 def top_contributions(contributions: Column, *, limit: int = 6) -> Column:
@@ -184,18 +186,20 @@ def ladder(rows: DataFrame, names: Sequence[str] = ("boosted", "logistic", "fore
 def ablation(rows: DataFrame, name: str = "boosted", *, rounds: int = 200) -> DataFrame:
     """The same model with feature groups left out."""
     groups = {"all": FEATURES, "entity_only": ENTITY_FEATURES, "traffic_only": TRAFFIC_FEATURES}
-    return _stack([_test_metrics(train(rows, name, features=f, rounds=rounds), rows, g) for g, f in groups.items()])
+    fit = lambda label, f: stage(_test_metrics(train(rows, name, features=f, rounds=rounds), rows, label), "ablation")
+    return _stack(_side_by_side([partial(fit, g, f) for g, f in groups.items()]))
 
 
 def learning_curve(rows: DataFrame, name: str = "boosted", *, fractions: Sequence[float] = (0.25, 0.5, 1.0), rounds: int = 200) -> DataFrame:
     """Ranking quality on the validation side as the train side grows."""
-    out = []
-    for fraction in fractions:
+
+    def fit(fraction: float) -> DataFrame:
         kept = rows.filter((F.col("split") != "train") | (hash_fraction(F.col("row_id").cast("string"), "curve:") < fraction))
         model = train(kept, name, rounds=rounds)
         judged = model.risk(kept.filter(F.col("split") == "validation")).withColumn("fraction", F.lit(float(fraction)))
-        out.append(E.ranking(judged, ["fraction"]).select("fraction", "rows", "pr_auc"))
-    return _stack(out)
+        return stage(E.ranking(judged, ["fraction"]).select("fraction", "rows", "pr_auc"), "curve")
+
+    return _stack(_side_by_side([partial(fit, fraction) for fraction in fractions]))
 
 
 def stability(rows: DataFrame, *, seeds: Sequence[int] = (1, 2, 3, 4, 5), names: tuple[str, str] = ("boosted", "logistic"), rounds: int = 200) -> DataFrame:
@@ -216,9 +220,9 @@ def stability(rows: DataFrame, *, seeds: Sequence[int] = (1, 2, 3, 4, 5), names:
 
 def leakage(grouped: DataFrame, naive: DataFrame, name: str = "logistic", *, rounds: int = 200) -> DataFrame:
     """Ranking quality under a group split and under a row split, with one and the same model class."""
-    a = _test_metrics(train(grouped, name, rounds=rounds), grouped, "grouped")
-    b = _test_metrics(train(naive, name, rounds=rounds), naive, "naive")
-    return a.unionByName(b)
+    sides = {"grouped": grouped, "naive": naive}
+    fit = lambda label: stage(_test_metrics(train(sides[label], name, rounds=rounds), sides[label], label), "leakage")
+    return _stack(_side_by_side([partial(fit, label) for label in sides]))
 
 
 def canary(rows: DataFrame, model_pr_auc: float, *, margin: float = 0.15, features: Sequence[str] = FEATURES) -> DataFrame:

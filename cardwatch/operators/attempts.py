@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # How far along each outcome is.
@@ -32,13 +34,16 @@ def _lookup(key: Column, pairs: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
-def per_payment(observations: DataFrame, *, as_of_ms: int | None = None) -> DataFrame:
+def per_payment(observations: DataFrame, *, as_of_ms: int | None = None, within: Sequence[str] = ()) -> DataFrame:
     """One row per payment: earliest time, furthest outcome, first known decline reason.
 
     Rows after ``as_of_ms`` are dropped first, so a replay sees what the original pass saw.
     Everything else comes from the earliest event by (time, event id), whatever order rows
     arrive in. Rows without a payment id stay as they are. The aggregate buffers are of
     constant size, so one payment with very many events is combined before the shuffle.
+
+    ``within`` names columns that are equal in all events of a payment, like the order whose number its id is made of: rows that
+    lie together by these, as a join on them leaves them, are collapsed where they lie.
     """
     rows = observations if as_of_ms is None else observations.filter(F.col("at_ms") <= as_of_ms)
     rows = rows.withColumn("outcome_rank", _lookup(F.col("outcome"), OUTCOME_RANK, 0))
@@ -48,7 +53,7 @@ def per_payment(observations: DataFrame, *, as_of_ms: int | None = None) -> Data
 
     collapsed = (
         rows.filter(keyed)
-        .groupBy("scope", "payment_id")
+        .groupBy(*within, "scope", "payment_id")
         .agg(
             F.min("at_ms").alias("at_ms"),
             F.max("outcome_rank").alias("outcome_rank"),
@@ -59,7 +64,7 @@ def per_payment(observations: DataFrame, *, as_of_ms: int | None = None) -> Data
         )
     )
     columns = ["scope", "payment_id", "at_ms", "outcome_rank", *carried, "error_reason", "error_source", "n_events"]
-    collapsed = collapsed.select(
+    collapsed = collapsed.drop(*within).select(
         *[F.col(f"head.{c}").alias(c) if c in carried else F.col(c) for c in columns]
     )
     loose = rows.filter(~keyed).withColumn("n_events", F.lit(1).cast("bigint")).select(*columns)

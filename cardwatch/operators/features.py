@@ -16,14 +16,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.config import KINDS, SMALL_AMOUNT_PAISE, FeatureWindow
 from cardwatch.functions.numeric import count_true, decay, ratio
-from cardwatch.functions.timeline import burstiness, fold_gaps
+from cardwatch.functions.timeline import burstiness, join_gaps
 from cardwatch.session import stage
 
 ENTITY = ("scope", "entity_kind", "entity_key")
 
 
 def stack_kinds(attempts: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Each attempt once per entity kind, from one scan; rows without a key are left out."""
+    """Each attempt once per entity kind, from one scan; rows without a key are left out.
+
+    One kind alone is a plain projection, which keeps the layout of attempts stored by that key.
+    """
+    if len(kinds) == 1:
+        one = attempts.select("*", F.lit(kinds[0]).alias("entity_kind"), F.col(kinds[0]).alias("entity_key"))
+        return one.filter(F.coalesce(F.col("entity_key"), F.lit("")) != "")
     views = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds])
     stacked = attempts.select("*", F.inline(views).alias("entity_kind", "entity_key"))
     return stacked.filter(F.coalesce(F.col("entity_key"), F.lit("")) != "")
@@ -72,16 +78,33 @@ def activity(entities: DataFrame, as_of_ms: int, window: FeatureWindow) -> DataF
     )
 
 
+# The facet each feature of ``variety`` is counted from.
+FACET_OF = {
+    "distinct_cards": "card",
+    "distinct_sessions": "session",
+    "distinct_networks": "network",
+    "distinct_cards_long_span": "long",
+    "max_orders_per_card": "card",
+    "recovered_orders": "order",
+    "recovery_rate": "order",
+    "reason_concentration": "reason",
+}
+
+
 def variety(
-    entities: DataFrame, as_of_ms: int, window: FeatureWindow, *, distinct: bool = True
+    entities: DataFrame, as_of_ms: int, window: FeatureWindow, *, distinct: bool = True, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Distinct cards, sessions and networks, orders per card, recoveries, reason concentration.
 
     Every attempt contributes one narrow row per facet. The rows are reduced per (entity,
     facet, value, detail), then per (entity, facet, value), then per entity, so all facets
     share three shuffles and none of them meets an entity's raw rows in one place. Without ``distinct``
-    the sets of cards, sessions and networks are not built.
+    the sets of cards, sessions and networks are not built. With ``columns`` only these features are made, from the facets they
+    need, and orders, which every attempt has.
     """
+    wanted = tuple(FACET_OF) if columns is None else [c for c in FACET_OF if c in columns]
+    facets = {"order"} | {FACET_OF[c] for c in wanted}
+    detailed = "max_orders_per_card" in wanted
     counted = F.lit(distinct)
     recent = F.col("at_ms") >= as_of_ms - window.window_ms
     spanned = F.col("at_ms") >= as_of_ms - window.long_span_ms
@@ -97,83 +120,78 @@ def variety(
         return F.when(keep & value.isNotNull(), row)
 
     kind = F.col("entity_kind")
-    rows = F.array_compact(
-        F.array(
-            facet("card", F.col("card_id"), recent & counted, F.nullif(F.col("order_id"), F.lit(""))),
-            facet("long", F.nullif(F.col("card_id"), F.lit("")), spanned & counted),
-            facet("order", F.coalesce(F.col("order_id"), F.lit("")), recent),
-            facet("session", F.col("session"), recent & counted & (kind != "session")),
-            facet("network", F.col("network"), recent & counted & (kind != "network")),
-            facet("reason", F.coalesce(F.col("error_reason"), F.lit("unknown")), recent & failed),
-        )
-    )
+    made = {
+        "card": lambda: facet("card", F.col("card_id"), recent & counted, F.nullif(F.col("order_id"), F.lit("")) if detailed else None),
+        "long": lambda: facet("long", F.nullif(F.col("card_id"), F.lit("")), spanned & counted),
+        "order": lambda: facet("order", F.coalesce(F.col("order_id"), F.lit("")), recent),
+        "session": lambda: facet("session", F.col("session"), recent & counted & (kind != "session")),
+        "network": lambda: facet("network", F.col("network"), recent & counted & (kind != "network")),
+        "reason": lambda: facet("reason", F.coalesce(F.col("error_reason"), F.lit("unknown")), recent & failed),
+    }
+    rows = F.array_compact(F.array(*[of() for name, of in made.items() if name in facets]))
     narrow = in_window(entities, as_of_ms, window.lookback_ms).select(
         *ENTITY,
         failed.cast("int").alias("failed"),
         (F.col("outcome") == "captured").cast("int").alias("captured"),
         F.inline(rows),
     )
-    by_detail = narrow.groupBy(*ENTITY, "facet", "value", "detail").agg(
+    keys = [*ENTITY, "facet", "value"]
+    by_detail = narrow.groupBy(*keys, *(["detail"] if detailed else [])).agg(
         F.count(F.lit(1)).alias("n"), F.max("failed").alias("failed"), F.max("captured").alias("captured")
     )
-    by_value = by_detail.groupBy(*ENTITY, "facet", "value").agg(
-        F.sum("n").alias("n"),
-        F.max("failed").alias("failed"),
-        F.max("captured").alias("captured"),
-        F.count("detail").alias("details"),
-    )
+    by_value = by_detail
+    if detailed:
+        by_value = by_detail.groupBy(*keys).agg(
+            F.sum("n").alias("n"),
+            F.max("failed").alias("failed"),
+            F.max("captured").alias("captured"),
+            F.count("detail").alias("details"),
+        )
 
     def values(name: str) -> Column:
         return count_true(F.col("facet") == name)
 
     reason_n = F.when(F.col("facet") == "reason", F.col("n"))
     recovered = (F.col("facet") == "order") & (F.col("failed") == 1) & (F.col("captured") == 1)
-    measures = [
-        values("card").alias("cards"),
-        values("long").alias("long_cards"),
-        values("order").alias("orders"),
-        values("session").alias("other_sessions"),
-        values("network").alias("other_networks"),
-        count_true(recovered).alias("recovered_orders"),
-        F.max(F.when((F.col("facet") == "card") & (F.col("value") != ""), F.col("details")).otherwise(0)).alias("max_orders_per_card"),
-        F.sum(reason_n * reason_n).alias("reason_squares"),
-        F.sum(reason_n).alias("reason_total"),
-    ]
-    wide = by_value.groupBy(*ENTITY).agg(*measures)
+    measures = {
+        "cards": lambda: values("card"),
+        "long_cards": lambda: values("long"),
+        "orders": lambda: values("order"),
+        "other_sessions": lambda: values("session"),
+        "other_networks": lambda: values("network"),
+        "recovered_orders": lambda: count_true(recovered),
+        "max_orders_per_card": lambda: F.max(F.when((F.col("facet") == "card") & (F.col("value") != ""), F.col("details")).otherwise(0)),
+        "reason_squares": lambda: F.sum(reason_n * reason_n),
+        "reason_total": lambda: F.sum(reason_n),
+    }
+    wide = by_value.groupBy(*ENTITY).agg(*[of().alias(name) for name, of in measures.items() if detailed or name != "max_orders_per_card"])
     own = lambda k, column: F.when(kind == k, F.lit(1).cast("bigint")).otherwise(F.col(column))
-    columns = [
-        *ENTITY,
-        F.col("cards").alias("distinct_cards"),
-        own("session", "other_sessions").alias("distinct_sessions"),
-        own("network", "other_networks").alias("distinct_networks"),
-        F.col("long_cards").alias("distinct_cards_long_span"),
-        "max_orders_per_card",
-        "recovered_orders",
-        ratio(F.col("recovered_orders"), F.col("orders")).alias("recovery_rate"),
-        ratio(F.col("reason_squares"), F.col("reason_total") * F.col("reason_total")).alias("reason_concentration"),
-    ]
-    return wide.select(*columns)
+    named = {
+        "distinct_cards": F.col("cards"),
+        "distinct_sessions": own("session", "other_sessions"),
+        "distinct_networks": own("network", "other_networks"),
+        "distinct_cards_long_span": F.col("long_cards"),
+        "max_orders_per_card": F.col("max_orders_per_card"),
+        "recovered_orders": F.col("recovered_orders"),
+        "recovery_rate": ratio(F.col("recovered_orders"), F.col("orders")),
+        "reason_concentration": ratio(F.col("reason_squares"), F.col("reason_total") * F.col("reason_total")),
+    }
+    return wide.select(*ENTITY, *[named[c].alias(c) for c in wanted])
 
 
 def cadence(entities: DataFrame, as_of_ms: int, window: FeatureWindow) -> DataFrame:
     """Coefficient of variation of the gaps between an entity's attempts.
 
-    Gaps are squared inside one minute over its distinct milliseconds (at most 60 000), and
-    between the minutes of the window; attempts in the same millisecond add zero gaps.
+    Attempts of one millisecond are counted first and add zero gaps. Gaps are squared between the distinct milliseconds of a
+    day, and then between the days of the window.
     """
-    minutes = (
-        in_window(entities, as_of_ms, window.window_ms)
-        .groupBy(*ENTITY, F.expr("at_ms div 60000").alias("minute"))
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("at_ms")).alias("times"))
-        .select(
-            *ENTITY,
-            "n",
-            F.element_at("times", 1).alias("first"),
-            F.element_at("times", -1).alias("last"),
-            F.expr("aggregate(transform(times, (t, i) -> if(i = 0, 0D, power(t - times[i - 1], 2))), 0D, (a, x) -> a + x)").alias("squares"),
-        )
+    ticks = in_window(entities, as_of_ms, window.window_ms).groupBy(*ENTITY, F.expr("at_ms div 86400000").alias("day"), "at_ms").agg(F.count(F.lit(1)).alias("n"))
+    before = F.lag("at_ms").over(W.partitionBy(*ENTITY, "day").orderBy("at_ms"))
+    gap = (F.col("at_ms") - before).cast("double")
+    days = ticks.withColumn("square", F.coalesce(gap * gap, F.lit(0.0))).groupBy(*ENTITY, "day").agg(
+        F.sum("n").alias("n"), F.min("at_ms").alias("first"), F.max("at_ms").alias("last"), F.sum("square").alias("squares")
     )
-    folded = fold_gaps(minutes, ENTITY)
+    folded = join_gaps(days, ENTITY)
     return folded.select(*ENTITY, burstiness(F.col("n"), F.col("first"), F.col("last"), F.col("squares")).alias("burstiness"))
 
 
@@ -266,18 +284,20 @@ def features(
     confirm_exact: bool = True,
     median: bool = False,
     sketches: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Feature vectors of all entities (or one) at ``as_of_ms``.
 
     ``attempts`` should be a written table: several aggregates read it. ``confirm_exact=False``
-    is the discovery path: exact counts are not computed, estimates take their place and rules that need exact counts abstain.
+    is the discovery path: exact counts are not computed, estimates take their place and rules that need exact counts abstain. ``columns``
+    names the features of ``variety`` that are wanted, if not all.
     """
     entities = stack_kinds(in_window(attempts, as_of_ms, window.lookback_ms), kinds)
     if entity_key is not None:
         entities = entities.filter(F.col("entity_key") == entity_key)
     wide = (
         activity(entities, as_of_ms, window)
-        .join(variety(entities, as_of_ms, window, distinct=confirm_exact), list(ENTITY), "left")
+        .join(variety(entities, as_of_ms, window, distinct=confirm_exact, columns=columns), list(ENTITY), "left")
         .join(cadence(entities, as_of_ms, window), list(ENTITY), "left")
     )
     if sketches or not confirm_exact:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +70,17 @@ def discard(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stage_by(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """``stage``, bucketed by the keys: groups and joins that contain them find their rows together and move none."""
+    spark = df.sparkSession
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), own_folder(spark, name)
+    stored = f"staged_{uuid.uuid4().hex}"
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(stored)
+    found = spark.table(stored)
+    spark.sql(f"DROP TABLE {stored}")  # an external table: its files stay with the run
+    return found
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back.
 
