@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.llm.linking import merge, still_open, with_drawn, with_first
 from cardwatch.llm.text import LOWER, UPPER, lower_ascii, table
-from cardwatch.session import run_folder, stage
+from cardwatch.session import freed_shuffles, run_folder, stage
 
 EDITS, MIN_CHARS = 1, 48
 FEW, BLOCK = 64, 256
@@ -114,7 +114,8 @@ def by_key(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lines_{uuid.uuid4().hex}"
     placed = docs.select(key.alias("key"), F.struct("*").alias("doc")).repartition(parts, "key")
-    placed.write.bucketBy(parts, "key").option("path", f"{run_folder(spark)}/{name}").saveAsTable(name)
+    with freed_shuffles(spark):
+        placed.write.bucketBy(parts, "key").option("path", f"{run_folder(spark)}/{name}").saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with the run
     return found

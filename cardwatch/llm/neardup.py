@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cardwatch.llm.linking import merge, several, still_open, with_drawn, with_first
 from cardwatch.llm.shingles import mix, shingle_sets
 from cardwatch.llm.text import table
-from cardwatch.session import discard, own_folder, scratch, stage
+from cardwatch.session import discard, freed_shuffles, own_folder, scratch, stage
 
 MINIMA, ROWS, BITS = 128, 4, 2
 BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
@@ -260,7 +260,8 @@ def _arrays(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = keyed.join(wanted, "text_key").dropDuplicates(["text_key"])
     parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), own_folder(spark, "minhash-arrays")
     name = f"minhash_{uuid.uuid4().hex}"
-    shingle_arrays(texts).repartition(parts, "node").write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
+    with freed_shuffles(spark):
+        shingle_arrays(texts).repartition(parts, "node").write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with the run
     return found

@@ -70,12 +70,33 @@ def discard(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a write inside the block shuffled is deleted when the write ends; else it stays until the driver collects its garbage.
+
+    Only for writes, which run once: a result that is run again would have to shuffle again. Threads that share a session may end each other's
+    block early, which leaves files as long as they stayed before.
+    """
+    if spark.conf.get(FREED, "false") == "true":
+        yield
+        return
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED)
+
+
 def stage_by(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """``stage``, bucketed by the keys: groups and joins that contain them find their rows together and move none."""
     spark = df.sparkSession
     parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), own_folder(spark, name)
     stored = f"staged_{uuid.uuid4().hex}"
-    df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(stored)
+    with freed_shuffles(spark):
+        df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path).saveAsTable(stored)
     found = spark.table(stored)
     spark.sql(f"DROP TABLE {stored}")  # an external table: its files stay with the run
     return found
@@ -90,5 +111,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = own_folder(spark, name)
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
