@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.llm.linking import merge, several, still_open, with_drawn, with_first
+from cardwatch.llm.marks import marked
 from cardwatch.llm.shingles import mix, shingle_sets
 from cardwatch.llm.text import table
 from cardwatch.session import discard, freed_shuffles, own_folder, scratch, stage
@@ -162,7 +163,8 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     )
     in_band = nodes.select(F.explode("bands").alias("key"), "node")
     shared = stage(in_band.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "minhash-shared")
-    members = stage(in_band.join(shared.select("key", "first"), "key"), "minhash-members")
+    some = marked(in_band, F.col("key"), shared.select("key")).filter("marked").drop("marked")
+    members = stage(some.join(shared.select("key", "first"), "key"), "minhash-members")
     arrays = _arrays(members, docs, nodes)
 
     found = None
@@ -251,17 +253,18 @@ def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _arrays(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles of all nodes that share a band with another one.
 
-    The texts are moved once, to be found by their key, and the sets are written once, bucketed by node, so the joins of all rounds read
-    them where they lie and move only what their pairs need.
+    The texts of these nodes are moved, to be found by their key and then to the bucket of their node, where the sets are made and written once, so the joins
+    of all rounds read them where they lie and move only what their pairs need.
     """
     spark = docs.sparkSession
     wanted = stage(members.select("node").distinct().join(nodes.select("node", F.col("key").alias("text_key")), "node"), "minhash-wanted")
     keyed = docs.select(text_key(F.col("doc_id"), F.xxhash64("text")).alias("text_key"), "text")
-    texts = keyed.join(wanted, "text_key").dropDuplicates(["text_key"])
+    some = marked(keyed, F.col("text_key"), wanted.select("text_key")).filter("marked").drop("marked")
+    texts = some.join(wanted, "text_key").dropDuplicates(["text_key"])
     parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), own_folder(spark, "minhash-arrays")
     name = f"minhash_{uuid.uuid4().hex}"
     with freed_shuffles(spark):
-        shingle_arrays(texts).repartition(parts, "node").write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
+        shingle_arrays(texts.repartition(parts, "node")).write.bucketBy(parts, "node").option("path", path).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with the run
     return found

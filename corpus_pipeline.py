@@ -19,8 +19,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.llm.decontaminate import clean
+from cardwatch.llm.marks import marked
 from cardwatch.llm.mixing import fair_mix
-from cardwatch.llm.neardup import near_duplicates
+from cardwatch.llm.neardup import near_duplicates, text_key
 from cardwatch.llm.sharding import shard
 from cardwatch.llm.text import table, words_in
 from cardwatch.llm.toxicity import score_texts, train
@@ -63,11 +64,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     judged = stage(found.agg(F.max("elected").alias("_stays"), F.count(F.lit(1)).alias("_n")).filter("NOT _stays OR _n > 1"), "near-duplicates")
     keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    left = keyed.join(judged, same, "left_anti").select("doc.*")
+    # most documents are not judged: they need not be moved to find that out
+    seen = marked(keyed, text_key(F.col("_doc"), F.col("_text")), judged.select(text_key(F.col("_id"), F.col("_hash"))))
+    left = seen.filter("NOT marked").select("doc.*").unionByName(seen.filter("marked").join(judged, same, "left_anti").select("doc.*"))
     repeated = judged.filter("_stays").select("_id", "_hash")
     if repeated.isEmpty():
         return left
-    return left.unionByName(keyed.join(repeated, same).dropDuplicates(["_doc", "_text"]).select("doc.*"))
+    return left.unionByName(seen.filter("marked").join(repeated, same).dropDuplicates(["_doc", "_text"]).select("doc.*"))
 
 
 @_stage

@@ -1,14 +1,16 @@
 """Near-duplicates, exact copies, lines and benchmark passages against brute force."""
 
 import hashlib
+import os
 import random
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
 from cases import LOWER, SCHEMA, components, frame, messy_rows, prose, shingles, words
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontaminate, exact, fuse, lines, neardup
+from cardwatch.llm import decontaminate, exact, fuse, lines, marks, neardup
 from cardwatch.llm.components import components as connected
 from cardwatch.llm.shingles import shingle_sets
 
@@ -85,6 +87,39 @@ def test_minhash_full_bands_keep_links_of_one_band(spark, monkeypatch):
     assert few.count() == 0 and sorted(r.node for r in many.collect()) == list(range(6))
 
 
+def test_minhash_moves_no_text_that_shares_no_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "freed_shuffles", lambda _: nullcontext())  # so that what was moved can be counted
+    texts = [prose(5_000 + i, 300, 1_000_000) for i in range(200)]
+    docs = frame(spark, [(i, t, "n") for i, t in enumerate([*texts, texts[0] + " end"])]).select("doc_id", "text").repartition(2)
+    nodes = docs.select(F.col("doc_id").alias("node"), neardup.text_key(F.col("doc_id"), F.xxhash64("text")).alias("key"))
+    members = spark.createDataFrame([(0, 1), (200, 1)], "node long, key long")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    moved = lambda: {f: os.path.getsize(f) for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f and f.endswith(".data")}
+    docs = neardup.stage(docs, "test-docs")
+    before = moved()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        arrays = neardup._arrays(members, docs, nodes)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r.node for r in arrays.collect()) == [0, 200]
+    assert sum(size for f, size in moved().items() if f not in before) < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 27])
+def test_marks_miss_no_key_and_few_others_have_one(spark, monkeypatch, most):
+    monkeypatch.setattr(marks, "MOST", most)
+    rows = spark.range(-20_000, 20_000).selectExpr("id * 7919 AS id", "'x' AS marked_by")
+    rows = rows.unionByName(spark.createDataFrame([(None, "x")], "id long, marked_by string"))
+    keys = spark.range(0, 20_000).selectExpr("id * 7919")
+    got = marks.marked(rows, F.col("id"), keys).groupBy(F.col("id") >= 0).agg(F.count(F.lit(1)), F.count_if("marked"))
+    found = {r[0]: (r[1], r[2]) for r in got.collect()}
+    assert found[True] == (20_000, 20_000) and found[None][0] == 1
+    assert found[False][0] == 20_000 and found[False][1] < (20_000 if most == 1 << 15 else 20_000 / 14)
+    assert marks.marked(rows, F.col("id"), keys.limit(0)).filter("marked").count() == 0
+
+
 def test_shingle_sets_do_not_depend_on_pieces(monkeypatch):
     import pyarrow as pa
 
